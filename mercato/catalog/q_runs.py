@@ -1 +1,74 @@
-"""(filled in below)"""
+"""Run-history queries.  The run log is derived from ``events``: upload =
+user, run time = event time, status: signup -> started, purchase ->
+completed, error -> failed, anything else kept as is (shown as Other)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mercato.catalog import register
+from mercato.operators import runs
+from mercato.sources.tables import Tables
+
+# Fixed mapping of the event types onto run statuses.
+EVENT_STATUS = {"signup": "started", "purchase": "completed", "error": "failed"}
+
+_RUNS_SQL = """
+  SELECT event_id, user_id AS upload_id, ts AS created_at,
+         CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed'
+                         WHEN 'error' THEN 'failed' ELSE event_type END AS status
+  FROM events"""
+
+_UI_SQL = f"""
+  SELECT *, coalesce(CASE status WHEN 'started' THEN 'Running' WHEN 'completed' THEN 'Success'
+                                 WHEN 'failed' THEN 'Failed' END, 'Other') AS ui_status
+  FROM ({_RUNS_SQL}) r"""
+
+_RECENT_SQL = f"""
+  SELECT * FROM ({_UI_SQL}) u
+  WHERE created_at >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY"""
+
+
+def run_log(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    m = F.create_map(*[x for k, v in EVENT_STATUS.items() for x in (F.lit(k), F.lit(v))])
+    return ev.select("event_id", F.col("user_id").alias("upload_id"),
+                     F.col("ts").alias("created_at"),
+                     F.coalesce(m[F.col("event_type")], F.col("event_type")).alias("status"))
+
+
+@register("run_status_counts", sql=f"""
+WITH f AS ({_RECENT_SQL})
+SELECT s.name AS ui_status, CAST(count(f.ui_status) AS BIGINT) AS runs
+FROM (VALUES ('Success'), ('Failed'), ('Running')) s(name)
+LEFT JOIN f ON f.ui_status = s.name GROUP BY s.name""")
+def q_run_status_counts(spark, sf_dir):
+    return runs.status_counts(runs.recent(run_log(spark, sf_dir), days=30))
+
+
+@register("run_status_by_day", sql=f"""
+SELECT CAST(created_at AS DATE) AS day,
+       CAST(count_if(ui_status = 'Success') AS BIGINT) AS "Success",
+       CAST(count_if(ui_status = 'Failed') AS BIGINT) AS "Failed",
+       CAST(count_if(ui_status = 'Running') AS BIGINT) AS "Running"
+FROM ({_RECENT_SQL}) f WHERE created_at IS NOT NULL GROUP BY 1""")
+def q_run_status_by_day(spark, sf_dir):
+    return runs.status_by_day(runs.recent(run_log(spark, sf_dir), days=30))
+
+
+@register("recent_runs", sql=f"""
+SELECT event_id, upload_id, created_at, status FROM ({_RUNS_SQL}) r
+ORDER BY created_at DESC, event_id DESC LIMIT 10""")
+def q_recent_runs(spark, sf_dir):
+    return runs.newest(run_log(spark, sf_dir), "created_at", n=10, tie_col="event_id")
+
+
+@register("latest_run_per_upload", sql=f"""
+SELECT upload_id, event_id, created_at, status FROM (
+  SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY created_at DESC, event_id DESC)
+         AS rn
+  FROM ({_RUNS_SQL}) r) x
+WHERE rn = 1""")
+def q_latest_run_per_upload(spark, sf_dir):
+    return runs.latest_per_key(run_log(spark, sf_dir), ["upload_id"], "created_at",
+                               tie_col="event_id")

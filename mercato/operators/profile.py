@@ -92,16 +92,16 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Seque
             F.lit(None).cast("long").alias("freq"), "mean", "std", "min", "p25", "p50", "p75",
             "max"))
     if cat:
-        m = column_modes(df, cat, g)
-        # columns with no non-null value at all still get a row
-        names = df.select(*g).distinct().crossJoin(
-            df.sparkSession.createDataFrame([(c,) for c in cat], "column string")) if g else \
-            df.sparkSession.createDataFrame([(c,) for c in cat], "column string")
-        m = names.join(m, on=[*g, "column"], how="left")
+        m = column_modes(df, cat, g).drop("count")
+        # non-null counts from one wide aggregate: columns with no value at
+        # all still get their row
+        counts = (df.groupBy(*g).agg(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.count(c).alias("count")) for c in cat])
+            .alias("c")).select(*g, F.inline("c")))
+        m = counts.join(m, on=[*g, "column"], how="left")
         nulls = [F.lit(None).cast("double").alias(c)
                  for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
-        parts.append(m.select(*g, "column", F.coalesce(F.col("count"), F.lit(0)).cast("long")
-                              .alias("count"),
+        parts.append(m.select(*g, "column", F.col("count").cast("long").alias("count"),
                               F.coalesce(F.col("unique"), F.lit(0)).cast("long").alias("unique"),
                               F.col("top").cast("string").alias("top"),
                               F.col("freq").cast("long").alias("freq"), *nulls))

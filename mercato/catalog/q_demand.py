@@ -1 +1,40 @@
-"""(filled in below)"""
+"""Demand feature and scoring queries on line items (sku = part, quantity,
+price = extended price, date = ship date)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mercato.catalog import register
+from mercato.operators import demand
+from mercato.sources.tables import Tables
+
+
+def _lines(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem
+    return li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("sku"),
+                     F.col("l_quantity").alias("quantity"),
+                     F.col("l_extendedprice").alias("price"),
+                     F.col("l_shipdate").alias("order_date"))
+
+
+@register("demand_features", sql="""
+SELECT l_orderkey, l_linenumber,
+       COALESCE(TRY_CAST(l_quantity AS DOUBLE), 0) AS quantity,
+       COALESCE(TRY_CAST(l_extendedprice AS DOUBLE), 0) AS price,
+       COALESCE(CAST(month(l_shipdate) AS INTEGER), 0) AS month,
+       COALESCE(CAST(isodow(l_shipdate) - 1 AS INTEGER), 0) AS day_of_week,
+       COALESCE(CAST(dayofyear(l_shipdate) AS INTEGER), 0) AS day_of_year
+FROM lineitem""")
+def q_demand_features(spark, sf_dir):
+    return demand.demand_features(_lines(spark, sf_dir), keep=["l_orderkey", "l_linenumber"])
+
+
+@register("demand_score")
+def q_demand_score(spark, sf_dir):
+    """Fit the quantity regressor (price + calendar + part one-hot) on the
+    line items and score every line."""
+    lines = _lines(spark, sf_dir)
+    feats = demand.demand_features(lines, keep=["l_orderkey", "l_linenumber", "sku"])
+    model = demand.train_demand(feats, item_col="sku")
+    return demand.score_demand(model, feats, keep=["l_orderkey", "l_linenumber", "sku"])

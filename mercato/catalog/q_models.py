@@ -1 +1,147 @@
-"""(filled in below)"""
+"""Model queries: churn classifier training / scoring / registry, and the
+model-registry and prediction-history analytics.
+
+The registry analytics run on a log derived from ``events``: each signup
+event registers a model version for its user (as tenant), each view or
+click event is a stored prediction of that tenant."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from mercato.catalog import register
+from mercato.catalog.q_churn import customer_table
+from mercato.operators import churn_model, runs
+from mercato.session import scratch_path
+from mercato.sources.tables import Tables
+
+_TRAINED: dict = {}
+
+
+def trained_churn(spark, sf_dir):
+    """Pooled churn model over all labelled customers (memoised per session
+    and data folder, since three queries report on the same fit)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        c = customer_table(spark, sf_dir).withColumnRenamed("c_custkey", "customer_id")
+        _TRAINED[key] = churn_model.train_churn_model(c, F.col("feature_date"))
+    return _TRAINED[key]
+
+
+@register("churn_train_metrics")
+def q_churn_train_metrics(spark, sf_dir):
+    m = trained_churn(spark, sf_dir)
+    row = {k: m.metrics[k] for k in ("threshold", "accuracy", "precision", "recall", "f1_score",
+                                     "auc")}
+    row.update(training_rows=m.training_rows, labelled_rows=m.labelled_rows,
+               features=len(m.features))
+    return spark.createDataFrame(
+        [row], "threshold double, accuracy double, precision double, recall double, "
+               "f1_score double, auc double, training_rows long, labelled_rows long, features int")
+
+
+@register("churn_score")
+def q_churn_score(spark, sf_dir):
+    m = trained_churn(spark, sf_dir)
+    c = customer_table(spark, sf_dir).withColumnRenamed("c_custkey", "customer_id")
+    return churn_model.score_churn(m, c, F.col("feature_date"), keep=["tenant_id"])
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    m = trained_churn(spark, sf_dir)
+    return spark.createDataFrame(sorted(m.feature_importance.items()),
+                                 "feature string, importance double")
+
+
+@register("churn_model_registry")
+def q_churn_model_registry(spark, sf_dir):
+    """Save, register, reload (active version) and score with the reloaded
+    model; reports the active registry row with the number of scored rows."""
+    m = trained_churn(spark, sf_dir)
+    store = scratch_path(spark, "models")
+    churn_model.register_model(spark, m, store, tenant_id=0)
+    churn_model.register_model(spark, m, store, tenant_id=0)   # a retrain: version 2
+    active = churn_model.load_active(spark, store, tenant_id=0)
+    c = customer_table(spark, sf_dir).withColumnRenamed("c_custkey", "customer_id")
+    scored = churn_model.score_churn(active, c, F.col("feature_date"))
+    n = scored.where(F.col("churn_probability").isNotNull()).count()
+    reg = churn_model.active_models(churn_model.registry(spark, store))
+    return reg.select("tenant_id", "name", "version", "threshold", "training_rows",
+                      F.size("features").alias("n_features"), F.lit(n).alias("scored_rows"))
+
+
+# --- registry / prediction history derived from events ---------------------
+
+def _models(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    return ev.where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("model_id"), F.col("user_id").alias("tenant_id"),
+        F.col("ts").alias("trained_at"))
+
+
+def _predictions(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    return ev.where(F.col("event_type").isin("view", "click")).select(
+        F.col("event_id").alias("prediction_id"), F.col("user_id").alias("tenant_id"),
+        F.col("ts").alias("created_at"), F.col("value").alias("prediction_value"))
+
+
+_MODELS_SQL = """
+  models AS (SELECT event_id AS model_id, user_id AS tenant_id, ts AS trained_at
+             FROM events WHERE event_type = 'signup')"""
+
+
+def tenant_model_versions(spark, sf_dir):
+    """Every model with its per-tenant version (1 = oldest) and an active
+    flag (latest version).  The window is partitioned by tenant."""
+    m = _models(spark, sf_dir)
+    w = Window.partitionBy("tenant_id").orderBy("trained_at", "model_id")
+    counts = m.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_models"))
+    return (m.withColumn("version", F.row_number().over(w).cast("long"))
+            .join(counts, on="tenant_id", how="inner")
+            .withColumn("is_active", F.col("version") == F.col("n_models")).drop("n_models"))
+
+
+@register("tenant_models", sql=f"""
+WITH {_MODELS_SQL}
+SELECT tenant_id, model_id, trained_at,
+       CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY trained_at, model_id) AS BIGINT)
+         AS version,
+       row_number() OVER (PARTITION BY tenant_id ORDER BY trained_at DESC, model_id DESC) = 1
+         AS is_active
+FROM models""")
+def q_tenant_models(spark, sf_dir):
+    return tenant_model_versions(spark, sf_dir)
+
+
+@register("active_models", sql=f"""
+WITH {_MODELS_SQL}
+SELECT tenant_id, arg_max(model_id, (trained_at, model_id)) AS model_id,
+       max(trained_at) AS trained_at, count(*) AS version
+FROM models GROUP BY tenant_id""")
+def q_active_models(spark, sf_dir):
+    m = _models(spark, sf_dir)
+    latest = runs.latest_per_key(m, ["tenant_id"], "trained_at", tie_col="model_id")
+    n = m.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("version"))
+    return latest.join(n, on="tenant_id", how="inner")
+
+
+@register("recent_predictions", sql=f"""
+WITH {_MODELS_SQL},
+active AS (SELECT tenant_id, arg_max(model_id, (trained_at, model_id)) AS model_id
+           FROM models GROUP BY tenant_id),
+p AS (SELECT event_id AS prediction_id, user_id AS tenant_id, ts AS created_at,
+             value AS prediction_value,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events WHERE event_type IN ('view', 'click'))
+SELECT p.tenant_id, p.prediction_id, p.created_at, p.prediction_value, a.model_id
+FROM p JOIN active a ON p.tenant_id = a.tenant_id
+WHERE p.rn <= 50""")
+def q_recent_predictions(spark, sf_dir):
+    newest = runs.newest(_predictions(spark, sf_dir), "created_at", n=50,
+                         tie_col="prediction_id", group_cols=["tenant_id"]).drop("rank")
+    active = runs.latest_per_key(_models(spark, sf_dir), ["tenant_id"], "trained_at",
+                                 tie_col="model_id").select("tenant_id", "model_id")
+    return newest.join(active, on="tenant_id", how="inner")

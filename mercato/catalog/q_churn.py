@@ -19,6 +19,7 @@ from mercato.functions.coerce import days_elapsed
 from mercato.functions.scoring import confidence, display_tier, risk_label
 from mercato.operators import churn, evaluate
 from mercato.operators._util import attach_group_stats
+from mercato.sources import sinks
 from mercato.sources.tables import Tables
 
 HORIZON_DAYS = 180
@@ -285,3 +286,30 @@ UNION ALL
 SELECT 0 AS label, CAST(N AS BIGINT) AS rows, 1.0 AS weight FROM c""")
 def q_class_weights(spark, sf_dir):
     return evaluate.class_weights(Tables(spark, sf_dir).labels, "quality")
+
+
+@register("new_customers_only", sql="""
+WITH lim AS (SELECT min(o_orderdate) + INTERVAL 365 DAY AS lim FROM orders),
+known AS (SELECT DISTINCT o.o_custkey FROM orders o CROSS JOIN lim WHERE o.o_orderdate < lim.lim)
+SELECT c.c_nationkey AS tenant_id, c.c_custkey AS customer_id, c.c_mktsegment AS segment,
+       0 AS total_orders, CAST(0 AS DOUBLE) AS total_spent, CAST(0 AS DOUBLE) AS avg_order_value
+FROM customer c
+WHERE c.c_custkey IS NOT NULL AND c.c_mktsegment IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM known k WHERE k.o_custkey = c.c_custkey)""")
+def q_new_customers_only(spark, sf_dir):
+    """Insert the customer table as a batch into a customer base made of the
+    customers seen in the first year of orders: only unknown, complete,
+    de-duplicated records are accepted, with 0 defaults for business fields."""
+    t = Tables(spark, sf_dir)
+    o = t.orders.select("o_custkey", "o_orderdate")
+    lim = o.agg((F.min("o_orderdate") + F.make_interval(days=F.lit(365))).alias("lim"))
+    known_keys = (attach_group_stats(o, lim, []).where(F.col("o_orderdate") < F.col("lim"))
+                  .select("o_custkey").distinct())
+    incoming = t.customer.select(F.col("c_nationkey").alias("tenant_id"),
+                                 F.col("c_custkey").alias("customer_id"),
+                                 F.col("c_mktsegment").alias("segment"))
+    existing = incoming.join(known_keys, F.col("customer_id") == F.col("o_custkey"), "left_semi")
+    accepted, _rejected = sinks.new_rows_only(
+        existing, incoming, ["tenant_id", "customer_id"], required=["customer_id", "segment"],
+        defaults={"total_orders": 0, "total_spent": 0.0, "avg_order_value": 0.0})
+    return accepted

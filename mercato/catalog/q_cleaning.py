@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mercato.catalog import register
 from mercato.functions.coerce import lenient_number, lenient_number_or_zero
 from mercato.operators import clean, profile, roles
+from mercato.plans import preprocess
 from mercato.sources.tables import Tables
 
 _PROFILE_NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -167,3 +168,15 @@ def q_detect_roles(spark, sf_dir):
     rows = [(k, roles.find_date_column(v), roles.find_quantity_column(v))
             for k, v in shapes.items()]
     return spark.createDataFrame(rows, "shape string, date_column string, quantity_column string")
+
+
+@register("preprocess_document")
+def q_preprocess_document(spark, sf_dir):
+    """The full preprocess flow over orders, one upload per order status:
+    imputation, date parsing, numeric enforcement, profile, role detection
+    (strict: only date-like / numeric columns may match by name), 2-sigma
+    daily anomaly count and 7-day linear forecast, as one document per
+    upload."""
+    o = Tables(spark, sf_dir).orders
+    res = preprocess.preprocess(o, group_cols=["o_orderstatus"], strict_roles=True)
+    return res.document()

@@ -34,20 +34,45 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str
     return df.join(stats, on=g, how="inner")
 
 
+def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str],
+                         buckets: int = 64, out: str = "__coarse") -> DataFrame:
+    """Add a coarse bucket that never decreases as ``order_col`` grows:
+    the year of a date, a 2-character prefix of a string, or for numbers the
+    position among approximate-quantile cut points of the group (so the
+    buckets are balanced whatever the value distribution)."""
+    g = keys(group_cols)
+    t = dict(df.dtypes)[order_col]
+    if t == "date" or t.startswith("timestamp"):
+        return df.withColumn(out, F.year(order_col))
+    if t == "string":
+        return df.withColumn(out, F.substring(order_col, 1, 2))
+    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = df.groupBy(*g).agg(F.percentile_approx(F.col(order_col).cast("double"), probs,
+                                                      10 * buckets).alias("__cuts"))
+        x = F.col(order_col).cast("double")
+        return (attach_group_stats(df, cuts, g)
+                .withColumn(out, F.size(F.filter("__cuts", lambda c: c < x))).drop("__cuts"))
+    return df.withColumn(out, F.lit(0))
+
+
 def ordered_index(df: DataFrame, order_col: str, group_cols: Sequence[str],
-                  coarse: Column, out: str = "idx") -> DataFrame:
+                  coarse: Column | None = None, out: str = "idx") -> DataFrame:
     """0-based position of each row in ``order_col`` order within ``group_cols``.
 
     ``order_col`` must be unique within a group (e.g. an aggregated day).  The
     index is computed in two levels so that no single task has to number a
     whole group: rows are numbered by a window partitioned on
-    ``group_cols + coarse`` (``coarse`` must be monotone in ``order_col``, such
-    as the year of a date), and each coarse bucket gets an offset from a
-    running count over the per-bucket table, which has one row per
-    group x bucket.
+    ``group_cols + coarse`` (``coarse`` must never decrease as ``order_col``
+    grows, such as the year of a date; derived from the column type when not
+    given), and each coarse bucket gets an offset from a running count over
+    the per-bucket table, which has one row per group x bucket.
     """
     g = keys(group_cols)
-    tmp = df.withColumn("__coarse", coarse)
+    if coarse is None:
+        tmp = with_monotone_bucket(df, order_col, g)
+    else:
+        tmp = df.withColumn("__coarse", coarse)
     local = tmp.withColumn(
         "__local", F.row_number().over(Window.partitionBy(*g, "__coarse").orderBy(order_col)) - 1)
     sizes = tmp.groupBy(*g, "__coarse").agg(F.count(F.lit(1)).alias("__n"))

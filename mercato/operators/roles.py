@@ -34,7 +34,7 @@ def date_parse_rates(df: DataFrame) -> DataFrame:
     if not strs:
         return df.sparkSession.createDataFrame([], "column string, parse_rate double")
     structs = [F.struct(F.lit(c).alias("column"),
-                        (F.count(F.try_to_timestamp(F.col(c))) / F.count(F.col(c)))
+                        F.try_divide(F.count(F.try_to_timestamp(F.col(c))), F.count(F.col(c)))
                         .alias("parse_rate")) for c in strs]
     return df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
@@ -42,19 +42,29 @@ def date_parse_rates(df: DataFrame) -> DataFrame:
 def find_date_column(df: DataFrame, strict: bool = False) -> str | None:
     """Exact keyword -> substring keyword -> first timestamp-typed column or
     string column whose every non-null value parses as a timestamp.  With
-    ``strict`` a name match must also be a date-like column."""
-    dated = {f.name for f in df.schema.fields
-             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))}
+    ``strict`` only date-like columns (typed, or fully parsable strings) are
+    candidates for the name match, so ``order_id`` can no longer win."""
+    dated = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    names = [c for c in df.columns if (not strict or c in dated or c in strs)]
+    rates: dict | None = None
+
+    def parse_rates():
+        nonlocal rates
+        if rates is None:
+            rates = ({r["column"]: r["parse_rate"] for r in date_parse_rates(df).collect()}
+                     if strs else {})
+        return rates
+
+    def date_like(c):
+        return c in dated or (c in strs and (parse_rates().get(c) or 0.0) >= 1.0)
+
+    names = [c for c in df.columns if date_like(c)] if strict else list(df.columns)
     hit = _by_name(names, DATE_KEYWORDS)
     if hit is not None:
         return hit
-    rates = {}
-    if strs:
-        rates = {r["column"]: r["parse_rate"] for r in date_parse_rates(df).collect()}
     for c in df.columns:
-        if c in dated or (rates.get(c) is not None and rates[c] >= 1.0):
+        if date_like(c):
             return c
     return None
 

@@ -43,6 +43,7 @@ def with_day_index(daily: DataFrame, date_col: str = "date", group_cols: Sequenc
     """0..n-1 over the *observed* days of each series (gaps are not filled).
 
     Numbered per (series, year) and offset by the running day count of the
-    earlier years, so no task has to number a whole series.
+    earlier years, so no task has to number a whole series (other order
+    types use their own monotone buckets, see ``ordered_index``).
     """
-    return ordered_index(daily, date_col, group_cols, F.year(date_col), out=out)
+    return ordered_index(daily, date_col, group_cols, out=out)

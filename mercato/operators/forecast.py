@@ -47,7 +47,7 @@ def linear_trend(daily: DataFrame, date_col: str = "date", value_col: str = "tot
         F.count(F.lit(1)).cast("double").alias("n"),
         _sum(y).alias("sy"),
         _sum(F.col("day_index") * y).alias("sxy"),
-        F.max(date_col).alias("last_date"))
+        F.max(date_col).alias("last_date")).where(F.col("n") > 0)
     n = F.col("n")
     sx = n * (n - 1) / 2
     sxx = (n - 1) * n * (2 * n - 1) / 6
@@ -109,8 +109,9 @@ def forecast_naive(df: DataFrame, date_col: str = "order_date", value_col: str =
     g = keys(group_cols)
     if daily is None:
         daily = daily_totals(df, date_col, value_col, g, value_scale=value_scale)
-    last = daily.groupBy(*g).agg(F.max("date").alias("last_date"),
-                                 F.max_by("total", "date").alias("forecast"))
+    last = (daily.groupBy(*g).agg(F.max("date").alias("last_date"),
+                                  F.max_by("total", "date").alias("forecast"))
+            .where(F.col("last_date").isNotNull()))
     return _dated(last, g, days_ahead)
 
 

@@ -34,6 +34,29 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str
     return df.join(stats, on=g, how="inner")
 
 
+def with_bucket(df: DataFrame, cuts: str, value, n_cuts: int, out: str) -> DataFrame:
+    """Add ``out`` = number of entries of the ascending array column ``cuts``
+    (length ``n_cuts``) smaller than ``value``: a fixed-step binary search
+    over ``element_at``, one projected column per step (log2 steps,
+    code-generated, no per-element lambda)."""
+    step = 1
+    while step * 2 <= n_cuts:
+        step *= 2
+    cur = "__pos0"
+    df = df.withColumn(cur, F.lit(0))
+    i = 0
+    while step >= 1:
+        i += 1
+        nxt = F.col(cur) + step
+        probe = F.element_at(F.col(cuts), F.least(nxt, F.lit(n_cuts)))
+        df = df.withColumn(f"__pos{i}", F.when((nxt <= n_cuts) & (probe < value), nxt)
+                           .otherwise(F.col(cur)))
+        df = df.drop(cur)
+        cur = f"__pos{i}"
+        step //= 2
+    return df.withColumnRenamed(cur, out)
+
+
 def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str],
                          buckets: int = 64, out: str = "__coarse") -> DataFrame:
     """Add a coarse bucket that never decreases as ``order_col`` grows:
@@ -50,9 +73,8 @@ def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str
         probs = [i / buckets for i in range(1, buckets)]
         cuts = df.groupBy(*g).agg(F.percentile_approx(F.col(order_col).cast("double"), probs,
                                                       10 * buckets).alias("__cuts"))
-        x = F.col(order_col).cast("double")
-        return (attach_group_stats(df, cuts, g)
-                .withColumn(out, F.size(F.filter("__cuts", lambda c: c < x))).drop("__cuts"))
+        return with_bucket(attach_group_stats(df, cuts, g), "__cuts",
+                           F.col(order_col).cast("double"), buckets - 1, out).drop("__cuts")
     return df.withColumn(out, F.lit(0))
 
 

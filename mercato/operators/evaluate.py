@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from mercato.functions.scoring import (RISK_THRESHOLD_HIGH, RISK_THRESHOLD_LOW,
                                        threshold_bucket)
-from mercato.operators._util import attach_group_stats, keys
+from mercato.operators._util import attach_group_stats, keys, with_bucket
 
-AUC_BUCKETS = 256
+AUC_BUCKETS = 64
 
 
 def _safe_div(a, b):
@@ -99,8 +99,8 @@ def roc_auc(df: DataFrame, score_col: str = "score", label_col: str = "label",
          .agg(F.count_if(lab == 1).alias("pos"), F.count_if(lab != 1).alias("neg")))
     cuts = s.groupBy(*g).agg(F.percentile_approx(
         "score", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts"))
-    sb = (attach_group_stats(s, cuts, g)
-          .withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("score")))).drop("cuts"))
+    sb = with_bucket(attach_group_stats(s, cuts, g), "cuts", F.col("score"), buckets - 1,
+                     "b").drop("cuts")
     local = sb.withColumn("neg_local", F.coalesce(F.sum("neg").over(
         Window.partitionBy(*g, "b").orderBy("score")
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

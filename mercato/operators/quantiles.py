@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.operators._util import keys as _keys
+from mercato.operators._util import with_bucket
+from mercato.session import materialize
 
 RANK_BUCKETS = 64
 
@@ -56,62 +58,25 @@ def column_modes(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
         F.sum("cnt").alias("count"))
 
 
-def bucket_of(cuts, value, n_cuts: int):
-    """Number of entries of the ascending array ``cuts`` (length ``n_cuts``)
-    that are smaller than ``value``: a fixed-step binary search over
-    ``element_at`` (log2 steps, code-generated, no per-element lambda)."""
-    pos = F.lit(0)
-    step = 1
-    while step * 2 <= n_cuts:
-        step *= 2
-    while step >= 1:
-        nxt = pos + step
-        pos = F.when((nxt <= n_cuts) & (F.element_at(cuts, F.least(nxt, F.lit(n_cuts))) < value),
-                     nxt).otherwise(pos)
-        step //= 2
-    return pos
-
-
-def with_prefix_counts(df: DataFrame, key_cols: Sequence[str], order_col: str, count_col: str,
-                       buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Add ``before`` = sum of ``count_col`` over rows of the same key with a
-    smaller ``order_col`` (``order_col`` unique per key, numeric).
-
-    Two levels, so no task sorts a whole key: ``order_col`` is cut into
-    balanced buckets at approximate quantiles, a window per (key, bucket)
-    gives the running count inside the bucket, and a running sum over the
-    per-bucket totals (one row per key x bucket) gives each bucket's offset.
-    """
-    k = list(key_cols)
-    n_cuts = buckets - 1
-    cuts = df.groupBy(*k).agg(F.percentile_approx(
-        F.col(order_col).cast("double"), [i / buckets for i in range(1, buckets)],
-        10 * buckets).alias("__cuts"))
-    b = (df.join(F.broadcast(cuts) if not k else cuts, on=k, how="inner") if k
-         else df.crossJoin(F.broadcast(cuts)))
-    b = b.withColumn("__b", bucket_of(F.col("__cuts"), F.col(order_col).cast("double"), n_cuts)
-                     ).drop("__cuts")
-    part = Window.partitionBy(*k, "__b")
-    local = (b.withColumn("__in", F.coalesce(F.sum(count_col).over(
-        part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("__bt", F.sum(count_col).over(part)))
-    offsets = (local.select(*k, "__b", "__bt").distinct()
-               .withColumn("__off", F.coalesce(F.sum("__bt").over(
-                   Window.partitionBy(*k).orderBy("__b")
-                   .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .drop("__bt"))
-    return (local.join(offsets, on=[*k, "__b"], how="inner")
-            .withColumn("before", F.col("__in") + F.col("__off"))
-            .drop("__b", "__in", "__bt", "__off"))
-
-
-def _bucketed(vc: DataFrame, k: list[str], buckets: int) -> DataFrame:
-    """Distinct values with a balanced, value-monotone bucket per key."""
+def _bucketed(vc: DataFrame, k: list[str], buckets: int, value: str = "value") -> DataFrame:
+    """Rows with a balanced bucket that never decreases as ``value`` grows:
+    the position of ``value`` among the per-key approximate quantiles."""
     cuts = vc.groupBy(*k).agg(F.percentile_approx(
-        "value", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__cuts"))
-    return (vc.join(cuts, on=k, how="inner")
-            .withColumn("bucket", bucket_of(F.col("__cuts"), F.col("value"), buckets - 1))
-            .drop("__cuts"))
+        F.col(value).cast("double"), [i / buckets for i in range(1, buckets)],
+        10 * buckets).alias("__cuts"))
+    joined = vc.join(cuts, on=k, how="inner") if k else vc.crossJoin(F.broadcast(cuts))
+    return with_bucket(joined, "__cuts", F.col(value).cast("double"), buckets - 1,
+                       "bucket").drop("__cuts")
+
+
+def _bucket_offsets(b: DataFrame, k: list[str], count_col: str) -> DataFrame:
+    """Per (key, bucket): total count, running offset of the bucket and the
+    key total (at most ``buckets`` rows per key)."""
+    totals = b.groupBy(*k, "bucket").agg(F.sum(count_col).alias("bt"))
+    w = Window.partitionBy(*k)
+    return (totals.withColumn("off", F.coalesce(F.sum("bt").over(
+        w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("n", F.sum("bt").over(w)))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -119,37 +84,32 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """``(group..., column, q, value)`` with the exact linearly interpolated
     quantile: position ``q * (n - 1)`` in sorted order.
 
-    1. distinct values with counts (partial aggregate), cut into balanced
-       buckets at approximate quantiles;
+    1. distinct values with counts (partial aggregate, written once), cut
+       into balanced buckets at approximate quantiles;
     2. per-bucket totals and their running offsets (one row per key x
        bucket) locate the bucket holding each wanted rank;
-    3. only those buckets are ranked, by a window per (key, bucket).
+    3. only those buckets are ranked, by a window per (key, bucket, target).
     """
     g = _keys(group_cols)
     k = [*g, "column"]
-    vc = value_counts(df, cols, "double", g)
+    # read by several branches below: materialise the distinct values once
+    vc = materialize(value_counts(df, cols, "double", g))
     b = _bucketed(vc, k, buckets)
-    totals = b.groupBy(*k, "bucket").agg(F.sum("cnt").alias("bt"))
-    w_all = Window.partitionBy(*k)
-    offs = (totals.withColumn("off", F.coalesce(F.sum("bt").over(
-        w_all.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("n", F.sum("bt").over(w_all)))
+    offs = _bucket_offsets(b, k, "cnt")
     n1 = F.col("n").cast("double") - 1
-    targets = offs.select(*k, "bucket", "off", "bt", "n", F.inline(F.array(*[
+    targets = offs.select(*k, "bucket", "off", "bt", F.inline(F.array(*[
         F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"),
                  (F.floor(F.lit(float(q)) * n1) if side == 0 else F.ceil(F.lit(float(q)) * n1))
                  .cast("long").alias("rank"),
                  (F.lit(float(q)) * n1 - F.floor(F.lit(float(q)) * n1)).alias("frac"))
         for q in probs for side in (0, 1)]))).where(
         (F.col("off") <= F.col("rank")) & (F.col("rank") < F.col("off") + F.col("bt")))
-    wanted = targets.select(*k, "bucket").distinct()
-    ranked = (b.join(wanted, on=[*k, "bucket"], how="left_semi")
+    ranked = (b.join(targets, on=[*k, "bucket"], how="inner")
               .withColumn("cum", F.sum("cnt").over(
-                  Window.partitionBy(*k, "bucket").orderBy("value")
+                  Window.partitionBy(*k, "bucket", "q", "side").orderBy("value")
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    hit = (ranked.join(targets, on=[*k, "bucket"], how="inner")
-           .where((F.col("off") + F.col("cum") - F.col("cnt") <= F.col("rank"))
-                  & (F.col("rank") < F.col("off") + F.col("cum"))))
+    hit = ranked.where((F.col("off") + F.col("cum") - F.col("cnt") <= F.col("rank"))
+                       & (F.col("rank") < F.col("off") + F.col("cum")))
     out = hit.groupBy(*k, "q").agg(
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v_lo"),
         F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v_hi"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from mercato.functions.coerce import finite_or_zero, lenient_number_or_zero
 from mercato.operators import anomaly, clean, forecast, profile, roles, series
 from mercato.operators._util import keys
+from mercato.session import materialize
 
 # Minimum rows for the anomaly and forecast steps.
 MIN_ROWS_ANOMALY = 10
@@ -70,6 +71,9 @@ def preprocess(df: DataFrame, group_cols: Sequence[str] = (), strict_roles: bool
     data = clean.clean_missing(df, g)
     data = clean.parse_dates(data)
     data = clean.enforce_numeric(data, [c for c in data.columns if c not in g])
+    # the cleaned upload feeds the profile, both role detectors and the
+    # series: write it once instead of re-running the imputation per reader
+    data = materialize(data)
     summary = profile.json_safe(profile.describe(data, group_cols=g, exact=exact_profile))
     view = data.drop(*g)
     date_col = roles.find_date_column(view, strict=strict_roles)

@@ -68,3 +68,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from the
+    written copy: cuts the lineage of an intermediate that several later
+    steps read, so it is neither re-planned nor recomputed per reader, and a
+    lost executor does not replay its whole history.  (Reliable checkpoint,
+    never a local one.)"""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -7,12 +7,12 @@ click event is a stored prediction of that tenant."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mercato.catalog import register
 from mercato.catalog.q_churn import customer_table
 from mercato.operators import churn_model, runs
+from mercato.operators._util import ordered_index
 from mercato.session import scratch_path
 from mercato.sources.tables import Tables
 
@@ -95,11 +95,13 @@ _MODELS_SQL = """
 
 def tenant_model_versions(spark, sf_dir):
     """Every model with its per-tenant version (1 = oldest) and an active
-    flag (latest version).  The window is partitioned by tenant."""
+    flag (latest version).  Versions come from the two-level ordered index
+    (windows per tenant x time bucket), so a tenant with a huge history is
+    still numbered by many tasks."""
     m = _models(spark, sf_dir)
-    w = Window.partitionBy("tenant_id").orderBy("trained_at", "model_id")
     counts = m.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_models"))
-    return (m.withColumn("version", F.row_number().over(w).cast("long"))
+    idx = ordered_index(m, "trained_at", ["tenant_id"], out="v0", tie_cols=["model_id"])
+    return (idx.withColumn("version", (F.col("v0") + 1).cast("long")).drop("v0")
             .join(counts, on="tenant_id", how="inner")
             .withColumn("is_active", F.col("version") == F.col("n_models")).drop("n_models"))
 

@@ -20,18 +20,45 @@ def keys(group_cols: Sequence[str] | str | None) -> list[str]:
     return list(group_cols)
 
 
-def attach_group_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+# Hot keys: a group may hold a third of all rows.  Joins of raw rows with
+# per-group statistics spread each group over this many salt buckets (the
+# statistics side, one row per group, is replicated that many times).
+SALT_BUCKETS = 8
+
+
+def row_salt(df: DataFrame, buckets: int = SALT_BUCKETS) -> Column:
+    """Deterministic salt in [0, buckets) from a hash of the row's values, so a
+    retried task puts every row in the same bucket again."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)).cast("int")
+
+
+def salted_join(rows: DataFrame, stats: DataFrame, on: Sequence[str],
+                buckets: int = SALT_BUCKETS, how: str = "inner") -> DataFrame:
+    """Equi-join of raw ``rows`` with one-row-per-key ``stats`` that stays
+    balanced when one key holds a large share of the rows: rows of a key are
+    spread over ``buckets`` salt values and ``stats`` is replicated per salt.
+    (AQE may still turn it into a broadcast join when ``stats`` is small.)"""
+    k = keys(on)
+    if buckets <= 1:
+        return rows.join(stats, on=k, how=how)
+    salted_rows = rows.withColumn("__salt", row_salt(rows, buckets))
+    salted_stats = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted_rows.join(salted_stats, on=[*k, "__salt"], how=how).drop("__salt")
+
+
+def attach_group_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str],
+                       salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Attach per-group statistics to every row of ``df``.
 
     With no grouping the statistics are a single row, so it is broadcast (its
     size is one row by construction).  With grouping the statistics have one
-    row per group; the equi-join lets AQE pick a broadcast at run time when the
-    measured side is small, and split skewed partitions of ``df`` otherwise.
+    row per group and the join is salted (see :func:`salted_join`), so a
+    group holding a third of the rows is still spread over many tasks.
     """
     g = keys(group_cols)
     if not g:
         return df.crossJoin(F.broadcast(stats))
-    return df.join(stats, on=g, how="inner")
+    return salted_join(df, stats, g, salt_buckets)
 
 
 def with_bucket(df: DataFrame, cuts: str, value, n_cuts: int, out: str) -> DataFrame:
@@ -65,8 +92,12 @@ def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str
     buckets are balanced whatever the value distribution)."""
     g = keys(group_cols)
     t = dict(df.dtypes)[order_col]
-    if t == "date" or t.startswith("timestamp"):
-        return df.withColumn(out, F.year(order_col))
+    if t == "date":
+        return df.withColumn(out, F.year(order_col))    # <= 366 distinct days a year
+    if t.startswith("timestamp"):
+        micros = F.unix_micros(F.col(order_col).cast("timestamp"))
+        tmp = with_monotone_bucket(df.withColumn("__us", micros), "__us", g, buckets, out)
+        return tmp.drop("__us")
     if t == "string":
         return df.withColumn(out, F.substring(order_col, 1, 2))
     if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
@@ -79,10 +110,11 @@ def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str
 
 
 def ordered_index(df: DataFrame, order_col: str, group_cols: Sequence[str],
-                  coarse: Column | None = None, out: str = "idx") -> DataFrame:
+                  coarse: Column | None = None, out: str = "idx",
+                  tie_cols: Sequence[str] = ()) -> DataFrame:
     """0-based position of each row in ``order_col`` order within ``group_cols``.
 
-    ``order_col`` must be unique within a group (e.g. an aggregated day).  The
+    ``(order_col, *tie_cols)`` must be unique within a group.  The
     index is computed in two levels so that no single task has to number a
     whole group: rows are numbered by a window partitioned on
     ``group_cols + coarse`` (``coarse`` must never decrease as ``order_col``
@@ -96,7 +128,8 @@ def ordered_index(df: DataFrame, order_col: str, group_cols: Sequence[str],
     else:
         tmp = df.withColumn("__coarse", coarse)
     local = tmp.withColumn(
-        "__local", F.row_number().over(Window.partitionBy(*g, "__coarse").orderBy(order_col)) - 1)
+        "__local", F.row_number().over(
+            Window.partitionBy(*g, "__coarse").orderBy(order_col, *tie_cols)) - 1)
     sizes = tmp.groupBy(*g, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.withColumn(
         "__offset",

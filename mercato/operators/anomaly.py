@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.coerce import lenient_number, lenient_number_or_zero
-from mercato.operators._util import attach_group_stats, keys
+from mercato.operators._util import attach_group_stats, keys, salted_join
 from mercato.operators.series import daily_totals
 
 # The daily and per-customer detectors flag values more than 2
@@ -80,9 +80,9 @@ def item_price_outliers(df: DataFrame, item_col: str = "sku", price_col: str = "
     count toward the gate but are never flagged).
 
     The per-item statistics are a partial aggregate (one row per item), joined
-    back on the item key, so a hot item never has to be sorted or held in one
-    task: AQE either broadcasts the measured statistics or splits the skewed
-    partitions of the row side.  Emits item, row id, price.
+    back on the item key with a salted join, so a hot item's rows are spread
+    over several tasks and never sorted or held in one (AQE may still
+    broadcast the statistics when they are small).  Emits item, row id, price.
     """
     g = keys(group_cols)
     rows = df.withColumn(price_col, lenient_number(price_col))
@@ -92,7 +92,7 @@ def item_price_outliers(df: DataFrame, item_col: str = "sku", price_col: str = "
                   F.avg(price_col).alias("mean"),
                   F.stddev_samp(price_col).alias("std"))
              .where(F.col("n_rows") >= min_rows))
-    out = (rows.join(stats, on=[*g, item_col], how="inner")
+    out = (salted_join(rows, stats, [*g, item_col])
            .where(_outside(F.col(price_col), F.col("mean"), F.col("std"), k)))
     cols = [*g, item_col] + ([row_id_col] if row_id_col else []) + [price_col, "mean", "std"]
     return out.select(*cols)

@@ -101,12 +101,17 @@ def numeric_string_columns(df: DataFrame, cols: Sequence[str] | None = None) ->
     return out
 
 
-def enforce_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def enforce_numeric(df: DataFrame, cols: Sequence[str] | None = None,
+                    conv: dict[str, str] | None = None) -> DataFrame:
     """All-or-nothing numeric conversion of string columns: a column becomes
     LONG/DOUBLE only if every non-null value parses; otherwise it stays a
-    string."""
-    conv = numeric_string_columns(df, cols)
+    string.  ``conv`` (from :func:`numeric_string_columns`) skips the check,
+    e.g. when it was made on the raw rows before imputation, which fills
+    only with values the column already has and so cannot change it."""
+    if conv is None:
+        conv = numeric_string_columns(df, cols)
     out = df
     for c, t in conv.items():
-        out = out.withColumn(c, F.trim(F.col(c)).try_cast(t))
+        if c in out.columns and isinstance(out.schema[c].dataType, T.StringType):
+            out = out.withColumn(c, F.trim(F.col(c)).try_cast(t))
     return out

@@ -68,9 +68,16 @@ def preprocess(df: DataFrame, group_cols: Sequence[str] = (), strict_roles: bool
     g = keys(group_cols)
     if not g:
         df, g = df.withColumn(_ONE, F.lit(0)), [_ONE]
+    # the all-or-nothing numeric check runs on the raw rows (imputation only
+    # fills with values a column already has, so it cannot change the
+    # outcome); date-named strings are parsed as dates instead
+    dated = {f.name for f in df.schema.fields
+             if any(w in f.name.lower() for w in clean.DATE_NAME_WORDS)}
+    conv = clean.numeric_string_columns(
+        df, [c for c in df.columns if c not in g and c not in dated])
     data = clean.clean_missing(df, g)
     data = clean.parse_dates(data)
-    data = clean.enforce_numeric(data, [c for c in data.columns if c not in g])
+    data = clean.enforce_numeric(data, conv=conv)
     # the cleaned upload feeds the profile, both role detectors and the
     # series: write it once instead of re-running the imputation per reader
     data = materialize(data)

@@ -26,10 +26,13 @@ def keys(group_cols: Sequence[str] | str | None) -> list[str]:
 SALT_BUCKETS = 8
 
 
-def row_salt(df: DataFrame, buckets: int = SALT_BUCKETS) -> Column:
-    """Deterministic salt in [0, buckets) from a hash of the row's values, so a
-    retried task puts every row in the same bucket again."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)).cast("int")
+def row_salt(buckets: int = SALT_BUCKETS) -> Column:
+    """Salt in [0, buckets) from the id of the partition the row is read in:
+    free to compute and deterministic, so a retried task salts every row the
+    same way again.  Rows of one key arrive from many input partitions and
+    so spread over the salt values.  (Any salt gives the same result: every
+    salt value meets an identical copy of the statistics.)"""
+    return F.pmod(F.spark_partition_id(), F.lit(buckets)).cast("int")
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, on: Sequence[str],
@@ -41,7 +44,7 @@ def salted_join(rows: DataFrame, stats: DataFrame, on: Sequence[str],
     k = keys(on)
     if buckets <= 1:
         return rows.join(stats, on=k, how=how)
-    salted_rows = rows.withColumn("__salt", row_salt(rows, buckets))
+    salted_rows = rows.withColumn("__salt", row_salt(buckets))
     salted_stats = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted_rows.join(salted_stats, on=[*k, "__salt"], how=how).drop("__salt")
 
@@ -87,7 +90,8 @@ def with_bucket(df: DataFrame, cuts: str, value, n_cuts: int, out: str) -> DataF
 def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str],
                          buckets: int = 64, out: str = "__coarse") -> DataFrame:
     """Add a coarse bucket that never decreases as ``order_col`` grows:
-    the year of a date, a 2-character prefix of a string, or for numbers the
+    the year of a date, the day of a timestamp, a 2-character prefix of a
+    string, or for numbers the
     position among approximate-quantile cut points of the group (so the
     buckets are balanced whatever the value distribution)."""
     g = keys(group_cols)
@@ -95,9 +99,7 @@ def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str
     if t == "date":
         return df.withColumn(out, F.year(order_col))    # <= 366 distinct days a year
     if t.startswith("timestamp"):
-        micros = F.unix_micros(F.col(order_col).cast("timestamp"))
-        tmp = with_monotone_bucket(df.withColumn("__us", micros), "__us", g, buckets, out)
-        return tmp.drop("__us")
+        return df.withColumn(out, F.to_date(order_col))  # one bucket per calendar day
     if t == "string":
         return df.withColumn(out, F.substring(order_col, 1, 2))
     if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.coerce import lenient_number, lenient_number_or_zero
@@ -33,13 +33,23 @@ def series_stats(daily: DataFrame, value_col: str = "total", group_cols: Sequenc
 
 
 def flag_series_anomalies(daily: DataFrame, value_col: str = "total",
-                          group_cols: Sequence[str] = (), k: float = DAILY_SIGMAS) -> DataFrame:
+                          group_cols: Sequence[str] = (), k: float = DAILY_SIGMAS,
+                          bounded: bool = False) -> DataFrame:
     """Rows of an already aggregated series whose value lies outside
     mean +- k*std of their series.  A one-day series has a NULL std and
-    yields nothing."""
+    yields nothing.
+
+    ``bounded`` series (calendar days: at most 366 rows a year) get their
+    statistics from a window per series in the same pass; otherwise the
+    statistics are a separate aggregate joined back (salted)."""
     g = keys(group_cols)
-    stats = series_stats(daily, value_col, g)
-    flagged = attach_group_stats(daily, stats, g)
+    if bounded:
+        w = Window.partitionBy(*g)
+        flagged = (daily.withColumn("mean", F.avg(value_col).over(w))
+                   .withColumn("std", F.stddev_samp(value_col).over(w))
+                   .withColumn("n_days", F.count(F.lit(1)).over(w)))
+    else:
+        flagged = attach_group_stats(daily, series_stats(daily, value_col, g), g)
     return flagged.where(_outside(F.col(value_col), F.col("mean"), F.col("std"), k))
 
 
@@ -48,14 +58,13 @@ def daily_anomalies(df: DataFrame, date_col: str = "order_date", value_col: str
                     grain: str = "day", value_scale: int | None = None) -> DataFrame:
     """Days whose total lies outside mean +- k*std of the daily totals.
 
-    Plan: partial+final hash aggregate to one row per day, a second tiny
-    aggregate to one row per series, then a broadcast (one-row) or
-    AQE-chosen join back to the days.  Raw rows are shuffled only as
-    pre-aggregated partial sums.
+    Plan: partial+final hash aggregate to one row per day, then the series
+    mean/std from a window per series over that small table (one scan of
+    the input).  Raw rows are shuffled only as pre-aggregated partial sums.
     """
     daily = daily_totals(df, date_col, value_col, group_cols, grain=grain,
                          value_scale=value_scale)
-    return flag_series_anomalies(daily, "total", group_cols, k)
+    return flag_series_anomalies(daily, "total", group_cols, k, bounded=(grain == "day"))
 
 
 def row_anomalies(df: DataFrame, value_col: str = "Total Spend", group_cols: Sequence[str] = (),

@@ -93,12 +93,11 @@ def forecast_moving_average(df: DataFrame, date_col: str = "order_date",
     g = keys(group_cols)
     if daily is None:
         daily = daily_totals(df, date_col, value_col, g, value_scale=value_scale)
-    idx = with_day_index(daily, "date", g)
-    n = idx.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
-    tail = (idx.join(n, on=g, how="inner") if g else idx.crossJoin(F.broadcast(n)))
-    last = (tail.where(F.col("day_index") >= F.col("n") - window)
-            .groupBy(*g, "last_date")
-            .agg((_sum(_exact("total", value_scale)) / F.count(F.lit(1))).alias("forecast")))
+    idx = with_day_index(daily, "date", g, n_out="n")
+    last = (idx.where(F.col("day_index") >= F.col("n") - window)
+            .groupBy(*g)
+            .agg((_sum(_exact("total", value_scale)) / F.count(F.lit(1))).alias("forecast"),
+                 F.max("date").alias("last_date")))
     return _dated(last, g, days_ahead)
 
 

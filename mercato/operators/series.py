@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.operators._util import keys, ordered_index
@@ -39,11 +39,24 @@ def daily_totals(df: DataFrame, date_col: str = "order_date", value_col: str = "
 
 
 def with_day_index(daily: DataFrame, date_col: str = "date", group_cols: Sequence[str] = (),
-                   out: str = "day_index") -> DataFrame:
-    """0..n-1 over the *observed* days of each series (gaps are not filled).
-
-    Numbered per (series, year) and offset by the running day count of the
-    earlier years, so no task has to number a whole series (other order
-    types use their own monotone buckets, see ``ordered_index``).
+                   out: str = "day_index", n_out: str | None = None) -> DataFrame:
+    """0..n-1 over the *observed* days of each series (gaps are not filled),
+    optionally with the series length in ``n_out``.
+
+    A calendar-day series holds at most 366 rows a year, so it is numbered by
+    one window per series over the aggregated table, in the same pass that
+    produced it.  Any other order (raw timestamps, numbers) can be unbounded
+    and uses the two-level index of ``ordered_index`` instead.
     """
-    return ordered_index(daily, date_col, group_cols, out=out)
+    g = keys(group_cols)
+    if dict(daily.dtypes)[date_col] == "date":
+        w = Window.partitionBy(*g)
+        out_df = daily.withColumn(out, (F.row_number().over(w.orderBy(date_col)) - 1).cast("long"))
+        if n_out:
+            out_df = out_df.withColumn(n_out, F.count(F.lit(1)).over(w))
+        return out_df
+    out_df = ordered_index(daily, date_col, g, out=out)
+    if n_out:
+        out_df = out_df.join(daily.groupBy(*g).agg(F.count(F.lit(1)).alias(n_out)), on=g) \
+            if g else out_df.crossJoin(F.broadcast(daily.agg(F.count(F.lit(1)).alias(n_out))))
+    return out_df

@@ -90,7 +90,8 @@ def preprocess(df: DataFrame, group_cols: Sequence[str] = (), strict_roles: bool
     if date_col and qty_col:
         typed = data.withColumn(qty_col, lenient_number_or_zero(qty_col))
         # the original groups on the raw value of the date column
-        daily = series.daily_totals(typed, date_col, qty_col, g, grain="raw")
+        # read by the anomaly and the forecast branches: written once
+        daily = materialize(series.daily_totals(typed, date_col, qty_col, g, grain="raw"))
         n_anom = (anomaly.flag_series_anomalies(daily, "total", g)
                   .groupBy(*g).agg(F.count(F.lit(1)).alias("__anom")))
         counts = (counts.join(n_anom, on=g, how="left")

@@ -15,6 +15,23 @@ from mercato.operators._util import col_of
 
 MICROS_PER_DAY = 86_400_000_000
 
+# Shapes of strings that can parse as numbers (decimal / exponent forms and
+# the usual special words).  Used to skip the cast for strings that cannot
+# parse, which is much cheaper than a failing cast.
+NUMBER_SHAPE = r"^\s*[+-]?((\d+(\.\d*)?)|(\.\d+))([eE][+-]?\d+)?\s*$"
+SPECIAL_NUMBER_SHAPE = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
+INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
+
+
+def parses_as(c, to: str) -> Column:
+    """TRUE when the string ``c`` converts to ``to`` ("double" / "long"):
+    a cheap shape test first, the exact cast only for candidates."""
+    c = col_of(c)
+    if to == "long":
+        return c.rlike(INTEGER_SHAPE) & c.try_cast("long").isNotNull()
+    shape = c.rlike(NUMBER_SHAPE) | c.rlike(SPECIAL_NUMBER_SHAPE)
+    return shape & c.try_cast(to).isNotNull()
+
 
 def lenient_number(c) -> Column:
     """String/number -> DOUBLE, unparsable -> NULL (price handling)."""

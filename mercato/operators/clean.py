@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.functions.coerce import lenient_timestamp
+from mercato.functions.coerce import lenient_timestamp, parses_as
 from mercato.operators._util import attach_group_stats, keys
 from mercato.operators.profile import column_kinds
 from mercato.operators.quantiles import column_modes
@@ -91,8 +91,8 @@ def numeric_string_columns(df: DataFrame, cols: Sequence[str] | None = None) ->
     aggs = []
     for c in strs:
         x = F.trim(F.col(c))
-        aggs.append(F.bool_and(x.isNull() | x.try_cast("double").isNotNull()).alias(f"d__{c}"))
-        aggs.append(F.bool_and(x.isNull() | x.try_cast("long").isNotNull()).alias(f"l__{c}"))
+        aggs.append(F.bool_and(x.isNull() | parses_as(x, "double")).alias(f"d__{c}"))
+        aggs.append(F.bool_and(x.isNull() | parses_as(x, "long")).alias(f"l__{c}"))
     row = df.agg(*aggs).first()
     out = {}
     for c in strs:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.functions.coerce import parses_as
+
 # Strings read as missing (the pandas CSV reader's defaults).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -60,8 +62,8 @@ def infer_column_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs = []
     for c in strs:
         x = F.trim(F.col(c))
-        aggs += [F.bool_and(x.isNull() | x.try_cast("long").isNotNull()).alias(f"l__{c}"),
-                 F.bool_and(x.isNull() | x.try_cast("double").isNotNull()).alias(f"d__{c}"),
+        aggs += [F.bool_and(x.isNull() | parses_as(x, "long")).alias(f"l__{c}"),
+                 F.bool_and(x.isNull() | parses_as(x, "double")).alias(f"d__{c}"),
                  F.bool_and(x.isNull() | F.array_contains(bools, F.lower(x))).alias(f"b__{c}"),
                  F.count(x).alias(f"n__{c}")]
     row = df.agg(*aggs).first()

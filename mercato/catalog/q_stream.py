@@ -63,3 +63,52 @@ def q_upload_roundtrip(spark, sf_dir):
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_price"),
         F.max("o_orderdate").alias("last_order_date"),
         F.countDistinct("o_custkey").alias("customers"))
+
+
+_UPLOAD_SCHEMA = ("sku long, quantity double, price double, customer_id long, "
+                  "order_date string, row_id string")
+
+
+@register("stream_upload_insights", sql="""
+WITH r AS (
+  SELECT o.o_orderstatus AS upload, l.l_partkey AS sku, l.l_quantity AS quantity,
+         l.l_extendedprice AS price, o.o_custkey AS customer_id,
+         CAST(o.o_orderdate AS TIMESTAMP) AS order_date
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+n AS (SELECT upload, count(*) AS rows FROM r GROUP BY upload),
+lastd AS (SELECT upload, customer_id, max(order_date) AS last_d FROM r
+          WHERE customer_id IS NOT NULL GROUP BY upload, customer_id),
+cut AS (SELECT upload, max(order_date) - INTERVAL 90 DAY AS cutoff FROM r GROUP BY upload),
+risk AS (SELECT l.upload, count_if(l.last_d < c.cutoff) AS churn_at_risk_count
+         FROM lastd l JOIN cut c ON l.upload = c.upload GROUP BY l.upload),
+st AS (SELECT upload, sku, avg(price) AS m, stddev_samp(price) AS sd FROM r
+       WHERE sku IS NOT NULL GROUP BY upload, sku HAVING count(*) >= 5),
+anom AS (SELECT r.upload, count(*) AS anomaly_count FROM r JOIN st
+           ON r.upload = st.upload AND r.sku = st.sku
+         WHERE r.price > st.m + 3 * st.sd OR r.price < st.m - 3 * st.sd GROUP BY r.upload)
+SELECT n.upload, n.rows, risk.churn_at_risk_count,
+       coalesce(anom.anomaly_count, 0) AS anomaly_count
+FROM n JOIN risk ON n.upload = risk.upload LEFT JOIN anom ON n.upload = anom.upload""")
+def q_stream_upload_insights(spark, sf_dir):
+    """Line items exported as CSV uploads (one folder per order status), then
+    ingested by the checkpointed file stream; each micro-batch runs the
+    quick insights for all of its uploads at once."""
+    t = Tables(spark, sf_dir)
+    rows = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+            .select(F.col("o_orderstatus").alias("upload"), F.col("l_partkey").alias("sku"),
+                    F.col("l_quantity").alias("quantity"),
+                    F.col("l_extendedprice").alias("price"),
+                    F.col("o_custkey").alias("customer_id"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
+                    F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row_id")))
+    src = scratch_path(spark, "upload-src")
+    rows.write.partitionBy("upload").option("header", True).csv(src)
+    stream = (ingest.upload_stream(spark, src, _UPLOAD_SCHEMA + ", upload string", fmt="csv")
+              .withColumn("upload_id", F.col("upload")).drop("upload"))
+    out_dir, ckpt = scratch_path(spark, "upload-out"), scratch_path(spark, "upload-ckpt")
+    q = ingest.run_ingest(stream, out_dir, ckpt,
+                          lambda b: ingest.upload_insights(b, "upload_id", "row_id"))
+    q.awaitTermination()
+    res = spark.read.parquet(os.path.join(out_dir, "analyses"))
+    return res.select(F.col("upload_id").alias("upload"), "rows", "churn_at_risk_count",
+                      "anomaly_count")

@@ -21,11 +21,12 @@ from mercato.sources.sinks import replace_partitions
 from mercato.sources.uploads import CSV_GLOB
 
 
-def upload_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
+def upload_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str,
                   fmt: str = "csv", glob: str | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of new files under ``source_dir`` with
-    ``upload_file`` / ``upload_id`` per row."""
+    ``upload_file`` / ``upload_id`` per row (``schema``: StructType or DDL;
+    partition folders such as ``upload=...`` become columns)."""
     r = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         r = r.option("header", True)
@@ -72,3 +73,19 @@ def run_ingest(stream: DataFrame, out_dir: str, checkpoint: str,
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
+
+
+def upload_insights(batch: DataFrame, upload_col: str = "upload_id",
+                    row_id_col: str | None = None) -> DataFrame:
+    """Per-upload insight rows of one micro-batch (set-based: every upload of
+    the batch in the same jobs): the insights document flattened to its
+    counts plus the top items as a map."""
+    from mercato.plans.insights_doc import insights
+
+    doc = insights(batch, group_cols=[upload_col], row_id_col=row_id_col).document
+    return doc.select(
+        upload_col, F.col("summary.rows").alias("rows"),
+        F.col("summary.last_order_date").alias("last_order_date"),
+        F.col("insights.top_skus").alias("top_skus"),
+        F.col("insights.churn_at_risk_count").alias("churn_at_risk_count"),
+        F.col("insights.anomaly_count").alias("anomaly_count"))

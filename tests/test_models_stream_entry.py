@@ -71,9 +71,7 @@ def test_stream_sees_each_file_once(spark, tmp_path):
     src = tmp_path / "incoming"
     src.mkdir()
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
-    schema = "sku string, quantity double, price double, customer_id string, order_date string"
-    from pyspark.sql.types import _parse_datatype_string
-    st = _parse_datatype_string(schema)
+    st = "sku string, quantity double, price double, customer_id string, order_date string"
 
     def analyse(batch):
         return batch.groupBy("upload_id").agg(F.count(F.lit(1)).alias("rows"),
@@ -97,6 +95,22 @@ def test_stream_sees_each_file_once(spark, tmp_path):
                                                           "started", "started"]
 
 
+def test_stream_upload_insights_per_upload(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = ["sku,quantity,price,customer_id,order_date"]
+    lines += [f"S{i % 2},{i},{10.0 + (i % 3)},C{i % 4},2024-01-{1 + i:02d}" for i in range(12)]
+    (src / "u1.csv").write_text("\n".join(lines) + "\n")
+    (src / "u2.csv").write_text("sku,quantity,price,customer_id,order_date\nZ,5,1.0,C9,2024-02-01\n")
+    schema = "sku string, quantity double, price double, customer_id string, order_date string"
+    q = ingest.run_ingest(ingest.upload_stream(spark, str(src), schema), str(tmp_path / "o"),
+                          str(tmp_path / "c"), ingest.upload_insights)
+    q.awaitTermination()
+    res = {r["upload_id"]: r for r in spark.read.parquet(str(tmp_path / "o" / "analyses")).collect()}
+    by_rows = sorted((r["rows"], dict(r["top_skus"])) for r in res.values())
+    assert by_rows == [(1, {"Z": 5.0}), (12, {"S1": 36.0, "S0": 30.0})]
+
+
 def test_entry_contract(spark):
     df = entry_mod.entry(spark)
     assert df.columns == ["date", "total", "direction"]

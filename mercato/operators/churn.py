@@ -72,13 +72,22 @@ def median_table(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
                                .alias(f"median__{c}") for c in cols])
 
 
-def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+MAX_LEVELS = 1000
+
+
+def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS
+                    ) -> dict[str, list[str]]:
     """Distinct values of low-cardinality categorical columns, sorted (the
-    encoding learnt at fit time).  Collects only the distinct levels."""
+    encoding learnt at fit time).  At most ``max_levels + 1`` distinct values
+    per column ever reach the driver; a column with more levels is refused
+    (use ``StringIndexer`` + ``OneHotEncoder`` for high-cardinality keys)."""
     out = {}
     for c in cols:
-        vals = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull())
-                .distinct().collect()]
+        vals = [r[0] for r in df.select(F.col(c).cast("string").alias(c))
+                .where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()]
+        if len(vals) > max_levels:
+            raise ValueError(f"{c!r} has more than {max_levels} levels; one-hot columns are "
+                             "meant for low-cardinality categories")
         out[c] = sorted(vals)
     return out
 

@@ -217,3 +217,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p)
+
+
+def train_for_tenant(spark: SparkSession, customers: DataFrame, tenant_id: int, as_of,
+                     store_dir: str, tenant_col: str = "tenant_id", label_col: str = "churned",
+                     **kw) -> dict:
+    """Train-and-register entry point for one tenant: the labelled-row gate
+    (at least 10 labels), the fit on that tenant's rows (the scan prunes the
+    other tenants' partitions), and the registry append."""
+    rows = customers.where(F.col(tenant_col) == tenant_id)
+    n = rows.where(F.col(label_col).isNotNull()).count()
+    if n < churn.MIN_LABELLED_ROWS:
+        return {"success": False, "tenant_id": tenant_id, "labelled_rows": n,
+                "message": f"at least {churn.MIN_LABELLED_ROWS} labelled rows are needed"}
+    trained = train_churn_model(rows, as_of, label_col=label_col, **kw)
+    info = register_model(spark, trained, store_dir, tenant_id)
+    return {"success": True, **info, "metrics": trained.metrics}

@@ -119,3 +119,23 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 40
     for name in ("top_items", "run_status_counts", "threshold_sweep"):
         assert qs[name](spark, SF_SMALL).count() > 0
+
+
+def test_train_for_tenant_gate(spark):
+    df, as_of = _customers(spark, n=60)
+    df = df.withColumn("tenant_id", F.when(F.col("customer_id") < "C0005", 2).otherwise(1))
+    store = scratch_path(spark, "test-tenant-models")
+    small = churn_model.train_for_tenant(spark, df, 2, F.lit(as_of), store)
+    assert small["success"] is False and small["labelled_rows"] == 5
+    ok = churn_model.train_for_tenant(spark, df, 1, F.lit(as_of), store,
+                                      gbt_params={"maxIter": 5})
+    assert ok["success"] and ok["version"] == 1
+
+
+def test_category_levels_refuse_high_cardinality(spark):
+    import pytest
+    from mercato.operators import churn
+    df = spark.range(50).selectExpr("cast(id as string) AS k")
+    assert len(churn.category_levels(df, ["k"])["k"]) == 50
+    with pytest.raises(ValueError):
+        churn.category_levels(df, ["k"], max_levels=10)

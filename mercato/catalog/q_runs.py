@@ -72,3 +72,23 @@ WHERE rn = 1""")
 def q_latest_run_per_upload(spark, sf_dir):
     return runs.latest_per_key(run_log(spark, sf_dir), ["upload_id"], "created_at",
                                tie_col="event_id")
+
+
+@register("anomaly_preview", sql="""
+WITH s AS (
+  SELECT event_type, avg(value) AS mean, stddev_samp(value) AS std
+  FROM events WHERE event_type IS NOT NULL GROUP BY event_type HAVING count(*) >= 5),
+o AS (
+  SELECT e.event_type, e.event_id, e.value FROM events e JOIN s ON e.event_type = s.event_type
+  WHERE e.value > s.mean + 3 * s.std OR e.value < s.mean - 3 * s.std),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)
+             AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM o)
+SELECT event_type, event_id, value, greatest(n - 5, 0) AS more FROM r WHERE rk <= 5""")
+def q_anomaly_preview(spark, sf_dir):
+    """The five largest price outliers of each item with the number not
+    shown ("n more"), as a results page lists them."""
+    from mercato.operators import anomaly
+    ev = Tables(spark, sf_dir).events
+    out = anomaly.item_price_outliers(ev, "event_type", "value", row_id_col="event_id")
+    return runs.preview(out.select("event_type", "event_id", "value"), 5,
+                        [F.col("value").desc(), F.col("event_id")], group_cols=["event_type"])

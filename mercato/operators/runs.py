@@ -89,3 +89,22 @@ def latest_per_key(df: DataFrame, key_cols: Sequence[str], ts_col: str = "create
     order = F.struct(F.col(ts_col), *([F.col(tie_col)] if tie_col else []))
     return (df.groupBy(*k).agg(F.max_by(F.struct(*rest), order).alias("__r"))
             .select(*k, *[F.col(f"__r.{c}").alias(c) for c in rest]))
+
+
+def preview(df: DataFrame, n: int, order_cols: Sequence, group_cols: Sequence[str] = ()
+            ) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order (per group), each carrying
+    ``more`` = how many rows were not shown (``greatest(count - n, 0)``).
+    The count is an aggregate, the slice a top-n: no full sort."""
+    g = keys(group_cols)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    if not g:
+        head = df.orderBy(*order).limit(n)
+        total = df.agg(F.count(F.lit(1)).alias("__n"))
+        return (head.crossJoin(F.broadcast(total))
+                .withColumn("more", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n"))
+    w = Window.partitionBy(*g).orderBy(*order)
+    head = df.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= n).drop("__rk")
+    total = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+    return (head.join(total, on=g, how="inner")
+            .withColumn("more", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n"))

@@ -76,3 +76,20 @@ def new_rows_only(existing: DataFrame, incoming: DataFrame, key_cols: Sequence[s
         "reason", F.lit("already exists"))
     fresh = valid.join(known, on=k, how="left_anti").dropDuplicates(k)
     return fresh, rejected.unionByName(dup, allowMissingColumns=True)
+
+
+def latest_analysis(analyses: DataFrame, upload_id=None, upload_col: str = "upload_id",
+                    created_col: str = "created_at", json_schemas: dict | None = None
+                    ) -> DataFrame:
+    """Read analyses back: optionally one upload (a partition-prunable
+    filter), the latest row per upload by ``created_col`` (``max_by``, no
+    sort of all rows), and ``<col>_json`` text decoded with ``from_json``
+    for the schemas given."""
+    df = analyses if upload_id is None else analyses.where(F.col(upload_col) == upload_id)
+    rest = [c for c in df.columns if c != upload_col]
+    latest = (df.groupBy(upload_col).agg(F.max_by(F.struct(*rest), F.col(created_col))
+                                         .alias("__r"))
+              .select(upload_col, *[F.col(f"__r.{c}").alias(c) for c in rest]))
+    for col, schema in (json_schemas or {}).items():
+        latest = latest.withColumn(col, F.from_json(F.col(f"{col}_json"), schema))
+    return latest

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -26,3 +27,10 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return table(self._spark, self._dir, name)
+
+
+def with_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
+    """Position of each row inside its Parquet file (0-based), from the
+    file metadata: stable across runs and retries, no shuffle, no sort."""
+    return df.select("*", F.col("_metadata.row_index").alias(out),
+                     F.col("_metadata.file_path").alias(f"{out}_file"))

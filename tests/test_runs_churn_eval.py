@@ -148,3 +148,25 @@ def test_confusion_weights_and_labels(spark):
     assert [r["l"] for r in lab] == ["High Risk", "Low Risk", "Medium Risk", "Low Risk"]
     assert [round(r["c"], 9) for r in lab] == [0.8, 0.6, 0.2, 0.2]
     assert [r["t"] for r in lab] == ["high", "low", "medium", "low"]
+
+
+def test_preview_latest_analysis_and_row_index(spark, tmp_path):
+    from mercato.sources import sinks, tables
+    df = spark.range(12).withColumn("g", (F.col("id") % 2).cast("int"))
+    p = runs.preview(df, 3, [F.col("id").desc()], group_cols=["g"]).collect()
+    assert sorted((r["g"], r["id"], r["more"]) for r in p) == [
+        (0, 6, 3), (0, 8, 3), (0, 10, 3), (1, 7, 3), (1, 9, 3), (1, 11, 3)]
+    top = runs.preview(df, 20, ["id"]).collect()
+    assert len(top) == 12 and {r["more"] for r in top} == {0}
+    a = spark.createDataFrame(
+        [(1, '{"rows": 3}', dt.datetime(2025, 1, 1)), (1, '{"rows": 5}', dt.datetime(2025, 1, 2)),
+         (2, '{"rows": 7}', dt.datetime(2025, 1, 1))],
+        "upload_id long, summary_json string, created_at timestamp")
+    got = {r["upload_id"]: r["summary"]["rows"] for r in
+           sinks.latest_analysis(a, json_schemas={"summary": "rows long"}).collect()}
+    assert got == {1: 5, 2: 7}
+    assert sinks.latest_analysis(a, upload_id=2).count() == 1
+    path = str(tmp_path / "t.parquet")
+    spark.range(5).coalesce(1).write.parquet(path)
+    idx = [r["row_index"] for r in tables.with_row_index(spark.read.parquet(path)).collect()]
+    assert sorted(idx) == [0, 1, 2, 3, 4]

@@ -79,7 +79,7 @@ n AS (SELECT upload, count(*) AS rows FROM r GROUP BY upload),
 lastd AS (SELECT upload, customer_id, max(order_date) AS last_d FROM r
           WHERE customer_id IS NOT NULL GROUP BY upload, customer_id),
 cut AS (SELECT upload, max(order_date) - INTERVAL 90 DAY AS cutoff FROM r GROUP BY upload),
-risk AS (SELECT l.upload, count_if(l.last_d < c.cutoff) AS churn_at_risk_count
+risk AS (SELECT l.upload, CAST(count_if(l.last_d < c.cutoff) AS BIGINT) AS churn_at_risk_count
          FROM lastd l JOIN cut c ON l.upload = c.upload GROUP BY l.upload),
 st AS (SELECT upload, sku, avg(price) AS m, stddev_samp(price) AS sd FROM r
        WHERE sku IS NOT NULL GROUP BY upload, sku HAVING count(*) >= 5),

@@ -22,7 +22,7 @@ _TRAINED: dict = {}
 def trained_churn(spark, sf_dir):
     """Pooled churn model over all labelled customers (memoised per session
     and data folder, since three queries report on the same fit)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (id(spark), sf_dir)
     if key not in _TRAINED:
         c = customer_table(spark, sf_dir).withColumnRenamed("c_custkey", "customer_id")
         _TRAINED[key] = churn_model.train_churn_model(c, F.col("feature_date"))

@@ -213,10 +213,12 @@ def with_tenant(df: DataFrame, tenant_id: int) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    """Does the registry table exist yet (any Hadoop file system)?"""
+    try:
+        spark.read.format("parquet").load(path).limit(0).collect()
+        return True
+    except Exception:  # AnalysisException: path does not exist
+        return False
 
 
 def train_for_tenant(spark: SparkSession, customers: DataFrame, tenant_id: int, as_of,

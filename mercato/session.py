@@ -46,7 +46,10 @@ def build_session(master: str | None = None, app_name: str = "mercato",
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # Spark Connect
+        pass
     checkpoint_dir(spark)
     return spark
 
@@ -54,7 +57,11 @@ def build_session(master: str | None = None, app_name: str = "mercato",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a private one only when
     the session does not name any (local runs and tests)."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
+            prefix="mercato-ckpt-")
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="mercato-ckpt-")

@@ -245,11 +245,8 @@ FROM c""")
 def q_confusion_report(spark, sf_dir):
     s = scored_documents(spark, sf_dir)
     best = evaluate.best_threshold(evaluate.threshold_sweep(s, "score", "label"))
-    thr = best.select(F.col("threshold").alias("__thr"))
-    joined = attach_group_stats(s, thr, [])
-    rep = evaluate.confusion(joined.withColumn("g", F.col("__thr")), "score", "label", "__thr",
-                             group_cols=["g"])
-    return rep.withColumnRenamed("g", "threshold")
+    scored = attach_group_stats(s, best.select(F.col("threshold").alias("best_threshold")), [])
+    return evaluate.confusion(scored, "score", "label", "best_threshold")
 
 
 @register("roc_auc", sql=f"""WITH {_SCORED_SQL},

@@ -68,16 +68,17 @@ def best_threshold(sweep: DataFrame, group_cols: Sequence[str] = ()) -> DataFram
 def confusion(df: DataFrame, score_col: str, label_col: str, threshold,
               group_cols: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and accuracy / precision / recall / F1 at a threshold
-    (a number or a column of ``df``)."""
+    (a number, or a column of ``df`` holding one value per group)."""
     g = keys(group_cols)
     thr = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else F.col(threshold)
     lab = F.col(label_col).cast("int") == 1
     pred = F.col(score_col) >= thr
     c = (df.where(F.col(label_col).isNotNull() & F.col(score_col).isNotNull())
-         .groupBy(*g).agg(F.count_if(pred & lab).alias("tp"), F.count_if(pred & ~lab).alias("fp"),
+         .groupBy(*g).agg(F.max(thr).alias("threshold"),
+                          F.count_if(pred & lab).alias("tp"), F.count_if(pred & ~lab).alias("fp"),
                           F.count_if(~pred & lab).alias("fn"), F.count_if(~pred & ~lab).alias("tn")))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.select(*g, "tp", "fp", "fn", "tn",
+    return c.select(*g, "threshold", "tp", "fp", "fn", "tn",
                     _safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
                     _safe_div(tp, tp + fp).alias("precision"),
                     _safe_div(tp, tp + fn).alias("recall"),

@@ -50,16 +50,25 @@ def make_batch_handler(out_dir: str, analyse: Callable[[DataFrame], DataFrame]):
     upload; results and run events go to ``out_dir``/analyses and
     ``out_dir``/pipeline_runs, partitioned by batch id."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        started = run_status_rows(batch, batch_id, "started", "analysis started")
-        result = analyse(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        replace_partitions(result, os.path.join(out_dir, "analyses"), ["batch_id"])
-        done = (result.select("upload_id").distinct()
-                .select("upload_id", F.lit("completed").alias("status"),
-                        F.lit("analysis completed").alias("message"),
-                        F.current_timestamp().alias("created_at"),
-                        F.lit(batch_id).cast("long").alias("batch_id")))
-        replace_partitions(started.unionByName(done), os.path.join(out_dir, "pipeline_runs"),
-                           ["batch_id"])
+        # the batch is read by the run rows and by the analysis: keep it for
+        # the duration of the handler (bounded by maxFilesPerTrigger; a lost
+        # block is recomputed from the batch's files)
+        batch = batch.persist()
+        try:
+            started = run_status_rows(batch, batch_id, "started", "analysis started")
+            result = analyse(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            replace_partitions(result, os.path.join(out_dir, "analyses"), ["batch_id"])
+            written = result.sparkSession.read.parquet(
+                os.path.join(out_dir, "analyses", f"batch_id={batch_id}"))
+            done = (written.select("upload_id").distinct()
+                    .select("upload_id", F.lit("completed").alias("status"),
+                            F.lit("analysis completed").alias("message"),
+                            F.current_timestamp().alias("created_at"),
+                            F.lit(batch_id).cast("long").alias("batch_id")))
+            replace_partitions(started.unionByName(done), os.path.join(out_dir, "pipeline_runs"),
+                               ["batch_id"])
+        finally:
+            batch.unpersist()
     return handle
 
 

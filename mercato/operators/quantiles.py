@@ -23,12 +23,15 @@ RANK_BUCKETS = 64
 
 
 def stack_columns(df: DataFrame, cols: Sequence[str], value_type: str = "double",
-                  group_cols: Sequence[str] = ()) -> DataFrame:
+                  group_cols: Sequence[str] = (), ids: bool = False) -> DataFrame:
     """Long form ``(group..., column, value)`` of ``cols`` cast to one type;
-    NULL (and NaN for doubles) values are dropped."""
+    NULL (and NaN for doubles) values are dropped.  With ``ids`` the column
+    is identified by its position ``cid`` (an int hashes and sorts faster
+    than a name; see :func:`with_names`)."""
     g = _keys(group_cols)
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(value_type).alias("value"))
-                    for c in cols])
+    key = (lambda i, c: F.lit(i).alias("cid")) if ids else (lambda i, c: F.lit(c).alias("column"))
+    arr = F.array(*[F.struct(key(i, c), F.col(c).cast(value_type).alias("value"))
+                    for i, c in enumerate(cols)])
     long = df.select(*g, F.inline(arr))
     cond = F.col("value").isNotNull()
     if value_type == "double":
@@ -36,13 +39,22 @@ def stack_columns(df: DataFrame, cols: Sequence[str], value_type: str = "double"
     return long.where(cond)
 
 
+def with_names(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Replace the position ``cid`` by the column name ``column``."""
+    names = F.array(*[F.lit(c) for c in cols])
+    return df.withColumn("column", F.element_at(names, F.col("cid") + 1)).drop("cid")
+
+
 def value_counts(df: DataFrame, cols: Sequence[str], value_type: str = "string",
-                 group_cols: Sequence[str] = ()) -> DataFrame:
+                 group_cols: Sequence[str] = (), ids: bool = False) -> DataFrame:
     """``(group..., column, value, cnt)``: one row per distinct non-null
-    value.  Map-side partial aggregation keeps hot values cheap."""
+    value.  Map-side partial aggregation keeps hot values cheap.  Grouping
+    runs on the column position; names are attached after the aggregate
+    unless ``ids`` keeps the position (``cid``)."""
     g = _keys(group_cols)
-    return (stack_columns(df, cols, value_type, g)
-            .groupBy(*g, "column", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    out = (stack_columns(df, cols, value_type, g, ids=True)
+           .groupBy(*g, "cid", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    return out if ids else with_names(out, cols)
 
 
 def column_modes(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -50,12 +62,13 @@ def column_modes(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     number of distinct values and of non-null values.  ``value`` is a string;
     cast back to the column type when filling."""
     g = _keys(group_cols)
-    vc = value_counts(df, cols, "string", g)
-    return vc.groupBy(*g, "column").agg(
+    vc = value_counts(df, cols, "string", g, ids=True)
+    out = vc.groupBy(*g, "cid").agg(
         F.min_by("value", F.struct((-F.col("cnt")).alias("neg"), F.col("value"))).alias("top"),
         F.max("cnt").alias("freq"),
         F.count(F.lit(1)).alias("unique"),
         F.sum("cnt").alias("count"))
+    return with_names(out, cols)
 
 
 def _bucketed(vc: DataFrame, k: list[str], buckets: int, value: str = "value") -> DataFrame:
@@ -91,9 +104,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     3. only those buckets are ranked, by a window per (key, bucket, target).
     """
     g = _keys(group_cols)
-    k = [*g, "column"]
+    k = [*g, "cid"]
     # read by several branches below: materialise the distinct values once
-    vc = materialize(value_counts(df, cols, "double", g))
+    vc = materialize(value_counts(df, cols, "double", g, ids=True))
     b = _bucketed(vc, k, buckets)
     offs = _bucket_offsets(b, k, "cnt")
     n1 = F.col("n").cast("double") - 1
@@ -114,8 +127,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v_lo"),
         F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v_hi"),
         F.max("frac").alias("frac"))
-    return out.select(*k, "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
-                      .alias("value"))
+    out = out.select(*k, "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo")))
+                     .alias("value"))
+    return with_names(out, cols).select(*g, "column", "q", "value")
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

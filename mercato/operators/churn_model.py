@@ -215,10 +215,15 @@ def with_tenant(df: DataFrame, tenant_id: int) -> DataFrame:
 def _exists(spark: SparkSession, path: str) -> bool:
     """Does the registry table exist yet (any Hadoop file system)?"""
     try:
-        spark.read.format("parquet").load(path).limit(0).collect()
-        return True
-    except Exception:  # AnalysisException: path does not exist
-        return False
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # no JVM gateway (Spark Connect): probe by reading
+        try:
+            spark.read.format("parquet").load(path).limit(0).collect()
+            return True
+        except Exception:
+            return False
 
 
 def train_for_tenant(spark: SparkSession, customers: DataFrame, tenant_id: int, as_of,

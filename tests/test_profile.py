@@ -62,3 +62,29 @@ def test_variances_exact_and_plain(spark):
     plain = profile.column_variances(df).first()["variance"]
     assert abs(exact - np.var([1.25, 2.5, 4.75], ddof=1)) < 1e-12
     assert abs(exact - plain) < 1e-12
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rows = [(g, float(i % 997) * (1 if g == "a" else 3)) for g in ("a", "b") for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.25, 0.5, 0.75]
+    ex = {(r["g"], r["q"]): r["value"] for r in
+          quantiles.exact_quantiles(df, ["x"], probs, group_cols=["g"]).collect()}
+    ap = {(r["g"], r["q"]): r["value"] for r in
+          quantiles.approx_quantiles(df, ["x"], probs, group_cols=["g"]).collect()}
+    assert set(ex) == set(ap)
+    for k, v in ex.items():
+        span = 997 * (1 if k[0] == "a" else 3)
+        assert abs(ap[k] - v) <= 0.01 * span, (k, ap[k], v)
+
+
+def test_describe_datetime_and_groups(spark):
+    import datetime as dt
+    rows = [(u, dt.datetime(2024, 1, 1 + i), float(i)) for u in ("u1", "u2") for i in range(5)]
+    df = spark.createDataFrame(rows, "upload string, ts timestamp, v double")
+    out = {(r["upload"], r["column"]): r for r in
+           profile.describe(df, group_cols=["upload"]).collect()}
+    ts = out[("u1", "ts")]
+    assert ts["kind"] == "datetime" and ts["count"] == 5 and ts["std"] is None
+    assert ts["p50"] == dt.datetime(2024, 1, 3).timestamp() * 1e6   # epoch microseconds (UTC)
+    assert out[("u2", "v")]["p50"] == 2.0

@@ -60,3 +60,18 @@ def test_analyses_rows_json(spark):
     doc = spark.createDataFrame([(1, (3, "x"))], "upload_id long, summary struct<rows:long,s:string>")
     r = sinks.analyses_rows(doc).first()
     assert r["summary_json"] == '{"rows":3,"s":"x"}' and r["created_at"] is not None
+
+
+def test_salted_join_keeps_every_row_of_a_hot_key(spark):
+    from mercato.operators._util import salted_join
+    rows = spark.range(0, 20000, numPartitions=8).withColumn(
+        "k", F.when(F.col("id") % 10 < 9, F.lit(0)).otherwise(F.col("id") % 7))
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(rows, stats, ["k"], buckets=8)
+    assert joined.count() == 20000
+    assert joined.where("n IS NULL").count() == 0
+    hot_n = rows.where("k = 0").count()
+    hot = joined.where("k = 0").select("n").distinct().collect()
+    assert [r["n"] for r in hot] == [hot_n]     # every salt copy carries the same statistics
+    left = salted_join(rows, stats.where("k <> 3"), ["k"], buckets=4, how="left")
+    assert left.count() == 20000 and left.where("n IS NULL").count() == rows.where("k = 3").count()

@@ -62,9 +62,19 @@ def customer_table(spark, sf_dir):
         "feature_date")
 
 
+def _ages(spark, sf_dir):
+    """The ``age`` column alone, read from the customer table (one row per
+    customer, like the derived table, so the median is the same)."""
+    c = Tables(spark, sf_dir).customer
+    return c.select(F.when(F.col("c_acctbal") < 0, F.lit(None)).otherwise(F.col("c_acctbal"))
+                    .alias("age"))
+
+
 def customer_features(spark, sf_dir):
     c = customer_table(spark, sf_dir)
-    return churn.churn_features(c, F.col("feature_date"))
+    # the median needs only the balances: no orders joins in that job
+    medians = churn.median_table(_ages(spark, sf_dir), ["age"])
+    return churn.churn_features(c, F.col("feature_date"), medians=medians)
 
 
 _CUSTOMER_SQL = f"""

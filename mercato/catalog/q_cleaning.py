@@ -180,3 +180,22 @@ def q_preprocess_document(spark, sf_dir):
     o = Tables(spark, sf_dir).orders
     res = preprocess.preprocess(o, group_cols=["o_orderstatus"], strict_roles=True)
     return res.document()
+
+
+@register("preprocess_counts", sql="""
+WITH d AS (
+  SELECT o_orderstatus, o_orderdate AS date, SUM(CAST(o_totalprice AS DOUBLE)) AS total
+  FROM orders WHERE o_orderdate IS NOT NULL GROUP BY o_orderstatus, o_orderdate),
+s AS (SELECT o_orderstatus, avg(total) AS m, stddev_samp(total) AS sd FROM d
+      GROUP BY o_orderstatus),
+a AS (SELECT d.o_orderstatus, count(*) AS n FROM d JOIN s ON d.o_orderstatus = s.o_orderstatus
+      WHERE d.total > s.m + 2 * s.sd OR d.total < s.m - 2 * s.sd GROUP BY d.o_orderstatus),
+r AS (SELECT o_orderstatus, count(*) AS record_count FROM orders GROUP BY o_orderstatus)
+SELECT r.o_orderstatus, r.record_count, 5 AS column_count,
+       CASE WHEN r.record_count >= 10 THEN coalesce(a.n, 0) ELSE 0 END AS anomaly_count
+FROM r LEFT JOIN a ON r.o_orderstatus = a.o_orderstatus""")
+def q_preprocess_counts(spark, sf_dir):
+    """Record, column and 2-sigma anomaly-day counts of the preprocess
+    document per upload (order status)."""
+    return q_preprocess_document(spark, sf_dir).select(
+        "o_orderstatus", "record_count", "column_count", "anomaly_count")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mercato.catalog import register
 from mercato.operators import insights, profile
+from mercato.catalog.q_stream import INSIGHT_COUNTS_SQL
 from mercato.plans import insights_doc
 from mercato.sources.tables import Tables
 
@@ -63,3 +64,13 @@ def q_insights_document(spark, sf_dir):
                     F.col("o_orderdate").alias("order_date"),
                     F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row_id")))
     return insights_doc.insights_document(rows, group_cols=["upload_id"], row_id_col="row_id")
+
+
+@register("insights_counts", sql=INSIGHT_COUNTS_SQL)
+def q_insights_counts(spark, sf_dir):
+    """The counts of the insight document per upload (order status), from
+    the batch path: rows, customers at risk, item price outliers."""
+    doc = q_insights_document(spark, sf_dir)
+    return doc.select(F.col("upload_id").alias("upload"), F.col("summary.rows").alias("rows"),
+                      F.col("insights.churn_at_risk_count").alias("churn_at_risk_count"),
+                      F.col("insights.anomaly_count").alias("anomaly_count"))

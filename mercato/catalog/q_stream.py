@@ -69,7 +69,7 @@ _UPLOAD_SCHEMA = ("sku long, quantity double, price double, customer_id long, "
                   "order_date string, row_id string")
 
 
-@register("stream_upload_insights", sql="""
+INSIGHT_COUNTS_SQL = """
 WITH r AS (
   SELECT o.o_orderstatus AS upload, l.l_partkey AS sku, l.l_quantity AS quantity,
          l.l_extendedprice AS price, o.o_custkey AS customer_id,
@@ -88,7 +88,10 @@ anom AS (SELECT r.upload, count(*) AS anomaly_count FROM r JOIN st
          WHERE r.price > st.m + 3 * st.sd OR r.price < st.m - 3 * st.sd GROUP BY r.upload)
 SELECT n.upload, n.rows, risk.churn_at_risk_count,
        coalesce(anom.anomaly_count, 0) AS anomaly_count
-FROM n JOIN risk ON n.upload = risk.upload LEFT JOIN anom ON n.upload = anom.upload""")
+FROM n JOIN risk ON n.upload = risk.upload LEFT JOIN anom ON n.upload = anom.upload"""
+
+
+@register("stream_upload_insights", sql=INSIGHT_COUNTS_SQL)
 def q_stream_upload_insights(spark, sf_dir):
     """Line items exported as CSV uploads (one folder per order status), then
     ingested by the checkpointed file stream; each micro-batch runs the

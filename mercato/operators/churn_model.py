@@ -52,6 +52,7 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("auc", T.DoubleType()),
     T.StructField("training_rows", T.LongType()),
     T.StructField("labelled_rows", T.LongType()),
+    T.StructField("tenant_rows", T.LongType()),
     T.StructField("category_levels", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
     T.StructField("medians", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("trained_at", T.TimestampType()),
@@ -69,6 +70,7 @@ class TrainedChurnModel:
     medians: dict[str, float]
     training_rows: int = 0
     labelled_rows: int = 0
+    tenant_rows: int = 0          # all rows incl. unlabelled (the original's "training size")
     extra: dict = field(default_factory=dict)
 
 
@@ -121,6 +123,7 @@ def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_i
     auc = evaluate.roc_auc(test, "score", "label").first()
     counts = data.groupBy().agg(F.count_if(F.col("split") != "test").alias("fit"),
                                 F.count(F.lit(1)).alias("all")).first()
+    tenant_rows = customers.count()
     imp = model.stages[-1].featureImportances.toArray().tolist()
     metrics = {
         "threshold": thr,
@@ -133,7 +136,8 @@ def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_i
         "trees": model.stages[-1].getNumTrees,
     }
     return TrainedChurnModel(model, names, thr, metrics, dict(zip(names, imp)), levels, medians,
-                             training_rows=int(counts["fit"]), labelled_rows=int(counts["all"]))
+                             training_rows=int(counts["fit"]), labelled_rows=int(counts["all"]),
+                             tenant_rows=int(tenant_rows))
 
 
 def score_churn(trained: TrainedChurnModel, customers: DataFrame, as_of,
@@ -173,7 +177,7 @@ def register_model(spark: SparkSession, trained: TrainedChurnModel, store_dir: s
     row = (int(tenant_id), name, int(version), "spark-gbt", path, list(trained.features),
            {k: float(v) for k, v in trained.feature_importance.items()}, float(trained.threshold),
            m.get("accuracy"), m.get("precision"), m.get("recall"), m.get("f1_score"), m.get("auc"),
-           int(trained.training_rows), int(trained.labelled_rows),
+           int(trained.training_rows), int(trained.labelled_rows), int(trained.tenant_rows),
            {k: list(v) for k, v in trained.levels.items()},
            {k: float(v) for k, v in trained.medians.items()},
            _dt.datetime.now(_dt.timezone.utc))
@@ -204,7 +208,8 @@ def load_active(spark: SparkSession, store_dir: str, tenant_id: int,
                              {"accuracy": row["accuracy"], "auc": row["auc"]},
                              dict(row["feature_importance"]),
                              {k: list(v) for k, v in row["category_levels"].items()},
-                             dict(row["medians"]), row["training_rows"], row["labelled_rows"])
+                             dict(row["medians"]), row["training_rows"], row["labelled_rows"],
+                             row["tenant_rows"] or 0)
 
 
 def with_tenant(df: DataFrame, tenant_id: int) -> DataFrame:

@@ -38,7 +38,7 @@ def test_churn_model_train_register_score(spark):
     churn_model.register_model(spark, m, store, tenant_id=3)
     churn_model.register_model(spark, m, store, tenant_id=3)
     act = churn_model.active_models(churn_model.registry(spark, store)).collect()
-    assert [(r["tenant_id"], r["version"]) for r in act] == [(3, 2)]
+    assert [(r["tenant_id"], r["version"], r["tenant_rows"]) for r in act] == [(3, 2, 300)]
     loaded = churn_model.load_active(spark, store, 3)
     new = spark.createDataFrame([("Z", None, "Other", "Enterprise", None, None, None, None, None)],
                                 "customer_id string, age int, gender string, segment string, "

@@ -91,3 +91,22 @@ def test_summary(series_df):
     s = forecast.forecast_summary(forecast.forecast_linear(series_df([10, 20, 30, 40, 50]))).first()
     assert s["n_steps"] == 7 and round(s["first_forecast"], 9) == 60
     assert round(s["max_forecast"], 9) == 120 and round(s["total_forecast"], 6) == 630
+
+
+def test_two_level_index_on_raw_timestamps(spark):
+    import datetime as dt
+    from mercato.operators import series
+    from mercato.operators._util import ordered_index
+    base = dt.datetime(2023, 12, 30, 22)
+    rows = [("g1" if i % 3 else "g2", base + dt.timedelta(hours=5 * i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, date timestamp, total double")
+    got = series.with_day_index(df, "date", ["g"], n_out="n").collect()
+    for g in ("g1", "g2"):
+        mine = sorted((r["date"], r["day_index"], r["n"]) for r in got if r["g"] == g)
+        assert [i for _, i, _ in mine] == list(range(len(mine)))
+        assert {n for _, _, n in mine} == {len(mine)}
+    ties = spark.createDataFrame([(1, base, 3), (1, base, 1), (1, base, 2), (1, base.replace(hour=23), 0)],
+                                 "t long, ts timestamp, id long")
+    idx = sorted((r["id"], r["v"]) for r in
+                 ordered_index(ties, "ts", ["t"], out="v", tie_cols=["id"]).collect())
+    assert idx == [(0, 3), (1, 0), (2, 1), (3, 2)]

@@ -56,22 +56,46 @@ def build_session(master: str | None = None, app_name: str = "mercato",
     return spark
 
 
+def _private_dir(master: str) -> str:
+    """A folder of this machine, for sessions whose only machine this is."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                           "executors share")
+    return tempfile.mkdtemp(prefix="mercato-ckpt-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only when
-    the session does not name any (local runs and tests)."""
+    """Return the shared checkpoint folder that the session names.  Only a
+    local session without one gets a private folder; on a cluster a missing
+    setting is an error, since a machine's own disk is not shared."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-            prefix="mercato-ckpt-")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        return path or _private_dir(spark.conf.get("spark.master", "connect"))
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="mercato-ckpt-")
+        path = _private_dir(sc.master)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+def apply_runtime_conf(spark: SparkSession) -> None:
+    """Set this library's SQL defaults on a running session, leaving alone
+    whatever its creator has set."""
+    try:
+        own = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    except Exception:  # Spark Connect
+        own = set()
+    for k, v in DEFAULT_CONF.items():
+        if k.startswith("spark.sql.") and k not in own:
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # static setting: keep the session's value
+                pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for streaming
     checkpoints, registry tables and other job state that must survive the

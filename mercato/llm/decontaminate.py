@@ -59,17 +59,14 @@ def _grams_of(words: Column, k: Column) -> Column:
 
 
 def simhash(words: Column) -> Column:
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    half = F.size(words)
-
-    def bit(found: Column, at: Column, all_hashes: Column) -> Column:
-        ones = F.aggregate(all_hashes, F.lit(0),
-                           lambda s, h: s + F.getbit(h, at).cast("int"))
-        return found.bitwiseOR(F.when(2 * ones > half, F.call_function("shiftleft", F.lit(1).cast("long"), at))
-                               .otherwise(F.lit(0).cast("long")))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
-                       lambda found, at: bit(found, at, hashes))
+    """64 bits, each set where most of the words' hashes have it set."""
+    ones = F.aggregate(
+        words, F.array_repeat(F.lit(0), 64),
+        lambda counts, w: F.transform(
+            counts, lambda n, bit: n + F.getbit(F.xxhash64(w), bit).cast("int")))
+    return F.aggregate(
+        F.transform(ones, lambda n: 2 * n > F.size(words)), F.lit(0).cast("long"),
+        lambda bits, most: F.shiftleft(bits, 1).bitwiseOR(most.cast("long")))
 
 
 def _block(fingerprint: Column, i: int) -> Column:
@@ -88,12 +85,11 @@ def _near_masks() -> list[int]:
             for bits in combinations(range(BLOCK_BITS), n)]
 
 
-def _counted(grams: Column) -> Column:
-    """A bag as a set: the hash of each gram with the number of its
+def _counted(grams: str) -> Column:
+    """A sorted bag as a set: the hash of each gram with the number of its
     occurrence."""
-    ordered = F.array_sort(grams)
-    return F.transform(ordered, lambda g, i: F.xxhash64(
-        g, (i - F.array_position(ordered, g)).cast("long")))
+    return F.transform(F.col(grams), lambda g, i: F.xxhash64(
+        g, (i - F.array_position(F.col(grams), g)).cast("long")))
 
 
 def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -142,22 +138,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     texts = (windows.select("window", "n_words").distinct()
              .withColumn("words", F.split("window", " ")))
     probes = texts.withColumn("f", simhash(F.col("words"))).select(
-        "window", "n_words", "f", F.explode(_blocks(F.col("f"))).alias("b"))
+        "window", "words", "n_words", "f", F.explode(_blocks(F.col("f"))).alias("b"))
     entries = (items.withColumn("g", simhash(F.col("words")))
                .select("item_id", "k", "n_words", "g", F.col("words").alias("item"),
                        F.explode(_blocks(F.col("g"))).alias("b"))
                .withColumn("mask", F.explode(F.array(*map(F.lit, _near_masks()))))
                .select("item_id", "k", "n_words", "g", "item", F.col("b.block").alias("block"),
                        F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")))
-    near = (probes.select("window", "n_words", "f", "b.block", "b.value")
+    near = (probes.select("window", "words", "n_words", "f", "b.block", "b.value")
             .join(entries, ["n_words", "block", "value"])
             .where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS)
-            .select("window", "n_words", "item_id", "k", "item").distinct())
+            .select("window", "words", "n_words", "item_id", "k", "item").distinct())
     k = F.col("k")
     counted = near.select(
         "window", "n_words", "item_id",
-        _counted(_grams_of(F.split("window", " "), k)).alias("x"),
-        _counted(_grams_of(F.col("item"), k)).alias("y"))
+        _grams_of(F.col("words"), k).alias("x"), _grams_of(F.col("item"), k).alias("y"))
+    counted = counted.withColumns({c: F.array_sort(c) for c in "xy"})
+    counted = counted.withColumns({c: _counted(c) for c in "xy"})
     both = F.size(F.array_intersect("x", "y"))
     alike = materialize(
         counted.withColumn("lesser", both)

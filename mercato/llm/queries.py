@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, decontaminate, fingerprint, neardup, sharding
-from mercato.llm.text import whole
+from mercato.llm import bpe, decontaminate, fingerprint, neardup, quality, sharding, toxicity
+from mercato.llm.text import held_out, whole
 from mercato.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,24 @@ def op4_sharding(spark, sf_dir):
     out = sharding.balanced_shards(docs, "same", "spread")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _graded(scored, threshold: float):
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _graded(toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels")),
+                   toxicity.TOXIC_FROM)
+
+
+@register("op8_quality")
+def op8_quality(spark, sf_dir):
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _graded(quality.quality_scores(docs, table(spark, sf_dir, "labels")),
+                   quality.KEEP_FROM)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, decontaminate, fingerprint, neardup, quality, sharding, toxicity
+from mercato.llm import (bpe, decontaminate, extraction, fingerprint, neardup, quality, sharding,
+                         toxicity)
 from mercato.llm.text import held_out, whole
 from mercato.sources.tables import table
 
@@ -190,3 +191,11 @@ def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _graded(quality.quality_scores(docs, table(spark, sf_dir, "labels")),
                    quality.KEEP_FROM)
+
+
+@register("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extracted(pages).select("page_id", "url", "text",
+                                              F.length("text").cast("long").alias("n_chars"))

@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its words and the prefixes of its longer words, each
-hashed to one of ``FEATURES`` places and present or not.  The ``SELECTED``
+hashed to one of ``FEATURES`` places, with the number of distinct words there.  The ``SELECTED``
 places that go most with either label (chi-square over the sample) take
 part.  Beside a weight of its own, every such place has a vector of
 ``FACTORS`` numbers; the products of the vectors of two present terms add
@@ -39,19 +39,20 @@ TOXIC_FROM = 0.5
 
 
 def places(text: Column) -> Column:
-    """The distinct places of the terms of a text."""
+    """The places of the terms of a text: one for each distinct word, and one
+    for the prefix of each distinct longer word."""
     words = F.array_distinct(plain_words(text))
     own = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)))
     stems = F.transform(F.filter(words, lambda w: F.length(w) > PREFIX),
                         lambda w: F.pmod(F.xxhash64(F.lit("^"), F.substring(w, 1, PREFIX)),
                                          F.lit(FEATURES)))
-    return F.array_distinct(F.concat(own, stems))
+    return F.concat(own, stems)
 
 
 def telling(data: DataFrame, n: int, ones: float) -> list[int]:
     """The ``SELECTED`` places whose presence goes most with either label,
     by chi-square (``data``: places, label)."""
-    seen = (data.select("label", F.explode("places").alias("place")).groupBy("place")
+    seen = (data.select("label", F.explode(F.array_distinct("places")).alias("place")).groupBy("place")
             .agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
             .where(F.col("n") >= LEAST_SEEN))
     a, b = F.col("ones"), F.col("n") - F.col("ones")
@@ -72,9 +73,7 @@ class Machine:
             return df.withColumn(out, F.lit(self.constant))
         listed, x, raw, prob, label = (free_name(df, f"__{c}")
                                        for c in ("terms", "x", "raw", "prob", "label"))
-        known = F.array(*[F.lit(int(p)).cast("long") for p in self.vectors.vocabulary])
-        found = df.withColumn(listed, F.array_intersect(places(whole(text)), known)
-                              .cast("array<string>"))
+        found = df.withColumn(listed, places(whole(text)).cast("array<string>"))
         vectors = self.vectors.copy().setInputCol(listed).setOutputCol(x)
         model = (self.model.setFeaturesCol(x).setRawPredictionCol(raw).setProbabilityCol(prob)
                  .setPredictionCol(label))
@@ -90,11 +89,9 @@ def fit(sample: DataFrame) -> Machine:
     chosen = telling(data, n, ones)
     if not chosen:
         return Machine(constant=ones / n)
-    known = F.array(*[F.lit(p).cast("long") for p in chosen])
-    listed = data.select("label", F.array_intersect("places", known).cast("array<string>")
-                         .alias("terms"))
+    listed = data.select("label", F.col("places").cast("array<string>").alias("terms"))
     vectors = CountVectorizerModel.from_vocabulary([str(p) for p in chosen], inputCol="terms",
-                                                   outputCol="x", minTF=1.0).setBinary(True)
+                                                   outputCol="x")
     rare = 1.0 if ones * 2 <= n else 0.0
     times = max(1, int(max(ones, n - ones) // min(ones, n - ones)) // 2)
     even = vectors.transform(listed).select("x", "label", F.explode(F.sequence(

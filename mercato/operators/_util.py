@@ -27,12 +27,25 @@ SALT_BUCKETS = 8
 
 
 def row_salt(buckets: int = SALT_BUCKETS) -> Column:
-    """Salt in [0, buckets) from the id of the partition the row is read in:
-    free to compute and deterministic, so a retried task salts every row the
-    same way again.  Rows of one key arrive from many input partitions and
-    so spread over the salt values.  (Any salt gives the same result: every
-    salt value meets an identical copy of the statistics.)"""
-    return F.pmod(F.spark_partition_id(), F.lit(buckets)).cast("int")
+    """Salt in [0, buckets) from the place of the row in its partition, so
+    the rows of a key spread over all salts even where they arrive in one
+    partition.  (Any salt gives the same result: every salt value meets an
+    identical copy of the statistics.)"""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
+                   equal: Sequence[str] = ()) -> DataFrame:
+    """Equi-join in which a null key equals a null key, with the key columns
+    once (the left side's).  Keys in ``equal`` are never null and compare
+    plainly."""
+    k, renamed = keys(on), {c: f"__right_{i}" for i, c in enumerate(keys(on))}
+    other = right.withColumnsRenamed(renamed)
+    cond = F.lit(True)
+    for c in k:
+        theirs = other[renamed[c]]
+        cond = cond & (left[c] == theirs if c in equal else left[c].eqNullSafe(theirs))
+    return left.join(other, cond, how).drop(*renamed.values())
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, on: Sequence[str],
@@ -40,13 +53,15 @@ def salted_join(rows: DataFrame, stats: DataFrame, on: Sequence[str],
     """Equi-join of raw ``rows`` with one-row-per-key ``stats`` that stays
     balanced when one key holds a large share of the rows: rows of a key are
     spread over ``buckets`` salt values and ``stats`` is replicated per salt.
-    (AQE may still turn it into a broadcast join when ``stats`` is small.)"""
+    A null key is a key like any other.  (AQE may still turn it into a
+    broadcast join when ``stats`` is small, and split what is skewed.)"""
     k = keys(on)
     if buckets <= 1:
-        return rows.join(stats, on=k, how=how)
+        return null_safe_join(rows, stats, k, how)
     salted_rows = rows.withColumn("__salt", row_salt(buckets))
     salted_stats = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted_rows.join(salted_stats, on=[*k, "__salt"], how=how).drop("__salt")
+    return (null_safe_join(salted_rows, salted_stats, [*k, "__salt"], how, equal=["__salt"])
+            .drop("__salt"))
 
 
 def attach_group_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str],
@@ -138,6 +153,6 @@ def ordered_index(df: DataFrame, order_col: str, group_cols: Sequence[str],
         F.coalesce(F.sum("__n").over(
             Window.partitionBy(*g).orderBy("__coarse")
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offsets.drop("__n"), on=[*g, "__coarse"], how="inner")
+    return (null_safe_join(local, offsets.drop("__n"), [*g, "__coarse"])
             .withColumn(out, (F.col("__local") + F.col("__offset")).cast("long"))
             .drop("__coarse", "__local", "__offset"))

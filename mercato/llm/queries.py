@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import (bpe, decontaminate, extraction, fingerprint, neardup, quality, sharding,
-                         toxicity)
+from mercato.llm import (bpe, chat, decontaminate, extraction, fingerprint, licences, neardup,
+                         quality, sharding, toxicity)
 from mercato.llm.text import held_out, whole
 from mercato.sources.tables import table
 
@@ -199,3 +199,120 @@ def op2_html_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.extracted(pages).select("page_id", "url", "text",
                                               F.length("text").cast("long").alias("n_chars"))
+
+
+_LICENCE_ROWS = ", ".join("('{}', '{}')".format(*row) for row in licences.TEMPLATES)
+
+
+def document_paths(docs):
+    """Documents as files: source/lang/shelf/doc_id, those of round ids on
+    source/lang itself."""
+    shelf = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(
+        F.concat(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/")))
+    return docs.withColumn("path", F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"),
+                                            shelf, F.col("doc_id").cast("string")))
+
+
+@register("op3_licences", f"""
+WITH t AS (SELECT * FROM (VALUES {_LICENCE_ROWS}) v(licence, body)),
+tw AS (SELECT DISTINCT licence, unnest(list_filter(regexp_split_to_array(lower(body),
+              '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM t),
+idf AS (SELECT word, pow(ln((1.0 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1, 2) AS weight
+        FROM tw GROUP BY word),
+post AS (SELECT licence, word, weight, sum(weight) OVER (PARTITION BY licence) AS norm
+         FROM tw JOIN idf USING (word)),
+f AS (SELECT doc_id, text, source || '/' || lang || '/' || CASE WHEN doc_id % 10 = 0 THEN ''
+             ELSE (doc_id // 1000)::VARCHAR || '/' END || doc_id::VARCHAR AS path FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS body
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM f)),
+units AS (SELECT doc_id, line, body FROM lines
+          UNION ALL SELECT doc_id, 0, coalesce(text, '') FROM f),
+w AS (SELECT DISTINCT doc_id, line, unnest(list_filter(regexp_split_to_array(lower(body),
+             '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM units),
+size AS (SELECT doc_id, line, sum(coalesce(weight, pow(ln(1.0 + (SELECT count(*) FROM t)) + 1, 2))) AS size
+         FROM w LEFT JOIN idf USING (word) GROUP BY doc_id, line),
+cos AS (SELECT doc_id, line, licence,
+               round(sum(weight) / sqrt(any_value(size) * any_value(norm)), 6) AS cosine
+        FROM w JOIN post USING (word) JOIN size USING (doc_id, line)
+        GROUP BY doc_id, line, licence),
+best AS (SELECT doc_id, line, licence, cosine FROM cos WHERE cosine >= 0.6
+         QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, licence) = 1),
+stated AS (SELECT doc_id, licence, cosine FROM best WHERE line > 0
+           QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+offer AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, path AS from_path, b.licence, b.cosine
+          FROM best b JOIN f USING (doc_id) JOIN stated USING (doc_id) WHERE line = 0
+          QUALIFY row_number() OVER (PARTITION BY dir ORDER BY b.cosine DESC, path, b.licence) = 1),
+given AS (SELECT f.doc_id, o.licence, o.cosine, o.from_path
+          FROM f JOIN offer o ON o.dir = regexp_replace(f.path, '/?[^/]*$', '')
+               OR starts_with(regexp_replace(f.path, '/?[^/]*$', ''), o.dir || '/')
+          QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(o.dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(s.licence, g.licence) AS licence,
+       coalesce(s.cosine, g.cosine) AS cosine,
+       CASE WHEN s.licence IS NOT NULL THEN 'statement'
+            WHEN g.licence IS NOT NULL THEN 'inherited' END AS found,
+       CASE WHEN s.licence IS NOT NULL THEN f.path ELSE g.from_path END AS from_path
+FROM f LEFT JOIN stated s USING (doc_id) LEFT JOIN given g USING (doc_id)
+""")
+def op3_licences(spark, sf_dir):
+    """The licence of every document, its own or that of its directory."""
+    docs = document_paths(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return licences.scanned(docs.select("doc_id", "path", "text")).drop("text")
+
+
+# a turn of the user is a call for a reply, the assistant's next turn its result
+REPLY_SCHEMA = {"reply": {"prompt": ("STRING", True), "turn": ("BIGINT", True)}}
+
+
+@register("op7_chat", """
+WITH RECURSIVE m AS (
+    SELECT DISTINCT conv_id, turn, role, text,
+           CASE WHEN role = 'user' THEN conv_id || ':' || turn END AS call_id,
+           CASE WHEN role = 'user' THEN conv_id || ':' || (turn - 2) END AS after,
+           CASE WHEN role = 'assistant' THEN conv_id || ':' || (turn - 1) END AS result_for
+    FROM conversations),
+j AS (
+    SELECT *, CASE
+        WHEN call_id IS NOT NULL THEN to_json({role: role, tool_calls: [{arguments:
+             {prompt: text, turn: turn}, id: call_id, name: 'reply'}]})::VARCHAR
+        WHEN result_for IS NOT NULL THEN
+             to_json({content: text, role: role, tool_call_id: result_for})::VARCHAR
+        ELSE to_json({content: text, role: role})::VARCHAR END AS json
+    FROM m),
+n AS (
+    SELECT j.*, c.call_id IS NOT NULL AS asked, r.result_for IS NOT NULL AS answered,
+           b.call_id AS before, br.result_for AS before_result
+    FROM j LEFT JOIN j c ON c.call_id = j.result_for LEFT JOIN j r ON r.result_for = j.call_id
+    LEFT JOIN j b ON b.call_id = j.after LEFT JOIN j br ON br.result_for = b.call_id),
+parent AS (
+    SELECT *, CASE WHEN asked THEN 'c' || result_for
+                   WHEN before_result IS NOT NULL THEN 'r' || before_result
+                   WHEN before IS NOT NULL THEN 'c' || before END AS up,
+           coalesce('c' || call_id, 'r' || result_for, 'p' || conv_id || ':' || turn) AS me
+    FROM n),
+lv AS (
+    SELECT me, 0 AS level FROM parent WHERE up IS NULL
+    UNION ALL SELECT p.me, lv.level + 1 FROM parent p JOIN lv ON p.up = lv.me)
+SELECT conv_id, turn, role, level::INTEGER AS level,
+       CASE WHEN result_for IS NOT NULL THEN CASE WHEN asked THEN 'linked' ELSE 'orphan_result' END
+            WHEN call_id IS NOT NULL THEN CASE WHEN answered THEN 'linked' ELSE 'open' END
+            ELSE 'plain' END AS status,
+       CASE WHEN call_id IS NOT NULL THEN text IS NOT NULL AND turn IS NOT NULL END AS arguments_ok,
+       json,
+       row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, json) - 1 AS position
+FROM parent JOIN lv USING (me)
+""")
+def op7_chat(spark, sf_dir):
+    """Every turn of the conversations as a call, a result or a plain message."""
+    t = table(spark, sf_dir, "conversations")
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+
+    def turn_id(back: int):
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"),
+                        (F.col("turn") - back).cast("string"))
+
+    return chat.formatted(t.select(
+        "conv_id", "turn", "role", "text", F.when(user, turn_id(0)).alias("call_id"),
+        F.when(user, F.lit("reply")).alias("tool"),
+        F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).alias("arguments"),
+        F.when(user, turn_id(2)).alias("after"),
+        F.when(assistant, turn_id(1)).alias("result_for")), REPLY_SCHEMA)

@@ -13,7 +13,9 @@ Nulls and empty texts have no ids and decode to no bytes.
 from __future__ import annotations
 
 import base64
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 # split pattern means by \s.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
-# Pieces whose ids a worker remembers; full, the memory starts afresh.
-REMEMBERED = 200_000
+# Pieces whose ids a worker remembers, in two generations of this size: once
+# the newer is full it becomes the older one, and pieces met again move over.
+REMEMBERED = 250_000
 
 _NONE = 1 << 62
 _SHIFT = 32
@@ -112,6 +115,7 @@ class Vocabulary:
         self.pattern = split_pattern(pattern)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, shared, pattern: str) -> Vocabulary:
@@ -127,10 +131,13 @@ class Vocabulary:
         for piece in self.pattern.findall(text):
             got = known.get(piece)
             if got is None:
-                got = merge_piece(piece.encode(), self.ranks)
+                got = self.older.get(piece)
+                if got is None:
+                    got = merge_piece(piece.encode(), self.ranks)
                 if len(piece) <= 64:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = got
             ids += got
         return ids
@@ -149,14 +156,15 @@ class BytePairCodec:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             vocabulary = Vocabulary.of(shared, pattern)
-            ids, offsets = [], [0]
+            ids, offsets = array("i"), [0]
             for text in texts:
                 text = text.as_py()
                 if text:
-                    ids += vocabulary.encode(text)
+                    ids.extend(vocabulary.encode(text))
                 offsets.append(len(ids))
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                            pa.array(ids, pa.int32()))
+                                            pa.array(np.frombuffer(ids, np.int32)
+                                                     if ids else [], pa.int32()))
 
         @F.arrow_udf("binary")
         def decode(rows: pa.Array) -> pa.Array:

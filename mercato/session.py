@@ -8,6 +8,7 @@ only when the setting is absent (local runs and tests).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -116,3 +117,19 @@ def materialize(df):
     never a local one.)"""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for Python functions that
+    run there (as ``--py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="mercato-package-")      # the driver serves it from here
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "mercato"), "zip",
+                                     os.path.dirname(here), os.path.basename(here)))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()

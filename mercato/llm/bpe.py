@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.session import ship_package
+
 # Fixed value: the white space of the Unicode property White_Space, which the
 # split pattern means by \s.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
@@ -150,6 +152,7 @@ class BytePairCodec:
     """Column expressions that encode texts to ids and decode ids to bytes."""
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
+        ship_package(spark)
         with open(rank_file, "rb") as f:
             shared = spark.sparkContext.broadcast(f.read())
 

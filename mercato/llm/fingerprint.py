@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.operators._util import with_bucket
+from mercato.session import ship_package
 
 WINDOW = 7
 LENGTH = 64
@@ -108,6 +109,7 @@ def with_next(df: DataFrame, order: str, columns: dict[str, str], tie: str,
     first row of the next bucket that has rows.  Those copies are one row
     for each bucket, found by the ``most_buckets`` ids at most that are
     broadcast."""
+    ship_package(df.sparkSession)
     derive = derive or {}
     n = df.count()
     if n == 0:

@@ -9,11 +9,16 @@ bins together are a band key; documents that share a key share a bucket.
 
 Documents with equal sets are one class, whose smallest id stands for it.
 A bucket gives star-shaped candidates: its centre with every other member,
-so their number is linear in its size.  Each candidate is confirmed on the
-full sets.  Members that the star leaves unconnected take a next centre
-among themselves and the rest of the bucket, round after round, until every
-member has been a centre or the bucket is one component; no link that a
-bucket holds is lost to the star shape.
+so their number is linear in its size.  The centre is the member whose
+buckets are fullest, which among copies of one text is the text that they
+all resemble most.  Each candidate is confirmed on the full sets.
+
+What a star may miss is a link between two members that are both too far
+from the centre.  So the buckets that the stars leave in several components
+are joined into clusters, and there every member outside the cluster's main
+component is held against all others: in cells of ``CELL`` by ``CELL``
+documents, the comparison being part of the join, so that no list of pairs
+is ever made and no link that a bucket holds is lost.
 
 Similarity: intersection over union of the sets of ``words``-word shingles.
 At 0.8 a pair shares no bucket with probability 1.9e-6.  Null and empty
@@ -27,18 +32,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.llm.components import components
 from mercato.llm.text import shingles, space_words, whole
 from mercato.operators._util import salted_join
-from mercato.session import materialize
+from mercato.session import materialize, ship_package
 
 ROWS = 4
 BANDS = 25
 BINS = ROWS * BANDS
+CELL = 256
+BROADCAST_IDS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SIGNATURE = T.StructType([T.StructField("set_key", T.BinaryType()),
@@ -111,24 +118,73 @@ def shingle_sets(docs: DataFrame, words: int, doc_id: str = "doc_id",
                         .alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = sets.join(ids, "doc_id", "left_semi")
-    left = needed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = needed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(right, "b").join(left, "a")
-            .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+def _similar(x: str, y: str, percent: int) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+
+
+def _near_sizes(x: Column, y: Column, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the centre of each bucket and its other
+    members.  ``members``: band, key, rep, n, size (of the bucket)."""
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weights, "rep")
+    centres = (weighed.groupBy("band", "key")
+               .agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"), "n")).alias("c"))
+               .select("band", "key", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("m")))
+    pairs = (salted_join(members, centres, ["band", "key"])
+             .where((F.col("rep") != F.col("centre")) & _near_sizes(F.col("n"), F.col("m"), percent))
+             .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    return (pairs.join(right, "b").join(left, "a").where(_similar("sa", "sb", percent))
             .select("a", "b"))
 
 
+def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame,
+                  percent: int) -> DataFrame:
+    """Confirmed links (a, b) that the stars have missed, by cells."""
+    rooted = (members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+              .withColumn("root", F.coalesce("root", "rep")).drop("size"))
+    open_buckets = (rooted.groupBy("band", "key")
+                    .agg(F.min("root").alias("least"), F.max("root").alias("most"),
+                         F.min("rep").alias("first")).where("least <> most")
+                    .select("band", "key", "first"))
+    rest = materialize(salted_join(rooted, open_buckets, ["band", "key"]))
+    clusters = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    placed = materialize(rest.select("rep", "root", "n").distinct().join(clusters, "rep"))
+    sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "root")).alias("main"),
+        F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
+    docs = (salted_join(placed, mains, ["cluster"]).join(sets, "rep")
+            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+            .withColumn("all", F.sequence(F.lit(0), F.col("cells") - 1)))
+    docs = materialize(docs)
+    left = (docs.where("root <> main.root")
+            .select("cluster", F.col("own").alias("i"), F.explode("all").alias("j"),
+                    F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"),
+                    F.col("shingles").alias("sa")))
+    right = docs.select("cluster", F.explode("all").alias("i"), F.col("own").alias("j"),
+                        F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
+                        F.col("shingles").alias("sb"))
+    cells = [left[c] == right[c] for c in ("cluster", "i", "j")]
+    fits = ((F.col("ra") != F.col("rb")) & _near_sizes(F.col("na"), F.col("nb"), percent)
+            & _similar("sa", "sb", percent))
+    return left.join(right, [*cells, fits]).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     component_id is the smallest doc_id that links reach, the row's own
     included; kept marks the rows whose component bears their own id."""
+    ship_package(docs.sparkSession)
     sets = shingle_sets(docs, words, doc_id, text)
     signed = materialize(
         sets.withColumn("s", _signature("shingles"))
@@ -140,37 +196,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     placed = classes.select("rep", F.col("n_shingles").alias("n"),
                             F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(salted_join(placed, shared.drop("size"), ["band", "key"]))
-    del placed
-    # members: every (bucket, representative) of the buckets with two or more
-    links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    tried = None
-    rest = members.withColumn("root", F.col("rep"))
-    while True:
-        centre = (rest.groupBy("band", "key")
-                  .agg(F.min(F.struct("rep", "n", "root")).alias("c"),
-                       F.min("root").alias("least"), F.max("root").alias("most"))
-                  .where("least <> most").drop("least", "most"))
-        # a bucket of one component is settled; a centre leaves its bucket
-        rest = materialize(salted_join(rest, centre, ["band", "key"]).where("rep <> c.rep"))
-        pairs = (rest.where("root <> c.root")
-                 .where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
-                 .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-                 .distinct())
-        rest = rest.drop("c")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if rest.isEmpty():
-            break
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else materialize(tried.union(pairs))
-            links = materialize(links.union(confirmed(pairs, sets, percent)))
-            roots = components(links)
-            rest = (rest.drop("root")
-                    .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-                    .withColumn("root", F.coalesce("root", "rep")))
-        rest = materialize(rest)
+    members = materialize(salted_join(placed, shared, ["band", "key"]))
+    ids = materialize(members.select("rep").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    needed = materialize(sets.withColumnRenamed("doc_id", "rep")
+                         .join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+                         .dropDuplicates(["rep"]))
+    links = materialize(star_links(members, needed, percent))
+    links = materialize(links.union(cluster_links(members, components(links), needed, percent)))
     roots = components(links)
     homes = (classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
              .select("set_key", F.coalesce("root", "rep").alias("component")))

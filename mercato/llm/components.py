@@ -10,42 +10,29 @@ from mercato.session import materialize
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges``: root is the smallest node
-    its component holds.
+    of its component.
 
-    Each round, every node hooks onto its smallest neighbour, chains of
-    hooks are followed to their ends by pointer doubling, and the edges are
-    redrawn between those ends, duplicates and loops dropped.  The number of
-    nodes with edges at least halves, so the rounds are logarithmic; a hub
-    only ever meets a minimum, which aggregates before the shuffle.  Each
-    round is written to the shared checkpoint folder."""
-    live = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    live = materialize(live)
-    done = None
-    while not live.isEmpty():
-        both = live.union(live.select("b", "a"))
-        hook = materialize(both.groupBy(F.col("a").alias("node"))
-                           .agg(F.least(F.min("b"), F.first("a")).alias("root")))
-        while True:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = materialize(hook.join(up, "root").select("node", F.col("above").alias("root"),
-                                                              (F.col("above") < F.col("root"))
-                                                              .alias("moved")))
-            hook = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        if done is None:
-            done = hook
-        else:
-            # an earlier root may have hooked further; nodes that did not take part stay
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            done = done.join(up, "root", "left").select(
-                "node", F.coalesce("above", "root").alias("root"))
-        done = materialize(done)
-        to_a = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        to_b = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = materialize(live.join(to_a, "a").join(to_b, "b").where("ra <> rb")
-                           .select(F.least("ra", "rb").alias("a"),
-                                   F.greatest("ra", "rb").alias("b")).distinct())
-    if done is None:
-        return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
-    return done
+    Every node starts as its own label.  In a round each node takes the
+    label of the smallest label among its neighbours' and its own, which
+    hooks it onto a neighbour and follows that one's pointer at once, so
+    long chains shorten by jumps.  No label ever exceeds its node, so once
+    no label changes they are equal along every edge and the smallest.  A
+    round is one job, written to the shared checkpoint folder; a hub only
+    ever meets a minimum, which aggregates before the shuffle."""
+    one_way = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = materialize(one_way.select(F.explode(F.array(
+        F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")),
+        F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v"))).alias("e"))
+        .select("e.*").distinct())
+    labels = both.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
+    while True:
+        known = labels.select(F.col("node").alias("v"), F.col("root").alias("label"))
+        least = both.join(known, "v").groupBy("u").agg(
+            F.min("label").alias("least"),
+            F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old"))
+        jump = labels.select(F.col("node").alias("least"), "root")
+        state = materialize(least.join(jump, "least").select(
+            F.col("u").alias("node"), "root", (F.col("root") != F.col("old")).alias("changed")))
+        labels = state.select("node", "root")
+        if state.where("changed").isEmpty():
+            return labels

@@ -145,8 +145,9 @@ def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame,
-                  percent: int) -> DataFrame:
-    """Confirmed links (a, b) that the stars have missed, by cells."""
+                  percent: int) -> DataFrame | None:
+    """Confirmed links between components (a, b, named by their roots) that
+    the stars have missed, by cells; None if no bucket is left open."""
     rooted = (members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
               .withColumn("root", F.coalesce("root", "rep")).drop("size"))
     open_buckets = (rooted.groupBy("band", "key")
@@ -154,6 +155,8 @@ def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame,
                          F.min("rep").alias("first")).where("least <> most")
                     .select("band", "key", "first"))
     rest = materialize(salted_join(rooted, open_buckets, ["band", "key"]))
+    if rest.isEmpty():
+        return None
     clusters = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     placed = materialize(rest.select("rep", "root", "n").distinct().join(clusters, "rep"))
@@ -167,15 +170,16 @@ def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame,
     docs = materialize(docs)
     left = (docs.where("root <> main.root")
             .select("cluster", F.col("own").alias("i"), F.explode("all").alias("j"),
-                    F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"),
+                    F.col("root").alias("ra"), F.col("n").alias("na"),
                     F.col("shingles").alias("sa")))
     right = docs.select("cluster", F.explode("all").alias("i"), F.col("own").alias("j"),
-                        F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
+                        F.col("root").alias("rb"), F.col("n").alias("nb"),
                         F.col("shingles").alias("sb"))
     cells = [left[c] == right[c] for c in ("cluster", "i", "j")]
     fits = ((F.col("ra") != F.col("rb")) & _near_sizes(F.col("na"), F.col("nb"), percent)
             & _similar("sa", "sb", percent))
-    return left.join(right, [*cells, fits]).select("a", "b")
+    return materialize(left.join(right, [*cells, fits])
+                       .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id",
@@ -197,14 +201,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
                             F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(salted_join(placed, shared, ["band", "key"]))
-    ids = materialize(members.select("rep").distinct())
+    ids = members.select("rep").distinct()
     few = ids.count() <= BROADCAST_IDS
     needed = materialize(sets.withColumnRenamed("doc_id", "rep")
                          .join(F.broadcast(ids) if few else ids, "rep", "left_semi")
                          .dropDuplicates(["rep"]))
-    links = materialize(star_links(members, needed, percent))
-    links = materialize(links.union(cluster_links(members, components(links), needed, percent)))
-    roots = components(links)
+    roots = components(materialize(star_links(members, needed, percent)))
+    more = cluster_links(members, roots, needed, percent)
+    if more is not None and not more.isEmpty():
+        # between components: their roots are the nodes now
+        above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        lone = above.join(roots, "root", "left_anti").select(F.col("root").alias("node"), "top")
+        roots = (roots.join(above, "root", "left")
+                 .select("node", F.coalesce("top", "root").alias("root"))
+                 .union(lone.withColumnRenamed("top", "root")))
+        roots = materialize(roots)
     homes = (classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
              .select("set_key", F.coalesce("root", "rep").alias("component")))
     homed = salted_join(signed.drop("bands"), homes, ["set_key"], how="left")

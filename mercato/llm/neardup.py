@@ -17,8 +17,8 @@ What a star may miss is a link between two members that are both too far
 from the centre.  So the buckets that the stars leave in several components
 are joined into clusters, and there every member outside the cluster's main
 component is held against all others: in cells of ``CELL`` by ``CELL``
-documents, the comparison being part of the join, so that no list of pairs
-is ever made and no link that a bucket holds is lost.
+documents, those that share a bucket in full; the comparison is part of the
+join, so no list of pairs is ever made and no link that a bucket holds is lost.
 
 Similarity: intersection over union of the sets of ``words``-word shingles.
 At 0.8 a pair shares no bucket with probability 1.9e-6.  Null and empty
@@ -144,7 +144,7 @@ def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame,
+def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame, bands: DataFrame,
                   percent: int) -> DataFrame | None:
     """Confirmed links between components (a, b, named by their roots) that
     the stars have missed, by cells; None if no bucket is left open."""
@@ -164,20 +164,20 @@ def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame,
     mains = sizes.groupBy("cluster").agg(
         F.max(F.struct("n", "root")).alias("main"),
         F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
-    docs = (salted_join(placed, mains, ["cluster"]).join(sets, "rep")
+    docs = (salted_join(placed, mains, ["cluster"]).join(sets, "rep").join(bands, "rep")
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
             .withColumn("all", F.sequence(F.lit(0), F.col("cells") - 1)))
     docs = materialize(docs)
     left = (docs.where("root <> main.root")
             .select("cluster", F.col("own").alias("i"), F.explode("all").alias("j"),
                     F.col("root").alias("ra"), F.col("n").alias("na"),
-                    F.col("shingles").alias("sa")))
+                    F.col("bands").alias("ba"), F.col("shingles").alias("sa")))
     right = docs.select("cluster", F.explode("all").alias("i"), F.col("own").alias("j"),
                         F.col("root").alias("rb"), F.col("n").alias("nb"),
-                        F.col("shingles").alias("sb"))
+                        F.col("bands").alias("bb"), F.col("shingles").alias("sb"))
     cells = [left[c] == right[c] for c in ("cluster", "i", "j")]
     fits = ((F.col("ra") != F.col("rb")) & _near_sizes(F.col("na"), F.col("nb"), percent)
-            & _similar("sa", "sb", percent))
+            & F.arrays_overlap("ba", "bb") & _similar("sa", "sb", percent))
     return materialize(left.join(right, [*cells, fits])
                        .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
 
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
                          .join(F.broadcast(ids) if few else ids, "rep", "left_semi")
                          .dropDuplicates(["rep"]))
     roots = components(materialize(star_links(members, needed, percent)))
-    more = cluster_links(members, roots, needed, percent)
+    more = cluster_links(members, roots, needed, classes.select("rep", "bands"), percent)
     if more is not None and not more.isEmpty():
         # between components: their roots are the nodes now
         above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))

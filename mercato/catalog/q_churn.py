@@ -173,8 +173,7 @@ def q_churn_rate_overall(spark, sf_dir):
 
 @register("labelled_gate", sql=f"""{_CUSTOMER_SQL}
 SELECT tenant_id, count(churned) AS labelled_rows, count(churned) >= 10 AS eligible,
-       (SELECT count(*) FROM feat f2 WHERE f2.tenant_id = feat.tenant_id
-          AND f2.churned IS NOT NULL) AS training_rows
+       CASE WHEN count(churned) >= 10 THEN count(churned) ELSE 0 END AS training_rows
 FROM feat GROUP BY tenant_id""")
 def q_labelled_gate(spark, sf_dir):
     c = customer_table(spark, sf_dir)

@@ -26,7 +26,7 @@ _UI_SQL = f"""
 
 _RECENT_SQL = f"""
   SELECT * FROM ({_UI_SQL}) u
-  WHERE created_at >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY"""
+  WHERE created_at >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY"""
 
 
 def run_log(spark, sf_dir):
@@ -43,7 +43,7 @@ SELECT s.name AS ui_status, CAST(count(f.ui_status) AS BIGINT) AS runs
 FROM (VALUES ('Success'), ('Failed'), ('Running')) s(name)
 LEFT JOIN f ON f.ui_status = s.name GROUP BY s.name""")
 def q_run_status_counts(spark, sf_dir):
-    return runs.status_counts(runs.recent(run_log(spark, sf_dir), days=30))
+    return runs.status_counts(runs.recent(run_log(spark, sf_dir), days=7))
 
 
 @register("run_status_by_day", sql=f"""
@@ -53,7 +53,7 @@ SELECT CAST(created_at AS DATE) AS day,
        CAST(count_if(ui_status = 'Running') AS BIGINT) AS "Running"
 FROM ({_RECENT_SQL}) f WHERE created_at IS NOT NULL GROUP BY 1""")
 def q_run_status_by_day(spark, sf_dir):
-    return runs.status_by_day(runs.recent(run_log(spark, sf_dir), days=30))
+    return runs.status_by_day(runs.recent(run_log(spark, sf_dir), days=7))
 
 
 @register("recent_runs", sql=f"""

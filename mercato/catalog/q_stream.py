@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mercato.catalog import register
 from mercato.session import scratch_path
+from mercato.operators._util import attach_group_stats
 from mercato.sources import sinks, uploads
 from mercato.sources.tables import Tables
 from mercato.streaming import ingest
@@ -33,7 +34,9 @@ def q_stream_ingest_counts(spark, sf_dir):
     checkpointed), analyse each micro-batch per upload into a
     batch-partitioned sink, then combine the batches."""
     schema = Tables(spark, sf_dir).events.schema
-    stream = (ingest.upload_stream(spark, sf_dir, schema, fmt="parquet", glob="events.parquet")
+    # a pattern matches the table as one file and as a folder of part files
+    stream = (ingest.upload_stream(spark, os.path.join(sf_dir, "event[s].parquet"), schema,
+                                   fmt="parquet", glob="*.parquet")
               .withColumn("upload_id", F.col("user_id")))
     out_dir, ckpt = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ckpt")
     q = ingest.run_ingest(stream, out_dir, ckpt, _analyse_events, available_now=True)
@@ -115,3 +118,99 @@ def q_stream_upload_insights(spark, sf_dir):
     res = spark.read.parquet(os.path.join(out_dir, "analyses"))
     return res.select(F.col("upload_id").alias("upload"), "rows", "churn_at_risk_count",
                       "anomaly_count")
+
+
+@register("upload_mixed_headers", sql="""
+SELECT part, count(*) AS rows,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price,
+       sum(o_orderkey)::BIGINT AS keys,
+       count(DISTINCT 'say "' || o_orderpriority || '"' || chr(10) || 'twice, ' || o_orderstatus)
+           AS notes,
+       count(CASE WHEN part = 'odd' THEN 1 END) AS extras
+FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS part FROM orders)
+GROUP BY part""")
+def q_upload_mixed_headers(spark, sf_dir):
+    """Orders exported as CSV uploads with two column orders, one of them
+    with a further column, and notes that hold quotes, commas and line
+    breaks; read back by each file's own header."""
+    note = F.concat(F.lit('say "'), "o_orderpriority", F.lit('"\ntwice, '), "o_orderstatus")
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice", note.alias("note"))
+    out = scratch_path(spark, "mixed")
+    even, odd = (o.where(F.col("o_orderkey") % 2 == i) for i in (0, 1))
+    for df, name in ((even.select("o_orderkey", "note", "o_totalprice"), "even"),
+                     (odd.select("o_totalprice", "note", F.lit(1).alias("extra"), "o_orderkey"),
+                      "odd")):
+        df.write.option("header", True).option("escape", '"').csv(f"{out}/{name}")
+    up = uploads.read_uploads(spark, [f"{out}/even", f"{out}/odd"])
+    part = F.when(F.col("upload_file").contains("/even/"), "even").otherwise("odd")
+    return up.groupBy(part.alias("part")).agg(
+        F.count("*").alias("rows"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_price"),
+        F.sum("o_orderkey").alias("keys"), F.countDistinct("note").alias("notes"),
+        F.count("extra").alias("extras"))
+
+
+@register("upload_types_isolated", sql="""
+WITH u AS (SELECT o_orderkey % 3 AS upload_id, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey =
+                  (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 3 = 1)
+                  THEN 'bad' ELSE o_totalprice::VARCHAR END AS price FROM orders),
+ok AS (SELECT upload_id, bool_and(try_cast(price AS DOUBLE) IS NOT NULL) AS numeric
+       FROM u GROUP BY upload_id)
+SELECT upload_id, count(*) AS rows,
+       count(CASE WHEN numeric THEN price END) AS numbers,
+       coalesce(CAST(SUM(CASE WHEN numeric THEN CAST(price AS DECIMAL(18,2)) END) AS DOUBLE), 0)
+           AS total_price
+FROM u JOIN ok USING (upload_id) GROUP BY upload_id""")
+def q_upload_types_isolated(spark, sf_dir):
+    """Three uploads of order prices as text; one holds a bad number, the
+    others keep theirs."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice")
+    first = o.where("o_orderkey % 3 = 1").agg(F.min("o_orderkey").alias("first"))
+    u = o.crossJoin(F.broadcast(first)).select(
+        (F.col("o_orderkey") % 3).alias("upload_id"),
+        F.when(F.col("o_orderkey") == F.col("first"), F.lit("bad"))
+        .otherwise(F.col("o_totalprice").cast("string")).alias("price"))
+    typed = uploads.with_upload_numbers(u, ["price"])
+    return typed.groupBy("upload_id").agg(
+        F.count("*").alias("rows"), F.count("price_number").alias("numbers"),
+        F.coalesce(F.sum(F.col("price_number").cast("decimal(18,2)")).cast("double"), F.lit(0.0))
+        .alias("total_price"))
+
+
+@register("insert_verdicts", sql="""
+WITH incoming AS (
+    SELECT CASE WHEN l_linenumber = 1 AND l_orderkey % 50 = 0 THEN NULL ELSE l_orderkey END AS c,
+           l_linenumber AS line FROM lineitem WHERE l_orderkey % 10 = 0),
+known AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 20 = 0),
+r AS (SELECT c, line, row_number() OVER (PARTITION BY c ORDER BY line) AS n FROM incoming)
+SELECT CASE WHEN c IS NULL THEN 'missing required field: c'
+            WHEN c IN (SELECT c_custkey FROM known) THEN 'already exists'
+            WHEN n > 1 THEN 'duplicate key in batch' ELSE 'accepted' END AS verdict,
+       count(*) AS rows FROM r GROUP BY 1""")
+def q_insert_verdicts(spark, sf_dir):
+    """Every row of an insert batch is accepted or rejected with a reason."""
+    t = Tables(spark, sf_dir)
+    incoming = t.lineitem.where("l_orderkey % 10 = 0").select(
+        F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 50 == 0), F.lit(None))
+        .otherwise(F.col("l_orderkey")).alias("c"), F.col("l_linenumber").alias("line"))
+    known = t.customer.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("c"))
+    accepted, rejected = sinks.new_rows_only(known, incoming, ["c"], ["c"])
+    return (accepted.withColumn("verdict", F.lit("accepted")).select("verdict")
+            .union(rejected.select("reason")).groupBy("verdict").agg(F.count("*").alias("rows")))
+
+
+@register("null_key_outliers", sql="""
+WITH d AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey % 50 END AS item,
+                  l_quantity::DOUBLE AS x FROM lineitem),
+s AS (SELECT item, min(x) AS low, count(*) AS n FROM d GROUP BY item)
+SELECT d.item, count(*) AS rows, count_if(d.x = s.low)::BIGINT AS lowest
+FROM d JOIN s ON d.item IS NOT DISTINCT FROM s.item GROUP BY d.item""")
+def q_null_key_outliers(spark, sf_dir):
+    """Group statistics attached to rows keep the group of null keys."""
+    d = Tables(spark, sf_dir).lineitem.select(
+        F.when(F.col("l_partkey") % 7 == 0, F.lit(None)).otherwise(F.col("l_partkey") % 50)
+        .alias("item"), F.col("l_quantity").cast("double").alias("x"))
+    stats = d.groupBy("item").agg(F.min("x").alias("low"))
+    both = attach_group_stats(d, stats, ["item"])
+    return both.groupBy("item").agg(F.count("*").alias("rows"),
+                                    F.count_if(F.col("x") == F.col("low")).alias("lowest"))

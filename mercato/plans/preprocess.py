@@ -64,7 +64,7 @@ class PreprocessResult:
 
 
 def preprocess(df: DataFrame, group_cols: Sequence[str] = (), strict_roles: bool = False,
-               exact_profile: bool = False) -> PreprocessResult:
+               exact_profile: bool = True) -> PreprocessResult:
     g = keys(group_cols)
     if not g:
         df, g = df.withColumn(_ONE, F.lit(0)), [_ONE]

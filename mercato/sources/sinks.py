@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.operators._util import keys
@@ -62,10 +62,12 @@ def split_valid(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, Data
 
 def new_rows_only(existing: DataFrame, incoming: DataFrame, key_cols: Sequence[str],
                   required: Sequence[str] = (), defaults: dict | None = None,
-                  ) -> tuple[DataFrame, DataFrame]:
+                  order_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Batch insert of records: required-field check, defaults for absent
-    business fields, drop keys that already exist (anti-join) and duplicate
-    keys inside the batch.  Returns (accepted, rejected)."""
+    business fields, reject keys that already exist (anti-join) and all but
+    one row of a key inside the batch: the first by ``order_cols`` (all other
+    columns when not given).  Returns (accepted, rejected with a reason);
+    together they hold every incoming row."""
     k = keys(key_cols)
     valid, rejected = split_valid(incoming, required)
     if defaults:
@@ -74,8 +76,14 @@ def new_rows_only(existing: DataFrame, incoming: DataFrame, key_cols: Sequence[s
     known = existing.select(*k)
     dup = valid.join(known, on=k, how="left_semi").withColumn(
         "reason", F.lit("already exists"))
-    fresh = valid.join(known, on=k, how="left_anti").dropDuplicates(k)
-    return fresh, rejected.unionByName(dup, allowMissingColumns=True)
+    fresh = valid.join(known, on=k, how="left_anti")
+    order = list(order_cols or [c for c in fresh.columns if c not in k]) or k
+    ranked = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(*k).orderBy(*order)))
+    again = (ranked.where("__n > 1").drop("__n")
+             .withColumn("reason", F.lit("duplicate key in batch")))
+    return (ranked.where("__n = 1").drop("__n"),
+            rejected.unionByName(dup, allowMissingColumns=True)
+            .unionByName(again, allowMissingColumns=True))
 
 
 def latest_analysis(analyses: DataFrame, upload_id=None, upload_col: str = "upload_id",

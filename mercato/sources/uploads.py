@@ -12,12 +12,14 @@ reader.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.coerce import parses_as
+from mercato.operators._util import salted_join
 
 # Strings read as missing (the pandas CSV reader's defaults).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -26,19 +28,46 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 CSV_GLOB = "*.[cC][sS][vV]"
 
 
+def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(header, files): the files of each distinct first line, from one scan.
+    The first line of a file is the first row of its first block, read in
+    order by one task."""
+    lines = (spark.read.option("pathGlobFilter", CSV_GLOB).text(paths)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("at")))
+    return (lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+            .groupBy("header").agg(F.collect_list("file").alias("files")))
+
+
 def read_uploads(spark: SparkSession, paths: str | Sequence[str], infer_types: bool = True,
-                 schema: T.StructType | None = None) -> DataFrame:
+                 schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """All CSV files under ``paths`` as one DataFrame with ``upload_file``
-    (the file path) and ``upload_id`` (a stable hash of it)."""
-    reader = (spark.read.option("header", True).option("pathGlobFilter", CSV_GLOB)
-              .option("mode", "PERMISSIVE").option("multiLine", False))
+    (the file path) and ``upload_id`` (a stable hash of it).
+
+    Columns are bound by the names in each file's own header: files that
+    share a header are read together and the groups united by name, a column
+    that a file lacks being null there.  Quotes are doubled inside quoted
+    fields, which may hold line breaks (``multi_line``; without it, large
+    files are split among tasks)."""
+    def reader():
+        return (spark.read.option("header", True).option("pathGlobFilter", CSV_GLOB)
+                .option("mode", "PERMISSIVE").option("multiLine", multi_line)
+                .option("quote", '"').option("escape", '"'))
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias("upload_file"))
+
     if schema is not None:
-        df = reader.schema(schema).csv(paths)
+        df = named(reader().schema(schema).csv(paths))
     else:
-        df = reader.option("inferSchema", False).csv(paths)
-    df = df.select("*", F.col("_metadata.file_path").alias("upload_file"))
+        groups = file_headers(spark, paths).orderBy("header").collect()
+        parts = [named(reader().option("inferSchema", False).csv(g.files)) for g in groups]
+        df = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts
+              else named(reader().option("inferSchema", False).csv(paths)))
     df = df.withColumn("upload_id", F.xxhash64("upload_file"))
     data_cols = [c for c in df.columns if c not in ("upload_file", "upload_id")]
+    df = df.select(*data_cols, "upload_file", "upload_id")
     if schema is None:
         df = normalize_missing(df, data_cols)
         if infer_types:
@@ -46,6 +75,36 @@ def read_uploads(spark: SparkSession, paths: str | Sequence[str], infer_types: b
     return df
 
 
+def upload_types(df: DataFrame, cols: Sequence[str], upload_col: str = "upload_id") -> DataFrame:
+    """(upload, column, kind): the all-or-nothing type of each column in each
+    upload: long, double, boolean, string, or missing."""
+    bools = F.array(F.lit("true"), F.lit("false"))
+    cells = df.select(upload_col, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.trim(F.col(c)).alias("x")) for c in cols])).alias("c"))
+    x = F.col("c.x")
+    some = x.isNotNull()
+    return (cells.groupBy(upload_col, F.col("c.column").alias("column")).agg(
+        F.count(x).alias("n"), F.bool_and(~some | parses_as(x, "long")).alias("l"),
+        F.bool_and(~some | parses_as(x, "double")).alias("d"),
+        F.bool_and(~some | F.array_contains(bools, F.lower(x))).alias("b"))
+        .select(upload_col, "column", F.when(F.col("n") == 0, "missing").when(F.col("l"), "long")
+                .when(F.col("d"), "double").when(F.col("b"), "boolean")
+                .otherwise("string").alias("kind")))
+
+
+def with_upload_numbers(df: DataFrame, cols: Sequence[str], upload_col: str = "upload_id",
+                        suffix: str = "_number") -> DataFrame:
+    """Add ``<column>_number`` for each string column: its value as a double
+    in the uploads where the whole column is numeric, null in the others, so
+    one upload's bad value never changes another's numbers."""
+    kinds = (upload_types(df, cols, upload_col).where(F.col("kind").isin("long", "double"))
+             .groupBy(upload_col).agg(F.collect_set("column").alias("__numeric")))
+    out = salted_join(df, kinds, [upload_col], how="left")
+    return out.withColumns({c + suffix: F.when(F.array_contains("__numeric", F.lit(c)),
+                                               F.trim(F.col(c)).try_cast("double"))
+                            for c in cols}).drop("__numeric")
+
+
 def normalize_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     toks = F.array(*[F.lit(t) for t in NA_TOKENS])
     return df.withColumns({c: F.when(F.array_contains(toks, F.col(c)), F.lit(None))

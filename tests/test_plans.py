@@ -12,8 +12,10 @@ from conftest import SF_SMALL
 
 def _plan(spark, name):
     df = entry_mod.queries()[name](spark, SF_SMALL)
-    df.write.format("noop").mode("overwrite").save()      # final adaptive plan
-    return df._jdf.queryExecution().executedPlan().toString()
+    df.collect()                                          # the frame whose plan is read
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    return plan.split("== Initial Plan ==")[0]
 
 
 def _scans(plan, table):

@@ -32,10 +32,10 @@ def test_only_csv_files_are_uploads(spark, csv_file, tmp_path):
 def test_clean_missing_mean_and_mode(spark, csv_file):
     df = uploads.read_uploads(spark, csv_file(ORDERS_MISSING)).drop("upload_file", "upload_id")
     out = clean.clean_missing(df).orderBy("sku").collect()
-    assert out[1]["quantity"] == 32.5           # mean of 10, 30, 40, 50
-    assert out[2]["price"] == 300.0             # mean of 100, 200, 400, 500
-    assert out[3]["customer_id"] == "C1"        # mode, ties -> smallest
-    assert out[4]["order_date"] == "2023-01-01"
+    assert out[1]["quantity"] == 18.75          # mean of 12, 18, 21, 24
+    assert out[2]["price"] == 18.375            # mean of 8.5, 20, 14, 31
+    assert out[3]["customer_id"] == "M3"        # mode, ties -> smallest
+    assert out[4]["order_date"] == "2022-05-02"
     assert all(r[c] is not None for r in out for c in df.columns)
 
 
@@ -93,11 +93,11 @@ def test_preprocess_missing_golden(spark, csv_file):
     res = preprocess.preprocess(df)
     assert res.date_col == "order_date" and res.quantity_col == "quantity"
     fc = res.document().first()["forecast"]
-    assert [round(v, 9) for v in fc] == [25, 18.75, 12.5, 6.25, 0, -6.25, -12.5]
+    assert [round(v, 9) for v in fc] == [12, 7.425, 2.85, -1.725, -6.3, -10.875, -15.45]
 
 
 def test_preprocess_single_row_and_empty(spark, csv_file):
-    one = uploads.read_uploads(spark, csv_file("sku,quantity,price,order_date\nA,10,100.0,2023-01-01\n"))
+    one = uploads.read_uploads(spark, csv_file("sku,quantity,price,order_date\nurn,3,62.5,2022-08-09\n"))
     doc = preprocess.preprocess(one.drop("upload_file", "upload_id")).document().first()
     assert doc["record_count"] == 1 and doc["anomaly_count"] == 0 and doc["forecast"] == []
     empty = spark.createDataFrame([], "sku string, quantity double, order_date string")
@@ -111,7 +111,7 @@ def test_preprocess_many_uploads_at_once(spark, csv_file):
     docs = {r["upload_id"]: r for r in preprocess.preprocess(both, ["upload_id"]).document().collect()}
     assert len(docs) == 2
     fcs = sorted(tuple(round(v, 6) for v in d["forecast"]) for d in docs.values())
-    assert (60.0, 70.0, 80.0, 90.0, 100.0, 110.0, 120.0) in fcs
+    assert (27.0, 30.0, 33.0, 36.0, 39.0, 42.0, 45.0) in fcs
     assert all(d["record_count"] == 5 for d in docs.values())
 
 

@@ -42,7 +42,8 @@ def test_new_rows_only_rejects_and_defaults(spark):
     assert [(r["tenant_id"], r["customer_id"], r["total_orders"], r["total_spent"])
             for r in ok.collect()] == [(1, "b", 5, 0.0)]
     reasons = sorted(r["reason"] for r in bad.collect())
-    assert reasons == ["already exists", "missing required field: customer_id",
+    assert reasons == ["already exists", "duplicate key in batch",
+                       "missing required field: customer_id",
                        "missing required field: segment"]
 
 
@@ -75,3 +76,33 @@ def test_salted_join_keeps_every_row_of_a_hot_key(spark):
     assert [r["n"] for r in hot] == [hot_n]     # every salt copy carries the same statistics
     left = salted_join(rows, stats.where("k <> 3"), ["k"], buckets=4, how="left")
     assert left.count() == 20000 and left.where("n IS NULL").count() == rows.where("k = 3").count()
+
+
+def test_duplicate_keys_of_a_batch_are_rejected_not_lost(spark):
+    known = spark.createDataFrame([("k",)], "id string")
+    new = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("k", 5), (None, 3)],
+                                "id string, v long")
+    accepted, rejected = sinks.new_rows_only(known, new, ["id"], ["id"])
+    assert [tuple(r) for r in accepted.collect()] == [("a", 1)]
+    assert sorted((r["id"] or "", r["v"], r["reason"]) for r in rejected.collect()) == [
+        ("", 3, "missing required field: id"), ("a", 1, "duplicate key in batch"),
+        ("a", 2, "duplicate key in batch"), ("k", 5, "already exists")]
+
+
+def test_uploads_bind_columns_by_their_own_header(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('sku,quantity,price\nA,1,2.5\n"say ""hi"" now",2,3.5\n')
+    (tmp_path / "two.csv").write_text('price,extra,sku,quantity\n99.5,x,"line\nbreak",7\n')
+    rows = uploads.read_uploads(spark, str(tmp_path)).orderBy("quantity").collect()
+    assert [(r["sku"], r["quantity"], r["price"], r["extra"]) for r in rows] == [
+        ("A", 1, 2.5, None), ('say "hi" now', 2, 3.5, None), ("line\nbreak", 7, 99.5, "x")]
+
+
+def test_types_of_one_upload_do_not_change_another(spark):
+    df = spark.createDataFrame([("u1", "7"), ("u1", "8"), ("u2", "x"), ("u2", "9"), (None, "4")],
+                               "upload_id string, code string")
+    kinds = {(r["upload_id"], r["kind"]) for r in uploads.upload_types(df, ["code"]).collect()}
+    assert kinds == {("u1", "long"), ("u2", "string"), (None, "long")}
+    got = sorted(((r["upload_id"] or ""), r["code"], r["code_number"])
+                 for r in uploads.with_upload_numbers(df, ["code"]).collect())
+    assert got == [("", "4", 4.0), ("u1", "7", 7.0), ("u1", "8", 8.0), ("u2", "9", None),
+                   ("u2", "x", None)]

@@ -27,6 +27,10 @@ DEFAULT_QUERIES = HEADLINE + [
     "recent_predictions", "new_customers_only", "preprocess_document",
 ]
 
+# the heaviest of the rest
+HEAVY = ["churn_train_metrics", "demand_score", "stream_upload_insights", "insights_document",
+         "labelled_gate", "upload_mixed_headers"]
+
 
 def _sf_of(path: str) -> str:
     base = os.path.basename(os.path.normpath(path))
@@ -37,7 +41,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or DEFAULT_QUERIES
+    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or DEFAULT_QUERIES + HEAVY
     names = [n for n in dict.fromkeys(names) if n in QUERIES]
     spark = build_session(f"local[{cpus}]", app_name="mercato-bench",
                           shuffle_partitions=int(cpus) * 2,

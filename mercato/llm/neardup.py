@@ -119,8 +119,8 @@ def shingle_sets(docs: DataFrame, words: int, doc_id: str = "doc_id",
 
 
 def _similar(x: str, y: str, percent: int) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+    # 100 * both >= percent * (x + y - both), so that both is computed once
+    return (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y))
 
 
 def _near_sizes(x: Column, y: Column, percent: int) -> Column:

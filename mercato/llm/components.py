@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.session import materialize
+from mercato.llm.text import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,10 +17,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     hooks it onto a neighbour and follows that one's pointer at once, so
     long chains shorten by jumps.  No label ever exceeds its node, so once
     no label changes they are equal along every edge and the smallest.  A
-    round is one job, written to the shared checkpoint folder; a hub only
+    round is one job, written to the shared folder; a hub only
     ever meets a minimum, which aggregates before the shuffle."""
     one_way = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = materialize(one_way.select(F.explode(F.array(
+    both = written(one_way.select(F.explode(F.array(
         F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")),
         F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v"))).alias("e"))
         .select("e.*").distinct())
@@ -31,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.min("label").alias("least"),
             F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("least"), "root")
-        state = materialize(least.join(jump, "least").select(
+        state = written(least.join(jump, "least").select(
             F.col("u").alias("node"), "root", (F.col("root") != F.col("old")).alias("changed")))
         labels = state.select("node", "root")
         if state.where("changed").isEmpty():

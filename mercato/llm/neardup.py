@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.llm.components import components
-from mercato.llm.text import shingles, space_words, whole
+from mercato.llm.text import shingles, space_words, whole, written
 from mercato.operators._util import salted_join
-from mercato.session import materialize, ship_package
+from mercato.session import ship_package
 
 ROWS = 4
 BANDS = 25
@@ -154,12 +154,12 @@ def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame, bands:
                     .agg(F.min("root").alias("least"), F.max("root").alias("most"),
                          F.min("rep").alias("first")).where("least <> most")
                     .select("band", "key", "first"))
-    rest = materialize(salted_join(rooted, open_buckets, ["band", "key"]))
+    rest = written(salted_join(rooted, open_buckets, ["band", "key"]))
     if rest.isEmpty():
         return None
     clusters = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    placed = materialize(rest.select("rep", "root", "n").distinct().join(clusters, "rep"))
+    placed = written(rest.select("rep", "root", "n").distinct().join(clusters, "rep"))
     sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("cluster").agg(
         F.max(F.struct("n", "root")).alias("main"),
@@ -167,7 +167,7 @@ def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame, bands:
     docs = (salted_join(placed, mains, ["cluster"]).join(sets, "rep").join(bands, "rep")
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
             .withColumn("all", F.sequence(F.lit(0), F.col("cells") - 1)))
-    docs = materialize(docs)
+    docs = written(docs)
     left = (docs.where("root <> main.root")
             .select("cluster", F.col("own").alias("i"), F.explode("all").alias("j"),
                     F.col("root").alias("ra"), F.col("n").alias("na"),
@@ -178,7 +178,7 @@ def cluster_links(members: DataFrame, roots: DataFrame, sets: DataFrame, bands:
     cells = [left[c] == right[c] for c in ("cluster", "i", "j")]
     fits = ((F.col("ra") != F.col("rb")) & _near_sizes(F.col("na"), F.col("nb"), percent)
             & F.arrays_overlap("ba", "bb") & _similar("sa", "sb", percent))
-    return materialize(left.join(right, [*cells, fits])
+    return written(left.join(right, [*cells, fits])
                        .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
 
 
@@ -190,23 +190,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     included; kept marks the rows whose component bears their own id."""
     ship_package(docs.sparkSession)
     sets = shingle_sets(docs, words, doc_id, text)
-    signed = materialize(
+    signed = written(
         sets.withColumn("s", _signature("shingles"))
         .select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), "s.set_key", "s.bands"))
     linked = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     # equal sets have equal bands, so a class is one group of the aggregate
-    classes = materialize(linked.groupBy("set_key", "n_shingles", "bands")
+    classes = written(linked.groupBy("set_key", "n_shingles", "bands")
                           .agg(F.min("doc_id").alias("rep")))
     placed = classes.select("rep", F.col("n_shingles").alias("n"),
                             F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(salted_join(placed, shared, ["band", "key"]))
+    members = written(salted_join(placed, shared, ["band", "key"]))
     ids = members.select("rep").distinct()
     few = ids.count() <= BROADCAST_IDS
-    needed = materialize(sets.withColumnRenamed("doc_id", "rep")
+    needed = written(sets.withColumnRenamed("doc_id", "rep")
                          .join(F.broadcast(ids) if few else ids, "rep", "left_semi")
                          .dropDuplicates(["rep"]))
-    roots = components(materialize(star_links(members, needed, percent)))
+    roots = components(written(star_links(members, needed, percent)))
     more = cluster_links(members, roots, needed, classes.select("rep", "bands"), percent)
     if more is not None and not more.isEmpty():
         # between components: their roots are the nodes now
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         roots = (roots.join(above, "root", "left")
                  .select("node", F.coalesce("top", "root").alias("root"))
                  .union(lone.withColumnRenamed("top", "root")))
-        roots = materialize(roots)
+        roots = written(roots)
     homes = (classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
              .select("set_key", F.coalesce("root", "rep").alias("component")))
     homed = salted_join(signed.drop("bands"), homes, ["set_key"], how="left")

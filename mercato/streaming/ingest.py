@@ -38,35 +38,75 @@ def upload_stream(spark: SparkSession, source_dir: str, schema: T.StructType | s
             .withColumn("upload_id", F.xxhash64("upload_file")))
 
 
-def run_status_rows(batch: DataFrame, batch_id: int, status: str, message: str) -> DataFrame:
-    return (batch.select("upload_id").distinct()
-            .select("upload_id", F.lit(status).alias("status"), F.lit(message).alias("message"),
+def run_status_rows(batch: DataFrame, batch_id: int, seq: int, status, message) -> DataFrame:
+    """One run row per upload of ``batch``.  ``seq`` orders the rows of an
+    upload within a batch; ``status`` and ``message`` are columns over
+    (upload_id, rows)."""
+    return (batch.groupBy("upload_id").agg(F.count(F.lit(1)).alias("rows"))
+            .select("upload_id", status.alias("status"), message.alias("message"),
                     F.current_timestamp().alias("created_at"),
-                    F.lit(batch_id).cast("long").alias("batch_id")))
+                    F.lit(batch_id).cast("long").alias("batch_id"), F.lit(seq).alias("seq")))
+
+
+def failing_uploads(batch: DataFrame, analyse: Callable[[DataFrame], DataFrame]) -> dict:
+    """upload_id -> reason for the uploads that can't be analysed on their
+    own.  Called only after the analysis of the whole batch has failed; a
+    batch has as many uploads as the trigger takes files."""
+    reasons = {}
+    for row in batch.select("upload_id").distinct().collect():
+        own = batch.where(F.col("upload_id").eqNullSafe(F.lit(row["upload_id"])))
+        try:
+            analyse(own).write.format("noop").mode("overwrite").save()
+        except Exception as error:
+            reasons[row["upload_id"]] = str(error).split("\n")[0][:500]
+    return reasons
 
 
 def make_batch_handler(out_dir: str, analyse: Callable[[DataFrame], DataFrame]):
     """foreachBatch handler: ``analyse`` turns the batch into one row per
-    upload; results and run events go to ``out_dir``/analyses and
-    ``out_dir``/pipeline_runs, partitioned by batch id."""
+    upload, written to ``out_dir``/analyses by batch id.
+
+    ``out_dir``/pipeline_runs gets a ``started`` row per upload before the
+    analysis (seq 0) and a ``completed`` or ``failed`` row after it (seq 1),
+    the latter with the reason.  An upload that can't be analysed doesn't
+    hold up the others of its batch; if each can be analysed alone but not
+    all together, the error is raised and the batch runs again."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the batch is read by the run rows and by the analysis: keep it for
         # the duration of the handler (bounded by maxFilesPerTrigger; a lost
         # block is recomputed from the batch's files)
         batch = batch.persist()
-        try:
-            started = run_status_rows(batch, batch_id, "started", "analysis started")
-            result = analyse(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        runs = os.path.join(out_dir, "pipeline_runs")
+
+        def write(rows: DataFrame) -> None:
+            result = analyse(rows).withColumn("batch_id", F.lit(batch_id).cast("long"))
             replace_partitions(result, os.path.join(out_dir, "analyses"), ["batch_id"])
-            written = result.sparkSession.read.parquet(
-                os.path.join(out_dir, "analyses", f"batch_id={batch_id}"))
-            done = (written.select("upload_id").distinct()
-                    .select("upload_id", F.lit("completed").alias("status"),
-                            F.lit("analysis completed").alias("message"),
-                            F.current_timestamp().alias("created_at"),
-                            F.lit(batch_id).cast("long").alias("batch_id")))
-            replace_partitions(started.unionByName(done), os.path.join(out_dir, "pipeline_runs"),
-                               ["batch_id"])
+
+        try:
+            replace_partitions(
+                run_status_rows(batch, batch_id, 0, F.lit("started"),
+                                F.concat(F.lit("analysis of "), F.col("rows").cast("string"),
+                                         F.lit(" rows started"))), runs, ["batch_id", "seq"])
+            reason = F.lit(None).cast("string")
+            try:
+                write(batch)
+            except Exception:
+                reasons = failing_uploads(batch, analyse)
+                if not reasons:
+                    raise
+                good = batch
+                for upload, why in reasons.items():
+                    this = F.col("upload_id").eqNullSafe(F.lit(upload))
+                    good = good.where(~this)
+                    reason = F.when(this, F.lit(why)).otherwise(reason)
+                if not good.isEmpty():
+                    write(good)
+            done = F.concat(F.lit("analysis of "), F.col("rows").cast("string"),
+                            F.lit(" rows completed"))
+            status = F.when(reason.isNull(), F.lit("completed")).otherwise(F.lit("failed"))
+            replace_partitions(
+                run_status_rows(batch, batch_id, 1, status, F.coalesce(reason, done)),
+                runs, ["batch_id", "seq"])
         finally:
             batch.unpersist()
     return handle

@@ -106,3 +106,26 @@ def test_types_of_one_upload_do_not_change_another(spark):
                  for r in uploads.with_upload_numbers(df, ["code"]).collect())
     assert got == [("", "4", 4.0), ("u1", "7", 7.0), ("u1", "8", 8.0), ("u2", "9", None),
                    ("u2", "x", None)]
+
+
+def test_one_bad_upload_does_not_block_its_batch(spark, tmp_path):
+    out = str(tmp_path / "o")
+
+    def analyse(batch):
+        checked = batch.withColumn("q", F.when(F.col("q") < 0, F.raise_error(F.lit("negative q")))
+                                   .otherwise(F.col("q")))
+        return checked.groupBy("upload_id").agg(F.sum("q").alias("q"))
+
+    batch = spark.createDataFrame([(1, 5), (1, 6), (2, -1), (3, 7)], "upload_id long, q long")
+    handle = ingest.make_batch_handler(out, analyse)
+    for _ in range(2):                                  # the second run is a replay
+        handle(batch, 4)
+        res = spark.read.parquet(os.path.join(out, "analyses"))
+        assert sorted((r["upload_id"], r["q"]) for r in res.collect()) == [(1, 11), (3, 7)]
+        runs = spark.read.parquet(os.path.join(out, "pipeline_runs"))
+        got = {(r["upload_id"], r["seq"]): (r["status"], r["message"]) for r in runs.collect()}
+        assert runs.count() == len(got) == 6
+        assert {got[u, 0][0] for u in (1, 2, 3)} == {"started"}
+        assert got[1, 1] == ("completed", "analysis of 2 rows completed")
+        assert got[2, 1][0] == "failed" and "negative q" in got[2, 1][1]
+        assert got[3, 1][0] == "completed"

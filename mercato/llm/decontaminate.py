@@ -38,7 +38,7 @@ from mercato.session import materialize
 
 WORDS = 5
 PERCENT = 80
-RADIUS = 11
+RADIUS = 19
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
 BLOCK_ROWS = 1_000_000
@@ -138,17 +138,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     texts = (windows.select("window", "n_words").distinct()
              .withColumn("words", F.split("window", " ")))
     probes = texts.withColumn("f", simhash(F.col("words"))).select(
-        "window", "words", "n_words", "f", F.explode(_blocks(F.col("f"))).alias("b"))
+        "window", "n_words", "f", F.explode(_blocks(F.col("f"))).alias("b"))
+    # the words of an item are joined to its candidates, not kept in each entry;
+    # the entries are 10,068 an item, so they are dealt out and never broadcast
     entries = (items.withColumn("g", simhash(F.col("words")))
-               .select("item_id", "k", "n_words", "g", F.col("words").alias("item"),
-                       F.explode(_blocks(F.col("g"))).alias("b"))
+               .select("item_id", "n_words", "g", F.explode(_blocks(F.col("g"))).alias("b"))
                .withColumn("mask", F.explode(F.array(*map(F.lit, _near_masks()))))
-               .select("item_id", "k", "n_words", "g", "item", F.col("b.block").alias("block"),
+               .select("item_id", "n_words", "g", F.col("b.block").alias("block"),
                        F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")))
-    near = (probes.select("window", "words", "n_words", "f", "b.block", "b.value")
-            .join(entries, ["n_words", "block", "value"])
-            .where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS)
-            .select("window", "words", "n_words", "item_id", "k", "item").distinct())
+    close = (probes.select("window", "n_words", "f", "b.block", "b.value")
+             .join(entries.hint("merge"), ["n_words", "block", "value"])
+             .where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS)
+             .select("window", "n_words", "item_id", "g").distinct())
+    own = (items.withColumn("g", simhash(F.col("words")))
+           .select("item_id", "n_words", "g", "k", F.col("words").alias("item")))
+    near = (salted_join(close, own, ["item_id", "n_words", "g"])
+            .withColumn("words", F.split("window", " "))
+            .select("window", "words", "n_words", "item_id", "k", "item"))
     k = F.col("k")
     counted = near.select(
         "window", "n_words", "item_id",

@@ -3,9 +3,10 @@ canonical JSON.
 
 Messages come one a row; a message may be a call (``call_id``, ``tool``,
 ``arguments`` as JSON text, ``after``: the call whose result it needs) or a
-result (``result_for``).  Calls and results meet in hash joins on the
-identifier.  A call that repeats an identifier, and a further result of a
-call, are marked and stay; the first by turn links.  The level of a message
+result (``result_for``).  Calls and results meet in hash joins on
+conversation and identifier, so the same identifier in two conversations is
+two calls.  A call that repeats an identifier of its conversation, and a
+further result of a call, are marked and stay; the first by turn links.  The level of a message
 is its number of ancestors (a result's call, the result or else the call
 that a call needs), found by pointer doubling in joins, so a chain of n
 messages takes log2(n) rounds and no conversation is gathered anywhere.
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.operators._util import ordered_index
+from mercato.operators._util import null_safe_join, ordered_index
 from mercato.session import materialize
 
 TURNS_PER_TASK = 1024
@@ -65,6 +66,12 @@ def _levels(nodes: DataFrame) -> DataFrame:
     return state.select("node", F.when(F.col("jump").isNull(), F.col("level")).alias("level"))
 
 
+def _within(rows: DataFrame, stats: DataFrame, identifier: str) -> DataFrame:
+    """``rows`` with what ``stats`` has for the identifier in the same
+    conversation."""
+    return null_safe_join(rows, stats, ["conv_id", identifier], "left", equal=[identifier])
+
+
 def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple]]) -> DataFrame:
     """(conv_id, turn, role, position, level, status, arguments_ok, json) of
     every message: conv_id, turn, role, text, call_id, tool, arguments,
@@ -78,19 +85,21 @@ def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple]]) -> Data
         F.col("result_for").alias("tool_call_id"), call.alias("tool_calls"))))
     rows = materialize(rows.withColumn("node", F.md5(F.to_json(F.struct(*body)).cast("binary"))))
     first = F.min(F.struct("turn", "node"))
-    calls = (rows.where("call_id IS NOT NULL").groupBy("call_id").agg(first.alias("f"))
-             .select("call_id", F.col("f.node").alias("call_node")))
-    results = (rows.where("result_for IS NOT NULL").groupBy("result_for").agg(first.alias("f"))
-               .select("result_for", F.col("f.node").alias("result_node")))
-    needed = (calls.join(results, calls["call_id"] == results["result_for"], "left")
-              .select(F.col("call_id").alias("after"),
+    calls = (rows.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(first.alias("f"))
+             .select("conv_id", "call_id", F.col("f.node").alias("call_node")))
+    results = (rows.where("result_for IS NOT NULL").groupBy("conv_id", "result_for")
+               .agg(first.alias("f"))
+               .select("conv_id", "result_for", F.col("f.node").alias("result_node")))
+    needed = (_within(calls, results.withColumnRenamed("result_for", "call_id"), "call_id")
+              .select("conv_id", F.col("call_id").alias("after"),
                       F.coalesce("result_node", "call_node").alias("needed_node"),
                       F.col("result_node").isNotNull().alias("answered")))
-    linked = (rows.join(calls, "call_id", "left").join(results, "result_for", "left")
-              .join(needed.drop("answered"), "after", "left")
-              .join(needed.select(F.col("after").alias("call_id"), "answered"), "call_id", "left")
-              .join(calls.select(F.col("call_id").alias("result_for"),
-                                 F.col("call_node").alias("asked_node")), "result_for", "left"))
+    linked = _within(_within(rows, calls, "call_id"), results, "result_for")
+    linked = _within(linked, needed.drop("answered"), "after")
+    linked = _within(linked, needed.select("conv_id", F.col("after").alias("call_id"), "answered"),
+                     "call_id")
+    linked = _within(linked, calls.select("conv_id", F.col("call_id").alias("result_for"),
+                                          F.col("call_node").alias("asked_node")), "result_for")
     is_call, is_result = F.col("call_id").isNotNull(), F.col("result_for").isNotNull()
     parent = (F.when(is_result, F.col("asked_node"))
               .when(is_call & (F.col("call_node") == F.col("node")), F.col("needed_node")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import spelling
+from mercato.llm import manifest, spelling
 from mercato.llm.queries import register
-from mercato.llm.text import whole
+from mercato.llm.text import ASCII_UPPER, whole
 from mercato.sources.tables import table
 
 
@@ -83,3 +83,83 @@ def op13_spelling(spark, sf_dir):
                                         F.substring("run", at + 2, F.length("run")))
                   ).otherwise(F.col("run"))
     return spelling.variants(spelling.counted(runs, word, shortest=7, least=2))
+
+
+def _tree_sql(rows: str, name: str, levels: int) -> str:
+    """CTEs that reduce ``rows`` (g, slot, h) to one node a group: runs of
+    each level in ``{name}_run{k}``, the end in ``{name}_top``."""
+    sql = [f"{name}0 AS (SELECT g, slot, h, count(*) OVER (PARTITION BY g) AS size FROM {rows})"]
+    for k in range(levels):
+        sql.append(f"""{name}_run{k} AS (
+            SELECT g, slot // 8 AS run, max(size) AS size, list(h ORDER BY slot) AS hs
+            FROM {name}{k} GROUP BY ALL)""")
+        sql.append(f"""{name}{k + 1} AS (
+            SELECT g, run AS slot, (size + 7) // 8 AS size,
+                   CASE WHEN size = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h
+            FROM {name}_run{k})""")
+    return ",\n".join(sql + [f"{name}_top AS (SELECT g, h FROM {name}{levels})"])
+
+
+def _walk_sql(rows: str, name: str, levels: int) -> str:
+    """CTEs that walk ``rows`` (g, place, node, proof, ...) up the tree
+    ``name``: ``{name}_end`` holds the folded node and all siblings."""
+    before = "array_to_string(hs[1:(place % 8)], '')"
+    after = "array_to_string(hs[(place % 8 + 2):], '')"
+    steps = [f"""{name}_walk{k + 1} AS (
+        SELECT w.* REPLACE (
+            CASE WHEN size = 1 THEN node ELSE sha256({before} || node || {after}) END AS node,
+            CASE WHEN size = 1 THEN proof ELSE proof || {before} || {after} END AS proof,
+            place // 8 AS place)
+        FROM {f"{name}_walk{k}" if k else rows} w
+        JOIN {name}_run{k} r ON w.g = r.g AND w.place // 8 = r.run)""" for k in range(levels)]
+    return ",\n".join(steps + [f"{name}_end AS (SELECT * FROM {name}_walk{levels})"])
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(
+        f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+# eight levels: 16,777,216 rows of a language; the languages, 512
+@register("op12_manifest", f"""
+WITH leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql("text")} AS h,
+           CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(_LOWERED)} END AS probe
+    FROM documents),
+rows AS (
+    SELECT doc_id, g, h, probe,
+           row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS slot
+    FROM leaves),
+{_tree_sql("rows", "t", 8)},
+langs AS (SELECT '' AS g, g AS lang, h, row_number() OVER (ORDER BY g) - 1 AS slot FROM t_top),
+{_tree_sql("langs", "r", 3)},
+low AS (SELECT doc_id, g, h AS leaf, coalesce(probe, h) AS node, '' AS proof, slot AS place
+        FROM rows),
+{_walk_sql("low", "t", 8)},
+high AS (SELECT e.* REPLACE ('' AS g, l.slot AS place), l.h AS subroot
+         FROM t_end e JOIN langs l ON l.lang = e.g),
+{_walk_sql("high", "r", 3)}
+SELECT doc_id, leaf, subroot, r_top.h AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = r_top.h AS verified
+FROM r_end, r_top
+""")
+def op12_manifest(spark, sf_dir):
+    """Manifest of the documents by language; a third of them are verified
+    with their letters lowered.  A row without an id is never tampered with."""
+    docs = table(spark, sf_dir, "documents")
+
+    def digest(text):
+        return manifest.leaf_hash([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+                                  + [text])
+
+    lowered = F.translate("text", ASCII_UPPER, ASCII_UPPER.lower())
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = docs.select("lang", "doc_id", digest(F.col("text")).alias("leaf"),
+                         F.when(tampered, digest(lowered)).alias("probe"))
+    return manifest.manifest(leaves, "lang", "doc_id", "leaf", "probe").select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        "verified")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import manifest, spelling
+from mercato.llm import manifest, spelling, urls
 from mercato.llm.queries import register
 from mercato.llm.text import ASCII_UPPER, whole
 from mercato.sources.tables import table
@@ -163,3 +163,73 @@ def op12_manifest(spark, sf_dir):
     return manifest.manifest(leaves, "lang", "doc_id", "leaf", "probe").select(
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
         "verified")
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def _level_sql(k: int) -> str:
+    """Probabilities of the last character after ``k`` characters."""
+    def blended(n, total, kinds, p):
+        return (f"CASE WHEN {total} > 0 THEN ({n} + {kinds} * {p}) / ({total} + {kinds})::DOUBLE "
+                f"ELSE {p} END")
+    below = f"JOIN p{k - 1} b ON b.gram = right(s.gram, {k})" if k else "CROSS JOIN even b"
+    return f"""
+s{k} AS (SELECT right(gram, {k + 1}) AS gram, sum(a) AS a, sum(r) AS r FROM g GROUP BY 1),
+c{k} AS (SELECT left(gram, {k}) AS context, sum(a) AS na, sum(r) AS nr,
+               count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM s{k} GROUP BY 1),
+p{k} AS (SELECT s.gram, {blended("s.a", "na", "ta", "b.pa")} AS pa,
+               {blended("s.r", "nr", "tr", "b.pr")} AS pr
+        FROM s{k} s JOIN c{k} c ON c.context = left(s.gram, {k}) {below})"""
+
+
+@register("op11_url_filter", f"""
+WITH rules(h, p, v) AS (VALUES {", ".join(str(r) for r in RULES)}),
+split AS (
+    SELECT page_id, coalesce(url, '') AS url,
+           CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END
+           AS rest FROM pages),
+parts AS (
+    SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                   'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+places AS (SELECT DISTINCT host, path FROM parts),
+ruled AS (
+    SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS said
+    FROM places JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    GROUP BY host, path),
+u AS (
+    SELECT url, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS r,
+           substr(md5(url), 1, 2) < '33' AS held_out
+    FROM parts LEFT JOIN ruled USING (host, path) GROUP BY url),
+cut AS (
+    SELECT *, substr(repeat(chr(2), 4) || url || chr(3), place, 5) AS gram
+    FROM (SELECT *, unnest(range(1, length(url) + 2))::INT AS place FROM u)),
+g AS (SELECT gram, sum(CASE WHEN held_out THEN 0 ELSE a END) AS a,
+             sum(CASE WHEN held_out THEN 0 ELSE r END) AS r FROM cut GROUP BY gram),
+even AS (SELECT 1 / 256::DOUBLE AS pa, 1 / 256::DOUBLE AS pr),
+{",".join(_level_sql(k) for k in range(urls.ORDER + 1))},
+scored AS (
+    SELECT url, held_out, a, r,
+           floor(sum(round((ln(pa) - ln(pr)) * 1000000)::BIGINT)::DOUBLE / (length(url) + 1)) AS score
+    FROM cut JOIN p4 USING (gram) GROUP BY url, held_out, a, r),
+steps AS (
+    SELECT floor(score / 1000) AS step, sum(a) AS a, sum(r) AS r
+    FROM scored WHERE held_out AND a + r > 0 GROUP BY 1),
+gains AS (
+    SELECT step, (step + coalesce(lag(step) OVER (ORDER BY step) + 1, step)) * 500 AS middle,
+           sum(a) OVER up * sum(r) OVER () - sum(r) OVER up * sum(a) OVER () AS gain,
+           least(sum(a) OVER (), sum(r) OVER ()) > 0 AS both_kinds
+    FROM steps WINDOW up AS (ORDER BY step DESC)),
+bar AS (SELECT coalesce(arg_min(middle, (-gain, step)), 0) AS bar
+        FROM gains WHERE both_kinds)
+SELECT page_id, host, path, rule,
+       coalesce(said, CASE WHEN score >= bar THEN 'allow' ELSE 'block' END) AS verdict
+FROM parts LEFT JOIN ruled USING (host, path) JOIN scored USING (url), bar
+""")
+def op11_url_filter(spark, sf_dir):
+    """Verdict on the URL of every page, by rules or by the models that the
+    rules' own verdicts teach."""
+    return urls.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select(
+        "page_id", "host", "path", "rule", "verdict")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mercato.catalog import register
 from mercato.functions.coerce import days_elapsed
 from mercato.functions.scoring import confidence, display_tier, risk_label
-from mercato.operators import churn, evaluate
+from mercato.operators import churn, evaluate, split
 from mercato.operators._util import attach_group_stats
 from mercato.sources import sinks
 from mercato.sources.tables import Tables
@@ -184,11 +184,32 @@ def q_labelled_gate(spark, sf_dir):
             .withColumn("training_rows", F.coalesce("training_rows", F.lit(0))))
 
 
-@register("stratified_split_counts")
+def split_sql(classes: str, key: str = "c_custkey", rows: str = "feat") -> str:
+    """CTEs ``cut``: the labelled rows with their part of an exact split, 20 %
+    test and 10 % validation of each class."""
+    return f"""
+  ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY {classes} ORDER BY md5({key}::VARCHAR)) AS place,
+           count(*) OVER (PARTITION BY {classes}) AS class_rows
+    FROM {rows} WHERE churned IS NOT NULL),
+  cut AS (
+    SELECT *, CASE WHEN place <= floor((class_rows * 20 + 50) / 100) THEN 'test'
+                   WHEN place <= floor((class_rows * 30 + 50) / 100) THEN 'validation'
+                   ELSE 'train' END AS split
+    FROM ranked)"""
+
+
+@register("stratified_split_counts", sql=f"""{_CUSTOMER_SQL},{split_sql("tenant_id, churned")}
+SELECT tenant_id, churned, split, count(*) AS rows,
+       sum(c_custkey)::BIGINT AS keys FROM cut GROUP BY tenant_id, churned, split""")
 def q_stratified_split_counts(spark, sf_dir):
+    """Rows of each part of an exact split by tenant and label, with the sum
+    of their keys."""
     c = customer_table(spark, sf_dir).where(F.col("churned").isNotNull())
-    return (c.withColumn("split", churn.split_column("c_custkey"))
-            .groupBy("split", "churned").agg(F.count(F.lit(1)).alias("rows")))
+    parts = split.stratified_split(c, "c_custkey", "churned", ["tenant_id"],
+                                   churn.TEST_PERCENT, churn.VALIDATION_PERCENT)
+    return parts.groupBy("tenant_id", "churned", "split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("c_custkey").alias("keys"))
 
 
 # --- evaluation on a deterministic score over documents with quality labels ---

@@ -178,22 +178,29 @@ def q_upload_types_isolated(spark, sf_dir):
 
 
 @register("insert_verdicts", sql="""
-WITH incoming AS (
-    SELECT CASE WHEN l_linenumber = 1 AND l_orderkey % 50 = 0 THEN NULL ELSE l_orderkey END AS c,
-           l_linenumber AS line FROM lineitem WHERE l_orderkey % 10 = 0),
-known AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 20 = 0),
-r AS (SELECT c, line, row_number() OVER (PARTITION BY c ORDER BY line) AS n FROM incoming)
+WITH lim AS (SELECT min(o_orderdate) + INTERVAL 365 DAY AS lim FROM orders),
+known AS (SELECT DISTINCT o_custkey FROM orders, lim WHERE o_orderdate < lim),
+incoming AS (
+    SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS c, l_orderkey, l_linenumber
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY l_orderkey, l_linenumber) AS n
+      FROM incoming)
 SELECT CASE WHEN c IS NULL THEN 'missing required field: c'
-            WHEN c IN (SELECT c_custkey FROM known) THEN 'already exists'
+            WHEN c IN (SELECT o_custkey FROM known) THEN 'already exists'
             WHEN n > 1 THEN 'duplicate key in batch' ELSE 'accepted' END AS verdict,
        count(*) AS rows FROM r GROUP BY 1""")
 def q_insert_verdicts(spark, sf_dir):
-    """Every row of an insert batch is accepted or rejected with a reason."""
+    """The customers of all line items as an insert batch into the base of
+    those who ordered in the first year: every row is accepted or rejected
+    with a reason.  Pending orders don't name their customer."""
     t = Tables(spark, sf_dir)
-    incoming = t.lineitem.where("l_orderkey % 10 = 0").select(
-        F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 50 == 0), F.lit(None))
-        .otherwise(F.col("l_orderkey")).alias("c"), F.col("l_linenumber").alias("line"))
-    known = t.customer.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("c"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    incoming = (t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+                .select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("c"),
+                        "l_orderkey", "l_linenumber"))
+    lim = o.agg((F.min("o_orderdate") + F.make_interval(days=F.lit(365))).alias("lim"))
+    known = (attach_group_stats(o, lim, []).where(F.col("o_orderdate") < F.col("lim"))
+             .select(F.col("o_custkey").alias("c")).distinct())
     accepted, rejected = sinks.new_rows_only(known, incoming, ["c"], ["c"])
     return (accepted.withColumn("verdict", F.lit("accepted")).select("verdict")
             .union(rejected.select("reason")).groupBy("verdict").agg(F.count("*").alias("rows")))

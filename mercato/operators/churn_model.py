@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.scoring import confidence, risk_label
-from mercato.operators import churn, evaluate
+from mercato.operators import churn, evaluate, split
 from mercato.operators._util import attach_group_stats
 
 # Fixed values of the original booster, mapped onto Spark's GBT:
@@ -34,7 +34,6 @@ from mercato.operators._util import attach_group_stats
 GBT_PARAMS = dict(maxIter=100, stepSize=0.05, maxDepth=5, featureSubsetStrategy="0.9",
                   subsamplingRate=0.8, seed=42, validationTol=0.001)
 DEFAULT_THRESHOLD = 0.5
-VALIDATION_PERCENT = 10
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("tenant_id", T.LongType()),
@@ -100,10 +99,10 @@ def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_i
         medians_row["median__age"] is not None else {}
     feats, levels = prepare(lab, as_of, None, medians or None)
     names = churn.feature_names(levels)
-    split = churn.split_column(key_col, seed, churn.TEST_PERCENT, VALIDATION_PERCENT)
-    data = (churn.align_features(feats, names, keep=[key_col, label_col])
-            .withColumn("split", split)
-            .withColumn("label", F.col(label_col).cast("double")))
+    data = split.stratified_split(
+        churn.align_features(feats, names, keep=[key_col, label_col])
+        .withColumn("label", F.col(label_col).cast("double")),
+        key_col, "label", (), churn.TEST_PERCENT, churn.VALIDATION_PERCENT)
     fit_rows = data.where(F.col("split") != "test")
     fit_rows = evaluate.with_class_weight(fit_rows, "label", "weight")
     fit_rows = fit_rows.withColumn("is_validation", F.col("split") == "validation")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.coerce import lenient_timestamp, parses_as
-from mercato.operators._util import attach_group_stats, keys
+from mercato.operators._util import attach_group_stats, keys, null_safe_join
 from mercato.operators.profile import column_kinds
 from mercato.operators.quantiles import column_modes
 
@@ -27,20 +27,14 @@ def fill_values(df: DataFrame, group_cols: Sequence[str] = (),
     kinds = column_kinds(df, [c for c in (cols or df.columns) if c not in g])
     num = [c for c, k in kinds.items() if k == "numeric"]
     other = [c for c, k in kinds.items() if k != "numeric"]
-    parts = []
-    if num:
-        parts.append(df.groupBy(*g).agg(*[F.avg(F.col(c).cast("double")).alias(f"fill__{c}")
-                                          for c in num]))
-    if other:
-        m = column_modes(df, other, g)
-        parts.append(m.groupBy(*g).agg(*[F.max(F.when(F.col("column") == c, F.col("top")))
-                                         .alias(f"fill__{c}") for c in other]))
-    if not parts:
-        return df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    out = parts[0]
-    for p in parts[1:]:
-        out = (out.crossJoin(p) if not g else out.join(p, on=g, how="full"))
-    return out
+    # every group has a row here, also one without any value to fill with
+    means = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), *[
+        F.avg(F.col(c).cast("double")).alias(f"fill__{c}") for c in num]).drop("__n")
+    if not other:
+        return means
+    modes = column_modes(df, other, g).groupBy(*g).agg(*[
+        F.max(F.when(F.col("column") == c, F.col("top"))).alias(f"fill__{c}") for c in other])
+    return null_safe_join(means, modes, g, "left")
 
 
 def clean_missing(df: DataFrame, group_cols: Sequence[str] = (),

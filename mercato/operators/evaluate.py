@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.scoring import (RISK_THRESHOLD_HIGH, RISK_THRESHOLD_LOW,
                                        threshold_bucket)
-from mercato.operators._util import attach_group_stats, keys, with_bucket
+from mercato.operators._util import attach_group_stats, keys, null_safe_join, with_bucket
 
 AUC_BUCKETS = 64
 
@@ -40,7 +40,7 @@ def threshold_sweep(df: DataFrame, score_col: str = "score", label_col: str = "l
     grid = (b.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
             .select(*g, "P", "N", F.explode(F.sequence(F.lit(RISK_THRESHOLD_LOW - 1),
                                                       F.lit(RISK_THRESHOLD_HIGH))).alias("bucket")))
-    full = grid.join(b, on=[*g, "bucket"], how="left").fillna(0, subset=["pos", "neg"])
+    full = null_safe_join(grid, b, [*g, "bucket"], "left", equal=["bucket"]).fillna(0, subset=["pos", "neg"])
     # <= 81 rows per group: the running sum over buckets is a tiny window
     w = (Window.partitionBy(*g).orderBy(F.col("bucket").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -109,7 +109,7 @@ def roc_auc(df: DataFrame, score_col: str = "score", label_col: str = "label",
            .withColumn("neg_off", F.coalesce(F.sum("bn").over(
                Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
                F.lit(0))).drop("bn"))
-    ranked = local.join(off, on=[*g, "b"], how="inner")
+    ranked = null_safe_join(local, off, [*g, "b"], equal=["b"])
     below = (F.col("neg_local") + F.col("neg_off")).cast("double")
     return ranked.groupBy(*g).agg(
         F.sum(F.col("pos").cast("double") * (below + F.lit(0.5) * F.col("neg").cast("double")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.coerce import finite_or_zero
-from mercato.operators._util import keys
+from mercato.operators._util import keys, null_safe_join
 from mercato.operators.quantiles import (approx_quantiles, column_modes, exact_quantiles,
                                          quantiles_wide)
 
@@ -86,7 +86,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Seque
         moments = wide.select(*g, F.inline("m"))
         qfn = exact_quantiles if exact else approx_quantiles
         q = quantiles_wide(qfn(view, num, QUARTILES, g), QUARTILES, ["p25", "p50", "p75"], g)
-        parts.append(moments.join(q, on=[*g, "column"], how="left").select(
+        parts.append(null_safe_join(moments, q, [*g, "column"], "left", equal=["column"]).select(
             *g, "column", F.col("count").cast("long").alias("count"),
             F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
             F.lit(None).cast("long").alias("freq"), "mean", "std", "min", "p25", "p50", "p75",
@@ -98,7 +98,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Seque
         counts = (df.groupBy(*g).agg(F.array(*[
             F.struct(F.lit(c).alias("column"), F.count(c).alias("count")) for c in cat])
             .alias("c")).select(*g, F.inline("c")))
-        m = counts.join(m, on=[*g, "column"], how="left")
+        m = null_safe_join(counts, m, [*g, "column"], "left", equal=["column"])
         nulls = [F.lit(None).cast("double").alias(c)
                  for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
         parts.append(m.select(*g, "column", F.col("count").cast("long").alias("count"),

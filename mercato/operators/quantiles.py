@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.operators._util import attach_group_stats, null_safe_join, with_bucket
 from mercato.operators._util import keys as _keys
-from mercato.operators._util import with_bucket
 from mercato.session import materialize
 
 RANK_BUCKETS = 64
@@ -77,7 +77,7 @@ def _bucketed(vc: DataFrame, k: list[str], buckets: int, value: str = "value") -
     cuts = vc.groupBy(*k).agg(F.percentile_approx(
         F.col(value).cast("double"), [i / buckets for i in range(1, buckets)],
         10 * buckets).alias("__cuts"))
-    joined = vc.join(cuts, on=k, how="inner") if k else vc.crossJoin(F.broadcast(cuts))
+    joined = attach_group_stats(vc, cuts, k)
     return with_bucket(joined, "__cuts", F.col(value).cast("double"), buckets - 1,
                        "bucket").drop("__cuts")
 
@@ -117,7 +117,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                  (F.lit(float(q)) * n1 - F.floor(F.lit(float(q)) * n1)).alias("frac"))
         for q in probs for side in (0, 1)]))).where(
         (F.col("off") <= F.col("rank")) & (F.col("rank") < F.col("off") + F.col("bt")))
-    ranked = (b.join(targets, on=[*k, "bucket"], how="inner")
+    ranked = (null_safe_join(b, targets, [*k, "bucket"], equal=["cid", "bucket"])
               .withColumn("cum", F.sum("cnt").over(
                   Window.partitionBy(*k, "bucket", "q", "side").orderBy("value")
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.operators._util import attach_group_stats, col_of, keys
+from mercato.operators._util import attach_group_stats, col_of, keys, null_safe_join
 
 # Raw run status -> display status (anything else is "Other"),
 # the three displayed statuses in display order, default look-back of 30 days.
@@ -106,5 +106,5 @@ def preview(df: DataFrame, n: int, order_cols: Sequence, group_cols: Sequence[st
     w = Window.partitionBy(*g).orderBy(*order)
     head = df.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= n).drop("__rk")
     total = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-    return (head.join(total, on=g, how="inner")
+    return (null_safe_join(head, total, g)
             .withColumn("more", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.operators._util import keys, ordered_index
+from mercato.operators._util import attach_group_stats, keys, ordered_index
 
 
 def _sum_value(value_col: str, value_scale: int | None):
@@ -57,6 +57,6 @@ def with_day_index(daily: DataFrame, date_col: str = "date", group_cols: Sequenc
         return out_df
     out_df = ordered_index(daily, date_col, g, out=out)
     if n_out:
-        out_df = out_df.join(daily.groupBy(*g).agg(F.count(F.lit(1)).alias(n_out)), on=g) \
-            if g else out_df.crossJoin(F.broadcast(daily.agg(F.count(F.lit(1)).alias(n_out))))
+        sizes = daily.groupBy(*g).agg(F.count(F.lit(1)).alias(n_out))
+        out_df = attach_group_stats(out_df, sizes, g)
     return out_df

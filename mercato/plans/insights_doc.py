@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators import anomaly, insights as ins, profile
-from mercato.operators._util import keys
+from mercato.operators._util import keys, null_safe_join
 
 
 @dataclass
@@ -28,7 +28,7 @@ class Insights:
 def _join_all(parts: list[DataFrame], g: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, on=g, how="left") if g else out.crossJoin(p)
+        out = null_safe_join(out, p, g, "left")
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.coerce import finite_or_zero, lenient_number_or_zero
 from mercato.operators import anomaly, clean, forecast, profile, roles, series
-from mercato.operators._util import keys
+from mercato.operators._util import keys, null_safe_join
 from mercato.session import materialize
 
 # Minimum rows for the anomaly and forecast steps.
@@ -52,12 +52,12 @@ class PreprocessResult:
             # at most days_ahead entries per upload
             fc = self.forecast.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(
                 "day_index", finite_or_zero("forecast").alias("forecast")))).alias("__fc"))
-            doc = doc.join(fc, on=g, how="left").withColumn("forecast", F.coalesce(
+            doc = null_safe_join(doc, fc, g, "left").withColumn("forecast", F.coalesce(
                 F.transform("__fc", lambda s: s["forecast"]),
                 F.array().cast("array<double>"))).drop("__fc")
         else:
             doc = doc.withColumn("forecast", F.array().cast("array<double>"))
-        doc = doc.join(summ, on=g, how="left")
+        doc = null_safe_join(doc, summ, g, "left")
         n_cols = len([c for c in self.data.columns if c not in g])
         return self._public(doc.select(*g, "record_count", F.lit(n_cols).alias("column_count"),
                                        "anomaly_count", "forecast", "summary_stats"))
@@ -94,13 +94,13 @@ def preprocess(df: DataFrame, group_cols: Sequence[str] = (), strict_roles: bool
         daily = materialize(series.daily_totals(typed, date_col, qty_col, g, grain="raw"))
         n_anom = (anomaly.flag_series_anomalies(daily, "total", g)
                   .groupBy(*g).agg(F.count(F.lit(1)).alias("__anom")))
-        counts = (counts.join(n_anom, on=g, how="left")
+        counts = (null_safe_join(counts, n_anom, g, "left")
                   .withColumn("anomaly_count", F.when(
                       F.col("record_count") >= MIN_ROWS_ANOMALY, F.coalesce("__anom", F.lit(0)))
                       .otherwise(F.lit(0)).cast("long")).drop("__anom"))
         eligible = counts.where(F.col("record_count") >= MIN_ROWS_FORECAST).select(*g)
         fc = forecast.forecast_linear(
-            None, group_cols=g, daily=daily.join(eligible, on=g, how="left_semi"))
+            None, group_cols=g, daily=null_safe_join(daily, eligible, g, "left_semi"))
     else:
         counts = counts.withColumn("anomaly_count", F.lit(0).cast("long"))
     return PreprocessResult(data, summary, date_col, qty_col, counts, fc, g)

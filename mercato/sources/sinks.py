@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.operators._util import keys
+from mercato.operators._util import keys, null_safe_join
 
 
 def _writer(df: DataFrame, partition_cols: Sequence[str]):
@@ -74,14 +74,17 @@ def new_rows_only(existing: DataFrame, incoming: DataFrame, key_cols: Sequence[s
         valid = valid.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in valid.columns
                                    else F.lit(v) for c, v in defaults.items()})
     known = existing.select(*k)
-    dup = valid.join(known, on=k, how="left_semi").withColumn(
+    dup = null_safe_join(valid, known, k, "left_semi").withColumn(
         "reason", F.lit("already exists"))
-    fresh = valid.join(known, on=k, how="left_anti")
-    order = list(order_cols or [c for c in fresh.columns if c not in k]) or k
-    ranked = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(*k).orderBy(*order)))
-    again = (ranked.where("__n > 1").drop("__n")
-             .withColumn("reason", F.lit("duplicate key in batch")))
-    return (ranked.where("__n = 1").drop("__n"),
+    fresh = null_safe_join(valid, known, k, "left_anti")
+    # aggregates on both sides: a key that fills the batch is no one task's
+    order = [c for c in order_cols or () if c not in k]
+    order += [c for c in fresh.columns if c not in (*k, *order)]
+    accepted = fresh.distinct() if not order else (
+        fresh.groupBy(*k).agg(F.min(F.struct(*order)).alias("__first"))
+        .select(*[F.col(c) if c in k else F.col("__first")[c].alias(c) for c in fresh.columns]))
+    again = fresh.exceptAll(accepted).withColumn("reason", F.lit("duplicate key in batch"))
+    return (accepted,
             rejected.unionByName(dup, allowMissingColumns=True)
             .unionByName(again, allowMissingColumns=True))
 

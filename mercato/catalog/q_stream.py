@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mercato.catalog import register
 from mercato.session import scratch_path
 from mercato.operators._util import attach_group_stats
-from mercato.sources import sinks, uploads
+from mercato.sources import records, sinks, uploads
 from mercato.sources.tables import Tables
 from mercato.streaming import ingest
 
@@ -109,11 +109,15 @@ def q_stream_upload_insights(spark, sf_dir):
                     F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row_id")))
     src = scratch_path(spark, "upload-src")
     rows.write.partitionBy("upload").option("header", True).csv(src)
-    stream = (ingest.upload_stream(spark, src, _UPLOAD_SCHEMA + ", upload string", fmt="csv")
-              .withColumn("upload_id", F.col("upload")).drop("upload"))
+    stream = ingest.upload_stream(spark, src)
+
+    def bind(lines):
+        return records.bound(records.cells(lines), _UPLOAD_SCHEMA).withColumn(
+            "upload_id", F.regexp_extract("upload_file", "/upload=([^/]+)/", 1))
+
     out_dir, ckpt = scratch_path(spark, "upload-out"), scratch_path(spark, "upload-ckpt")
     q = ingest.run_ingest(stream, out_dir, ckpt,
-                          lambda b: ingest.upload_insights(b, "upload_id", "row_id"))
+                          lambda b: ingest.upload_insights(b, "upload_id", "row_id"), bind=bind)
     q.awaitTermination()
     res = spark.read.parquet(os.path.join(out_dir, "analyses"))
     return res.select(F.col("upload_id").alias("upload"), "rows", "churn_at_risk_count",
@@ -150,6 +154,47 @@ def q_upload_mixed_headers(spark, sf_dir):
         F.count("extra").alias("extras"))
 
 
+@register("stream_mixed_headers", sql="""
+SELECT o_orderstatus AS part, count(*) AS rows,
+       coalesce(CAST(SUM(CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW'
+                         THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS total_price,
+       sum(o_orderkey)::BIGINT AS keys,
+       count(DISTINCT 'say "' || o_orderpriority || '"' || chr(10) || 'twice, NA') AS notes,
+       count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS extras
+FROM orders GROUP BY o_orderstatus""")
+def q_stream_mixed_headers(spark, sf_dir):
+    """Orders as a stream of CSV uploads: a header for each status, with
+    other column orders, an extra column, quotes, line breaks and
+    missing-value tokens, each bound by its own file's header."""
+    note = F.concat(F.lit('say "'), "o_orderpriority", F.lit('"\ntwice, NA'))
+    o = Tables(spark, sf_dir).orders.select(
+        "o_orderstatus", "o_orderkey", note.alias("note"), F.lit(1).alias("extra"),
+        F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"), "NA")
+        .otherwise(F.col("o_totalprice").cast("string")).alias("price"))
+    src = scratch_path(spark, "mixed-stream")
+    shapes = {"F": ["o_orderkey", "note", "price"], "O": ["price", "extra", "note", "o_orderkey"],
+              "P": ["note", "price", "o_orderkey"]}
+    for status, names in shapes.items():
+        o.where(F.col("o_orderstatus") == status).select(*names).write.option(
+            "header", True).option("escape", '"').csv(f"{src}/{status}")
+    stream = ingest.upload_stream(spark, src + "/*")
+
+    def summary(batch):
+        part = F.regexp_extract("upload_file", "/([FOP])/[^/]*$", 1)
+        return batch.groupBy(part.alias("upload_id")).agg(
+            F.count("*").alias("rows"),
+            F.coalesce(F.sum(F.col("price").cast("decimal(18,2)")).cast("double"), F.lit(0.0))
+            .alias("total_price"), F.sum("o_orderkey").alias("keys"),
+            F.countDistinct("note").alias("notes"), F.count("extra").alias("extras"))
+
+    out_dir, ckpt = scratch_path(spark, "mixed-out"), scratch_path(spark, "mixed-ckpt")
+    schema = "o_orderkey long, note string, price string, extra int"
+    ingest.run_ingest(stream, out_dir, ckpt, summary, bind=ingest.by_header(schema)
+                      ).awaitTermination()
+    return (spark.read.parquet(os.path.join(out_dir, "analyses")).drop("batch_id")
+            .withColumnRenamed("upload_id", "part"))
+
+
 @register("upload_types_isolated", sql="""
 WITH u AS (SELECT o_orderkey % 3 AS upload_id, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey =
                   (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 3 = 1)

@@ -1,8 +1,7 @@
 """CSV uploads: many files read as one table with an upload id per file.
 
-Files are read as strings (so one bad value never fails or silently
-mistypes a whole file), the pandas-style missing-value tokens become NULL,
-and then each column is typed all-or-nothing by one aggregate job: LONG if
+Files are read as text (so one bad value never fails or silently mistypes a
+whole file), the pandas-style missing-value tokens become NULL, and then each column is typed all-or-nothing by one aggregate job: LONG if
 every non-null value is an integer, DOUBLE if every one is a number,
 BOOLEAN if every one is true/false, otherwise it stays a string.  Dates
 stay strings here (``clean.parse_dates`` handles them), like the original
@@ -12,7 +11,6 @@ reader.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,59 +18,26 @@ from pyspark.sql import types as T
 
 from mercato.functions.coerce import parses_as
 from mercato.operators._util import salted_join
-
-# Strings read as missing (the pandas CSV reader's defaults).
-NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-# Only files ending in .csv (any case) are uploads.
-CSV_GLOB = "*.[cC][sS][vV]"
-
-
-def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(header, files): the files of each distinct first line, from one scan.
-    The first line of a file is the first row of its first block, read in
-    order by one task."""
-    lines = (spark.read.option("pathGlobFilter", CSV_GLOB).text(paths)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("at")))
-    return (lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-            .groupBy("header").agg(F.collect_list("file").alias("files")))
-
+from mercato.sources import records
+from mercato.sources.records import CSV_GLOB
 
 def read_uploads(spark: SparkSession, paths: str | Sequence[str], infer_types: bool = True,
-                 schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+                 schema: T.StructType | str | None = None) -> DataFrame:
     """All CSV files under ``paths`` as one DataFrame with ``upload_file``
     (the file path) and ``upload_id`` (a stable hash of it).
 
-    Columns are bound by the names in each file's own header: files that
-    share a header are read together and the groups united by name, a column
-    that a file lacks being null there.  Quotes are doubled inside quoted
-    fields, which may hold line breaks (``multi_line``; without it, large
-    files are split among tasks)."""
-    def reader():
-        return (spark.read.option("header", True).option("pathGlobFilter", CSV_GLOB)
-                .option("mode", "PERMISSIVE").option("multiLine", multi_line)
-                .option("quote", '"').option("escape", '"'))
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.select("*", F.col("_metadata.file_path").alias("upload_file"))
-
+    Columns are bound by the names in each file's own header (see
+    :mod:`mercato.sources.records`): one plan for any number of headers, a
+    column that a file lacks being null there.  ``schema`` picks and types
+    columns by name; without it every name of any header is a column."""
+    rows = records.records(records.file_lines(spark, paths))
+    named = records.headers(rows)
+    cells = records.with_cells(rows, named)
     if schema is not None:
-        df = named(reader().schema(schema).csv(paths))
-    else:
-        groups = file_headers(spark, paths).orderBy("header").collect()
-        parts = [named(reader().option("inferSchema", False).csv(g.files)) for g in groups]
-        df = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts
-              else named(reader().option("inferSchema", False).csv(paths)))
-    df = df.withColumn("upload_id", F.xxhash64("upload_file"))
-    data_cols = [c for c in df.columns if c not in ("upload_file", "upload_id")]
-    df = df.select(*data_cols, "upload_file", "upload_id")
-    if schema is None:
-        df = normalize_missing(df, data_cols)
-        if infer_types:
-            df = infer_column_types(df, data_cols)
-    return df
+        return records.bound(cells, schema)
+    names = records.column_names(named)
+    df = cells.select(*[F.col("cells")[c].alias(c) for c in names], "upload_file", "upload_id")
+    return infer_column_types(df, names) if infer_types else df
 
 
 def upload_types(df: DataFrame, cols: Sequence[str], upload_col: str = "upload_id") -> DataFrame:
@@ -105,12 +70,6 @@ def with_upload_numbers(df: DataFrame, cols: Sequence[str], upload_col: str = "u
                             for c in cols}).drop("__numeric")
 
 
-def normalize_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    toks = F.array(*[F.lit(t) for t in NA_TOKENS])
-    return df.withColumns({c: F.when(F.array_contains(toks, F.col(c)), F.lit(None))
-                           .otherwise(F.col(c)) for c in cols})
-
-
 def infer_column_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Type string columns all-or-nothing (one aggregate job, one row back)."""
     strs = [f.name for f in df.schema.fields
@@ -119,23 +78,23 @@ def infer_column_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return df
     bools = F.array(F.lit("true"), F.lit("false"))
     aggs = []
-    for c in strs:
-        x = F.trim(F.col(c))
-        aggs += [F.bool_and(x.isNull() | parses_as(x, "long")).alias(f"l__{c}"),
-                 F.bool_and(x.isNull() | parses_as(x, "double")).alias(f"d__{c}"),
-                 F.bool_and(x.isNull() | F.array_contains(bools, F.lower(x))).alias(f"b__{c}"),
-                 F.count(x).alias(f"n__{c}")]
+    for i, c in enumerate(strs):
+        x = F.trim(df[f"`{c}`"])
+        aggs += [F.bool_and(x.isNull() | parses_as(x, "long")).alias(f"l__{i}"),
+                 F.bool_and(x.isNull() | parses_as(x, "double")).alias(f"d__{i}"),
+                 F.bool_and(x.isNull() | F.array_contains(bools, F.lower(x))).alias(f"b__{i}"),
+                 F.count(x).alias(f"n__{i}")]
     row = df.agg(*aggs).first()
     conv = {}
-    for c in strs:
-        if not row[f"n__{c}"]:
+    for i, c in enumerate(strs):
+        if not row[f"n__{i}"]:
             continue  # all missing: keep as string
-        x = F.trim(F.col(c))
-        if row[f"l__{c}"]:
+        x = F.trim(df[f"`{c}`"])
+        if row[f"l__{i}"]:
             conv[c] = x.try_cast("long")
-        elif row[f"d__{c}"]:
+        elif row[f"d__{i}"]:
             conv[c] = x.try_cast("double")
-        elif row[f"b__{c}"]:
+        elif row[f"b__{i}"]:
             conv[c] = F.lower(x) == F.lit("true")
     return df.withColumns(conv) if conv else df
 

@@ -17,20 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.sources import records
 from mercato.sources.sinks import replace_partitions
-from mercato.sources.uploads import CSV_GLOB
 
 
-def upload_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str,
+def upload_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str | None = None,
                   fmt: str = "csv", glob: str | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of new files under ``source_dir`` with
-    ``upload_file`` / ``upload_id`` per row (``schema``: StructType or DDL;
-    partition folders such as ``upload=...`` become columns)."""
-    r = spark.readStream.schema(schema).format(fmt)
+    """Streaming DataFrame of new files under ``source_dir``.
+
+    CSV files come as text lines; :func:`run_ingest` binds them by each
+    file's own header (``bind``).  Other formats come as rows of ``schema``
+    (StructType or DDL; partition folders such as ``upload=...`` become
+    columns) with ``upload_file`` / ``upload_id``."""
     if fmt == "csv":
-        r = r.option("header", True)
-    r = r.option("pathGlobFilter", glob or (CSV_GLOB if fmt == "csv" else "*"))
+        return records.line_stream(spark, source_dir, max_files_per_trigger)
+    r = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob or "*")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(source_dir)
@@ -38,6 +40,11 @@ def upload_stream(spark: SparkSession, source_dir: str, schema: T.StructType | s
             .withColumn("upload_id", F.xxhash64("upload_file")))
 
 
+def by_header(schema: T.StructType | str) -> Callable[[DataFrame], DataFrame]:
+    """The ``bind`` of CSV lines to the columns of ``schema``, by name."""
+    return lambda lines: records.bound(records.cells(lines), schema)
+
+
 def run_status_rows(batch: DataFrame, batch_id: int, seq: int, status, message) -> DataFrame:
     """One run row per upload of ``batch``.  ``seq`` orders the rows of an
     upload within a batch; ``status`` and ``message`` are columns over
@@ -62,9 +69,11 @@ def failing_uploads(batch: DataFrame, analyse: Callable[[DataFrame], DataFrame])
     return reasons
 
 
-def make_batch_handler(out_dir: str, analyse: Callable[[DataFrame], DataFrame]):
-    """foreachBatch handler: ``analyse`` turns the batch into one row per
-    upload, written to ``out_dir``/analyses by batch id.
+def make_batch_handler(out_dir: str, analyse: Callable[[DataFrame], DataFrame],
+                       bind: Callable[[DataFrame], DataFrame] | None = None):
+    """foreachBatch handler: ``analyse`` turns the batch, as ``bind`` has
+    read it, into one row per upload, written to ``out_dir``/analyses by
+    batch id.
 
     ``out_dir``/pipeline_runs gets a ``started`` row per upload before the
     analysis (seq 0) and a ``completed`` or ``failed`` row after it (seq 1),
@@ -75,7 +84,7 @@ def make_batch_handler(out_dir: str, analyse: Callable[[DataFrame], DataFrame]):
         # the batch is read by the run rows and by the analysis: keep it for
         # the duration of the handler (bounded by maxFilesPerTrigger; a lost
         # block is recomputed from the batch's files)
-        batch = batch.persist()
+        batch = (bind(batch) if bind else batch).persist()
         runs = os.path.join(out_dir, "pipeline_runs")
 
         def write(rows: DataFrame) -> None:
@@ -114,11 +123,12 @@ def make_batch_handler(out_dir: str, analyse: Callable[[DataFrame], DataFrame]):
 
 def run_ingest(stream: DataFrame, out_dir: str, checkpoint: str,
                analyse: Callable[[DataFrame], DataFrame], available_now: bool = True,
-               processing_time: str = "1 hour"):
-    """Start the ingest query.  ``available_now`` processes everything that
+               processing_time: str = "1 hour",
+               bind: Callable[[DataFrame], DataFrame] | None = None):
+    """Start the ingest query; a CSV stream needs its ``bind``.  ``available_now`` processes everything that
     has arrived and stops (call ``awaitTermination``); otherwise it polls
     every ``processing_time``."""
-    w = (stream.writeStream.foreachBatch(make_batch_handler(out_dir, analyse))
+    w = (stream.writeStream.foreachBatch(make_batch_handler(out_dir, analyse, bind))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()

@@ -78,7 +78,8 @@ def test_stream_sees_each_file_once(spark, tmp_path):
                                               F.sum("quantity").alias("qty"))
 
     def run():
-        q = ingest.run_ingest(ingest.upload_stream(spark, str(src), st), out, ckpt, analyse)
+        q = ingest.run_ingest(ingest.upload_stream(spark, str(src)), out, ckpt, analyse,
+                              bind=ingest.by_header(st))
         q.awaitTermination()
 
     (src / "a.csv").write_text("sku,quantity,price,customer_id,order_date\nA,1,1.0,C,2024-01-01\n")
@@ -103,8 +104,9 @@ def test_stream_upload_insights_per_upload(spark, tmp_path):
     (src / "u1.csv").write_text("\n".join(lines) + "\n")
     (src / "u2.csv").write_text("sku,quantity,price,customer_id,order_date\nZ,5,1.0,C9,2024-02-01\n")
     schema = "sku string, quantity double, price double, customer_id string, order_date string"
-    q = ingest.run_ingest(ingest.upload_stream(spark, str(src), schema), str(tmp_path / "o"),
-                          str(tmp_path / "c"), ingest.upload_insights)
+    q = ingest.run_ingest(ingest.upload_stream(spark, str(src)), str(tmp_path / "o"),
+                          str(tmp_path / "c"), ingest.upload_insights,
+                          bind=ingest.by_header(schema))
     q.awaitTermination()
     res = {r["upload_id"]: r for r in spark.read.parquet(str(tmp_path / "o" / "analyses")).collect()}
     by_rows = sorted((r["rows"], dict(r["top_skus"])) for r in res.values())

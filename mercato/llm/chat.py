@@ -18,7 +18,8 @@ order, no white space and no null fields.
 
 Repeated rows are one message.  Null turns come first in their level; null
 identifiers link nothing; null conversations are one of their own; null
-texts leave out the content.
+texts leave out the content.  A call keeps its text as content next to the
+call; arguments that don't parse as JSON stay as the text that they are.
 """
 
 from __future__ import annotations
@@ -77,11 +78,11 @@ def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple]]) -> Data
     every message: conv_id, turn, role, text, call_id, tool, arguments,
     after, result_for."""
     body = ["conv_id", "turn", "role", "text", "call_id", "tool", "arguments", "after", "result_for"]
-    parsed = F.try_parse_json("arguments")
+    parsed = F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant"))
     call = F.when(F.col("call_id").isNotNull(), F.array(F.struct(
         parsed.alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"))))
     rows = messages.select(*body).distinct().withColumn("json", F.to_json(F.struct(
-        F.when(F.col("call_id").isNull(), F.col("text")).alias("content"), "role",
+        F.col("text").alias("content"), "role",
         F.col("result_for").alias("tool_call_id"), call.alias("tool_calls"))))
     rows = materialize(rows.withColumn("node", F.md5(F.to_json(F.struct(*body)).cast("binary"))))
     first = F.min(F.struct("turn", "node"))

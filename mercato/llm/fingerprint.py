@@ -117,8 +117,11 @@ def with_next(df: DataFrame, order: str, columns: dict[str, str], tie: str,
         return df.withColumns({new: F.lit(None).cast(dict(df.dtypes)[old])
                                for old, new in columns.items()})
     buckets = max(1, min(most_buckets, -(-n // rows_per_bucket)))
-    key = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
-    keyed = df.withColumn("__order", key)
+    # buckets are cut by the value as a double, which never falls as the value
+    # grows; the order inside them is that of the value itself, null first
+    rough = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+    keyed = df.withColumns({"__rough": rough, "__order": F.struct(
+        F.col(order).isNotNull().alias("there"), F.col(order).alias("value"))})
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
         cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10 * buckets)
@@ -130,16 +133,21 @@ def with_next(df: DataFrame, order: str, columns: dict[str, str], tie: str,
                             if len(cuts) <= 64 else
                             keyed.crossJoin(F.broadcast(df.sparkSession.createDataFrame(
                                 [(cuts,)], "__cuts array<double>"))),
-                            "__cuts", F.col("__order"), len(cuts), "__bucket").drop("__cuts")
+                            "__cuts", F.col("__rough"), len(cuts), "__bucket").drop("__cuts")
     else:
         keyed = keyed.withColumn("__bucket", F.lit(0))
+    keyed = keyed.drop("__rough")
     firsts = [r for r in keyed.groupBy("__bucket").agg(F.min("__order").alias("first"))
               .orderBy("__bucket").collect()]           # one small row for each bucket
     goes_to = [(firsts[(i + 1) % len(firsts)]["first"], r["__bucket"])
                for i, r in enumerate(firsts)]
-    heads = df.sparkSession.createDataFrame(goes_to, "__order double, __to int")
+    kind = dict(df.dtypes)[order]
+    heads = df.sparkSession.createDataFrame(
+        goes_to, f"__order struct<there:boolean,value:{kind}>, __to int")
     first_of = Window.partitionBy("__bucket").orderBy(F.col(tie).asc_nulls_first())
-    tail = (keyed.join(F.broadcast(heads), "__order")
+    heads = heads.withColumnRenamed("__order", "__first")
+    tail = (keyed.join(F.broadcast(heads), keyed["__order"].eqNullSafe(heads["__first"]))
+            .drop("__first")
             .withColumn("__at", F.row_number().over(first_of)).where("__at = 1")
             .withColumn("__bucket", F.col("__to")).drop("__to", "__at")
             .withColumn("__extra", F.lit(1)))

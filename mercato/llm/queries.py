@@ -310,8 +310,10 @@ def op7_chat(spark, sf_dir):
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"),
                         (F.col("turn") - back).cast("string"))
 
+    # a user's text is the prompt of its call
+    content = F.when(~F.coalesce(user, F.lit(False)), F.col("text"))
     return chat.formatted(t.select(
-        "conv_id", "turn", "role", "text", F.when(user, turn_id(0)).alias("call_id"),
+        "conv_id", "turn", "role", content.alias("text"), F.when(user, turn_id(0)).alias("call_id"),
         F.when(user, F.lit("reply")).alias("tool"),
         F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).alias("arguments"),
         F.when(user, turn_id(2)).alias("after"),

@@ -9,7 +9,8 @@ are; the last adds the token ids.
 Rows without a doc_id can't be told apart by it: the scoring stages judge
 them like any other, near-dedup keeps them, and decontamination drops them
 only if some document without an id holds a benchmark item.  Repeated rows
-(same id, same text) are one document: near-dedup keeps one of them.
+(same id, same text) are one document: near-dedup keeps one of them; rows that
+share only their id are documents of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm import bpe, decontaminate, neardup, quality, toxicity
 from mercato.llm.queries import rank_codec
-from mercato.llm.text import free_name
+from mercato.llm.text import free_name, written
 from mercato.session import scratch_path
 from mercato.sources.tables import table
 
@@ -39,19 +40,30 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates (shingles
-    of five words, similarity 0.8); of rows that share an id, one."""
-    found = neardup.near_duplicates(docs)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    # only ids that occur more than once need a choice among their rows
-    often = (docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-             .select("doc_id"))
-    once = kept.join(often, "doc_id", "left_anti").select(docs.columns)
-    chosen = (kept.join(often, "doc_id", "left_semi").groupBy("doc_id")
-              .agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-              .select("doc_id", "row.*").select(docs.columns))
-    return once.union(chosen)
+    """One document of each group of near-duplicates (shingles of five words,
+    similarity 0.8): that of the smallest id.  Rows that share an id and a
+    text are one document; rows that share an id but not the text are
+    documents of their own, which stand behind those whose id is theirs alone
+    (before them where ids reach 2^61 and leave no room above)."""
+    key = free_name(docs, "__key")
+    often = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    often = written(often.where("rows > 1").select("doc_id"))
+    if often.isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id"))
+    else:
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        again = (docs.join(often, "doc_id", "left_semi").groupBy("doc_id", "text")
+                 .agg(F.min(F.struct(F.lit(0), *rest)).alias("row"))
+                 .select("doc_id", "text", *[F.col("row")[c].alias(c) for c in rest]))
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        number = F.monotonically_increasing_id()
+        own = number + (high + 1) if high < 1 << 61 else F.lit(low - 1) - number
+        again = written(again.withColumn(key, own))
+        once = docs.join(often, "doc_id", "left_anti").withColumn(key, F.col("doc_id"))
+        keyed = once.unionByName(again)
+    found = neardup.near_duplicates(keyed, doc_id=key)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(dropped, key, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,19 +162,16 @@ def score_churn(trained: TrainedChurnModel, customers: DataFrame, as_of,
 
 def register_model(spark: SparkSession, trained: TrainedChurnModel, store_dir: str,
                    tenant_id: int, name: str = "churn_model") -> dict:
-    """Save the pipeline under a versioned path and append a registry row.
-    Versions grow per tenant; the active model is the latest version."""
+    """Save the pipeline under a path of its own and append a registry row.
+
+    Versions are not handed out but read from the log (:func:`registry`), so
+    trainings that run at once can neither take the same version nor
+    overwrite each other's model.  The active model is the latest version."""
     reg_path = os.path.join(store_dir, "registry")
-    version = 1
-    if _exists(spark, reg_path):
-        last = (spark.read.schema(REGISTRY_SCHEMA).parquet(reg_path)
-                .where((F.col("tenant_id") == tenant_id) & (F.col("name") == name))
-                .agg(F.max("version").alias("v")).first())
-        version = (last["v"] or 0) + 1
-    path = os.path.join(store_dir, f"tenant={tenant_id}", name, f"v{version}")
-    trained.model.write().overwrite().save(path)
+    path = os.path.join(store_dir, f"tenant={tenant_id}", name, uuid.uuid4().hex)
+    trained.model.write().save(path)
     m = trained.metrics
-    row = (int(tenant_id), name, int(version), "spark-gbt", path, list(trained.features),
+    row = (int(tenant_id), name, None, "spark-gbt", path, list(trained.features),
            {k: float(v) for k, v in trained.feature_importance.items()}, float(trained.threshold),
            m.get("accuracy"), m.get("precision"), m.get("recall"), m.get("f1_score"), m.get("auc"),
            int(trained.training_rows), int(trained.labelled_rows), int(trained.tenant_rows),
@@ -181,11 +179,16 @@ def register_model(spark: SparkSession, trained: TrainedChurnModel, store_dir: s
            {k: float(v) for k, v in trained.medians.items()},
            _dt.datetime.now(_dt.timezone.utc))
     spark.createDataFrame([row], REGISTRY_SCHEMA).write.mode("append").parquet(reg_path)
-    return {"tenant_id": tenant_id, "version": version, "model_path": path}
+    own = registry(spark, store_dir).where(F.col("model_path") == path).first()
+    return {"tenant_id": tenant_id, "version": own["version"], "model_path": path}
 
 
 def registry(spark: SparkSession, store_dir: str) -> DataFrame:
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(os.path.join(store_dir, "registry"))
+    """The log with each row's ``version``: its place among the rows of its
+    tenant and name, by time and then by path."""
+    log = spark.read.schema(REGISTRY_SCHEMA).parquet(os.path.join(store_dir, "registry"))
+    w = Window.partitionBy("tenant_id", "name").orderBy("trained_at", "model_path")
+    return log.withColumn("version", F.row_number().over(w).cast("long"))
 
 
 def active_models(reg: DataFrame) -> DataFrame:
@@ -216,20 +219,6 @@ def with_tenant(df: DataFrame, tenant_id: int) -> DataFrame:
         [(int(tenant_id),)], "tenant_id long"), [])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Does the registry table exist yet (any Hadoop file system)?"""
-    try:
-        sc = spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
-    except Exception:  # no JVM gateway (Spark Connect): probe by reading
-        try:
-            spark.read.format("parquet").load(path).limit(0).collect()
-            return True
-        except Exception:
-            return False
-
-
 def train_for_tenant(spark: SparkSession, customers: DataFrame, tenant_id: int, as_of,
                      store_dir: str, tenant_col: str = "tenant_id", label_col: str = "churned",
                      **kw) -> dict:

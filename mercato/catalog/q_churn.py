@@ -135,7 +135,7 @@ SELECT c_custkey, {_onehot_sql("gender", REGIONS)}, {_onehot_sql("segment", SEGM
 FROM feat""")
 def q_customer_features_onehot(spark, sf_dir):
     f = customer_features(spark, sf_dir)
-    levels = churn.category_levels(f, ["gender", "segment"])
+    levels = {"gender": REGIONS, "segment": SEGMENTS}
     return churn.one_hot(f, levels).select(
         "c_custkey", *[f"`{c}_{v}`" for c, vals in levels.items() for v in vals])
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.session import materialize
+
 
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -102,28 +104,47 @@ def with_bucket(df: DataFrame, cuts: str, value, n_cuts: int, out: str) -> DataF
     return df.withColumnRenamed(cur, out)
 
 
-def with_monotone_bucket(df: DataFrame, order_col: str, group_cols: Sequence[str],
-                         buckets: int = 64, out: str = "__coarse") -> DataFrame:
-    """Add a coarse bucket that never decreases as ``order_col`` grows:
-    the year of a date, the day of a timestamp, a 2-character prefix of a
-    string, or for numbers the
-    position among approximate-quantile cut points of the group (so the
-    buckets are balanced whatever the value distribution)."""
+ROWS_PER_RANGE = 1_000_000
+
+
+def range_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
+                out: str = "idx", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """0-based position of each row in the order of ``order_cols`` (unique
+    within a group) inside its group, for any type of order.
+
+    The measured number of rows decides how many ranges the table is cut
+    into; Spark samples where they end.  A task numbers one range, and the
+    rows of the ranges before it, counted for each group, are its offset.  So
+    no task sorts a whole group, whatever the values share."""
     g = keys(group_cols)
+    rows = materialize(df)
+    ranges = -(-rows.count() // rows_per_range)
+    if ranges <= 1:
+        w = Window.partitionBy(*g).orderBy(*order_cols)
+        return rows.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    # written once: the ranges must not move between the two reads
+    rows = materialize(rows.repartitionByRange(ranges, *g, *order_cols)
+                       .withColumn("__range", F.spark_partition_id()))
+    sizes = rows.groupBy(*g, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy(*g).orderBy("__range")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("__ahead", F.coalesce(ahead, F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*g, "__range").orderBy(*order_cols)) - 1
+    return (null_safe_join(rows.withColumn("__inside", inside), sizes, [*g, "__range"],
+                           equal=["__range"])
+            .withColumn(out, (F.col("__ahead") + F.col("__inside")).cast("long"))
+            .drop("__range", "__inside", "__ahead"))
+
+
+def with_calendar_bucket(df: DataFrame, order_col: str, out: str = "__coarse") -> DataFrame:
+    """Add a coarse bucket that never decreases as ``order_col`` grows: the
+    year of a date, the day of a timestamp."""
     t = dict(df.dtypes)[order_col]
     if t == "date":
         return df.withColumn(out, F.year(order_col))    # <= 366 distinct days a year
     if t.startswith("timestamp"):
         return df.withColumn(out, F.to_date(order_col))  # one bucket per calendar day
-    if t == "string":
-        return df.withColumn(out, F.substring(order_col, 1, 2))
-    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = df.groupBy(*g).agg(F.percentile_approx(F.col(order_col).cast("double"), probs,
-                                                      10 * buckets).alias("__cuts"))
-        return with_bucket(attach_group_stats(df, cuts, g), "__cuts",
-                           F.col(order_col).cast("double"), buckets - 1, out).drop("__cuts")
-    return df.withColumn(out, F.lit(0))
+    raise TypeError(f"no calendar bucket for {t}")
 
 
 def ordered_index(df: DataFrame, order_col: str, group_cols: Sequence[str],
@@ -135,13 +156,16 @@ def ordered_index(df: DataFrame, order_col: str, group_cols: Sequence[str],
     index is computed in two levels so that no single task has to number a
     whole group: rows are numbered by a window partitioned on
     ``group_cols + coarse`` (``coarse`` must never decrease as ``order_col``
-    grows, such as the year of a date; derived from the column type when not
-    given), and each coarse bucket gets an offset from a running count over
+    grows, such as the year of a date; that of dates and timestamps by
+    default, all else goes by :func:`range_index`), and each coarse bucket gets an offset from a running count over
     the per-bucket table, which has one row per group x bucket.
     """
     g = keys(group_cols)
+    kind = dict(df.dtypes)[order_col]
+    if coarse is None and kind != "date" and not kind.startswith("timestamp"):
+        return range_index(df, [order_col, *tie_cols], g, out)
     if coarse is None:
-        tmp = with_monotone_bucket(df, order_col, g)
+        tmp = with_calendar_bucket(df, order_col)
     else:
         tmp = df.withColumn("__coarse", coarse)
     local = tmp.withColumn(

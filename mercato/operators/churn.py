@@ -72,29 +72,10 @@ def median_table(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
                                .alias(f"median__{c}") for c in cols])
 
 
-MAX_LEVELS = 1000
-
-
-def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS
-                    ) -> dict[str, list[str]]:
-    """Distinct values of low-cardinality categorical columns, sorted (the
-    encoding learnt at fit time).  At most ``max_levels + 1`` distinct values
-    per column ever reach the driver; a column with more levels is refused
-    (use ``StringIndexer`` + ``OneHotEncoder`` for high-cardinality keys)."""
-    out = {}
-    for c in cols:
-        vals = [r[0] for r in df.select(F.col(c).cast("string").alias(c))
-                .where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()]
-        if len(vals) > max_levels:
-            raise ValueError(f"{c!r} has more than {max_levels} levels; one-hot columns are "
-                             "meant for low-cardinality categories")
-        out[c] = sorted(vals)
-    return out
-
-
 def one_hot(df: DataFrame, levels: dict[str, list[str]], drop_source: bool = True) -> DataFrame:
-    """``<col>_<level>`` 0/1 columns for the levels fixed at fit time; a value
-    not seen at fit time gets all zeros."""
+    """``<col>_<level>`` 0/1 columns for levels that the caller names; a value
+    that is none of them gets all zeros.  (For levels that the data decide,
+    see :mod:`mercato.operators.encode`.)"""
     out = df
     for c, vals in levels.items():
         out = out.withColumns({f"{c}_{v}": (F.col(c).cast("string") == F.lit(v)).cast("int")
@@ -106,11 +87,8 @@ def one_hot(df: DataFrame, levels: dict[str, list[str]], drop_source: bool = Tru
     return out
 
 
-def feature_names(levels: dict[str, list[str]],
-                  numeric: Sequence[str] = ("age", "subscription_length", "days_since_last_login",
-                                            "total_orders", "total_spent", "avg_order_value")
-                  ) -> list[str]:
-    return list(numeric) + [f"{c}_{v}" for c, vals in levels.items() for v in vals]
+NUMERIC_FEATURES = ("age", "subscription_length", "days_since_last_login", "total_orders",
+                    "total_spent", "avg_order_value")
 
 
 def align_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

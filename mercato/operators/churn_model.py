@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.scoring import confidence, risk_label
-from mercato.operators import churn, evaluate, split
+from mercato.operators import churn, encode, evaluate, split
 from mercato.operators._util import attach_group_stats
+from mercato.session import materialize
 
 # Fixed values of the original booster, mapped onto Spark's GBT:
 # 100 rounds, learning rate 0.05, 90 % of features and 80 % of rows per
@@ -53,7 +54,7 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("training_rows", T.LongType()),
     T.StructField("labelled_rows", T.LongType()),
     T.StructField("tenant_rows", T.LongType()),
-    T.StructField("category_levels", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+    T.StructField("level_counts", T.MapType(T.StringType(), T.LongType())),
     T.StructField("medians", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("trained_at", T.TimestampType()),
 ])
@@ -66,7 +67,8 @@ class TrainedChurnModel:
     threshold: float
     metrics: dict
     feature_importance: dict[str, float]
-    levels: dict[str, list[str]]
+    levels: DataFrame             # level table of the categorical columns
+    sizes: dict[str, int]         # how many levels each of them has
     medians: dict[str, float]
     training_rows: int = 0
     labelled_rows: int = 0
@@ -74,19 +76,27 @@ class TrainedChurnModel:
     extra: dict = field(default_factory=dict)
 
 
-def prepare(df: DataFrame, as_of, levels: dict[str, list[str]] | None = None,
-            medians: dict[str, float] | None = None,
-            categorical: Sequence[str] = ("gender", "segment")):
-    """Feature engineering shared by training and scoring."""
+CATEGORICAL = ("gender", "segment")
+
+
+def prepare(df: DataFrame, as_of, levels: DataFrame | None = None,
+            sizes: dict[str, int] | None = None, medians: dict[str, float] | None = None,
+            keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Feature engineering shared by training and scoring: ``keep``, the
+    numeric features, the categorical columns and their sparse vectors, with
+    the level table that was learnt or given."""
     med_df = None
     if medians is not None:
         med_df = df.sparkSession.createDataFrame(
             [tuple(float(v) for v in medians.values())],
             T.StructType([T.StructField(f"median__{k}", T.DoubleType()) for k in medians]))
     f = churn.churn_features(df, as_of, medians=med_df)
+    f = f.withColumns({c: F.lit(churn.UNKNOWN) for c in CATEGORICAL if c not in f.columns})
     if levels is None:
-        levels = churn.category_levels(f, [c for c in categorical if c in f.columns])
-    return churn.one_hot(f, levels, drop_source=False), levels
+        levels = materialize(encode.level_table(f, CATEGORICAL))
+        sizes = encode.level_counts(levels)
+    f = churn.align_features(f, churn.NUMERIC_FEATURES, keep=[*keep, *CATEGORICAL])
+    return encode.encode(f, levels, sizes), levels, sizes
 
 
 def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_id",
@@ -98,19 +108,19 @@ def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_i
     medians_row = churn.median_table(lab, ["age"]).first() if "age" in lab.columns else None
     medians = {"age": medians_row["median__age"]} if medians_row and \
         medians_row["median__age"] is not None else {}
-    feats, levels = prepare(lab, as_of, None, medians or None)
-    names = churn.feature_names(levels)
-    data = split.stratified_split(
-        churn.align_features(feats, names, keep=[key_col, label_col])
-        .withColumn("label", F.col(label_col).cast("double")),
-        key_col, "label", (), churn.TEST_PERCENT, churn.VALIDATION_PERCENT)
+    feats, levels, sizes = prepare(lab, as_of, None, None, medians or None, [key_col, label_col])
+    inputs = [*churn.NUMERIC_FEATURES, *[f"{c}_vec" for c in sizes]]
+    # read by every step of the fit and by the evaluation
+    data = materialize(split.stratified_split(
+        feats.withColumn("label", F.col(label_col).cast("double")),
+        key_col, "label", (), churn.TEST_PERCENT, churn.VALIDATION_PERCENT))
     fit_rows = data.where(F.col("split") != "test")
     fit_rows = evaluate.with_class_weight(fit_rows, "label", "weight")
     fit_rows = fit_rows.withColumn("is_validation", F.col("split") == "validation")
     params = dict(GBT_PARAMS, seed=seed, **(gbt_params or {}))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                         validationIndicatorCol="is_validation", **params)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features",
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features",
                                             handleInvalid="keep"), gbt])
     model = pipe.fit(fit_rows)
     scored = (model.transform(data)
@@ -124,7 +134,7 @@ def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_i
     counts = data.groupBy().agg(F.count_if(F.col("split") != "test").alias("fit"),
                                 F.count(F.lit(1)).alias("all")).first()
     tenant_rows = customers.count()
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp = named_importance(model.stages[-1].featureImportances, levels, sizes)
     metrics = {
         "threshold": thr,
         "accuracy": rep["accuracy"] if rep else None,
@@ -135,18 +145,33 @@ def train_churn_model(customers: DataFrame, as_of, *, key_col: str = "customer_i
         "confusion_matrix": [[rep["tn"], rep["fp"]], [rep["fn"], rep["tp"]]] if rep else None,
         "trees": model.stages[-1].getNumTrees,
     }
-    return TrainedChurnModel(model, names, thr, metrics, dict(zip(names, imp)), levels, medians,
-                             training_rows=int(counts["fit"]), labelled_rows=int(counts["all"]),
+    return TrainedChurnModel(model, [*churn.NUMERIC_FEATURES, *sizes], thr, metrics, imp, levels,
+                             sizes, medians, training_rows=int(counts["fit"]), labelled_rows=int(counts["all"]),
                              tenant_rows=int(tenant_rows))
 
 
+def named_importance(importance, levels: DataFrame, sizes: dict[str, int]) -> dict[str, float]:
+    """Feature -> importance: every numeric feature, and the levels that the
+    trees split on (no more of them than the trees have nodes)."""
+    numeric = list(churn.NUMERIC_FEATURES)
+    out = {f: float(importance[i]) for i, f in enumerate(numeric)}
+    first = len(numeric)
+    for c, n in sizes.items():
+        used = {int(i) - first: float(v) for i, v in zip(importance.indices, importance.values)
+                if first <= i < first + n}
+        named = levels.where((F.col("column") == c) & F.col("index").isin(list(used)))
+        out |= {f"{c}_{r['value']}": used[r["index"]] for r in named.collect()}
+        first += n
+    return out
+
+
 def score_churn(trained: TrainedChurnModel, customers: DataFrame, as_of,
                 key_col: str = "customer_id", keep: Sequence[str] = ()) -> DataFrame:
     """Batch scoring: probability, confidence, risk label, threshold and the
     model inputs as a struct.  Unseen categories encode as all zeros and
     missing features as 0; ages are filled with the training median."""
-    feats, _ = prepare(customers, as_of, trained.levels, trained.medians or None)
-    x = churn.align_features(feats, trained.features, keep=[key_col, *keep])
+    x, _, _ = prepare(customers, as_of, trained.levels, trained.sizes, trained.medians or None,
+                      [key_col, *keep])
     scored = trained.model.transform(x).withColumn(
         "churn_probability", vector_to_array("probability").getItem(1))
     thr = F.lit(float(trained.threshold))
@@ -170,12 +195,13 @@ def register_model(spark: SparkSession, trained: TrainedChurnModel, store_dir: s
     reg_path = os.path.join(store_dir, "registry")
     path = os.path.join(store_dir, f"tenant={tenant_id}", name, uuid.uuid4().hex)
     trained.model.write().save(path)
+    trained.levels.write.parquet(f"{path}/levels")
     m = trained.metrics
     row = (int(tenant_id), name, None, "spark-gbt", path, list(trained.features),
            {k: float(v) for k, v in trained.feature_importance.items()}, float(trained.threshold),
            m.get("accuracy"), m.get("precision"), m.get("recall"), m.get("f1_score"), m.get("auc"),
            int(trained.training_rows), int(trained.labelled_rows), int(trained.tenant_rows),
-           {k: list(v) for k, v in trained.levels.items()},
+           {k: int(v) for k, v in trained.sizes.items()},
            {k: float(v) for k, v in trained.medians.items()},
            _dt.datetime.now(_dt.timezone.utc))
     spark.createDataFrame([row], REGISTRY_SCHEMA).write.mode("append").parquet(reg_path)
@@ -209,8 +235,8 @@ def load_active(spark: SparkSession, store_dir: str, tenant_id: int,
     return TrainedChurnModel(model, list(row["features"]), float(row["threshold"]),
                              {"accuracy": row["accuracy"], "auc": row["auc"]},
                              dict(row["feature_importance"]),
-                             {k: list(v) for k, v in row["category_levels"].items()},
-                             dict(row["medians"]), row["training_rows"], row["labelled_rows"],
+                             spark.read.parquet(f"{row['model_path']}/levels"),
+                             dict(row["level_counts"]), dict(row["medians"]), row["training_rows"], row["labelled_rows"],
                              row["tenant_rows"] or 0)
 
 

@@ -1,25 +1,31 @@
 """Main text of web pages by template deduction.
 
-The tokens of a page are the opening and closing tags of its containers,
-each with the path of containers around it.  Over the pages of a host, a
-token's occurrence vector says how often each page has it; tokens with equal
-vectors form an equivalence class.  Vectors are never gathered: an
-aggregate keeps the number of pages, the sum of counts and an exclusive-or
-of hashes of (page, count), equal for equal vectors.  A class is valid if it
-spans most pages of the host and nests (both tags of a container are in it,
-the opening one first); containers of valid classes nest into the host's
-template, and what lies between their tags are its slots.  Hosts with fewer
-than ``LEAST_PAGES`` pages have no vectors to compare and use the template
-deduced over all pages.
-
-The main slot is the template's ``article`` or ``main`` container; without
-one, the whole page, so that no part of an article is lost that a smaller
-container would leave out.  Its text is extracted whole, but for containers
-inside it that are furniture (menus, forms, adverts, comments, scripts and so
-on): by their tags, or by the words of their class, id or role where they
-hold at most half of the page's text.  Text that is the same on all pages of
-a host but not in furniture stays.  A page that lacks the main slot is read by
-the same rules on its own containers.
+The tokens of a page are the opening and closing tags of its containers and
+the texts of its blocks, each with the path of containers around it.  Over
+the pages of a host, a token's occurrence vector says how often each page has
+it; tokens with equal vectors, whatever their places, form an equivalence
+class.  Vectors are never gathered: an aggregate keeps the number of pages,
+the sum, least and greatest count and an exclusive-or of hashes of (page,
+count), equal for equal vectors.
+
+A class is valid if it spans half of the host's pages and nests: every
+container in it has both tags in it, the opening one first.  Containers of
+valid classes nest into the host's template.  Texts of classes that are
+constant, the same number of times on every page of the host, belong to the
+template as well (notices, promotions, menus, whatever their tags are called)
+and go; what is left between the template's tags are the slots.  Hosts with
+fewer than ``LEAST_PAGES`` different pages have no vectors to compare and use
+the template deduced over all pages.
+
+The main slots are the template's ``article`` containers, or its ``main`` where
+that holds text outside its articles; without either, the whole page, so that
+no part of an article is lost that a smaller container would leave out.  Their
+texts are extracted whole, but for furniture inside (menus, forms, adverts,
+comments, scripts and so on): by tag, or by a class, id or role that names
+nothing else; elements whose name only mentions furniture count as such where
+they hold at most half of the page's text, and the page's layout never.  A
+page that lacks the main slots is read by the same rules on its own
+containers; a page of which nothing would be left keeps its constant texts.
 
 Blocks are the text between block tags; character references are decoded,
 white space inside a block becomes one space, blocks are joined by an empty
@@ -29,8 +35,10 @@ own; repeated rows are rows of their own.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,19 +51,25 @@ from mercato.session import materialize, ship_package
 
 LEAST_PAGES = 5
 SPAN = 0.5
-WHOLE = ""          # the path around all containers of a page
+BROADCAST_TOKENS = 1_000_000     # 64-bit numbers of all templates that may be broadcast
 
 MAIN = ("article", "main")
 FURNITURE = frozenset("nav header footer aside form script style noscript template iframe "
                       "select button textarea dialog menu svg object title head".split())
 # Containers that no word makes furniture.
 LAYOUT = ("html", "body", *MAIN)
-# Words of a class, id or role that mark furniture.
 FURNITURE_WORDS = frozenset("nav navbar navigation menu header footer sidebar aside ad ads advert "
                             "advertisement banner sponsored promo cookie cookies consent notice "
                             "popup modal comment comments reply replies share social related "
                             "breadcrumb breadcrumbs newsletter subscribe login search widget "
-                            "disclaimer pagination".split())
+                            "disclaimer pagination contentinfo complementary".split())
+# Words that leave a name of furniture what it is (comment-list), and words
+# that turn it into a statement about something else (has-sidebar).
+NEUTRAL_WORDS = frozenset("list box section area wrapper container block item items bar site page "
+                          "post article entry user main top bottom left right global primary "
+                          "secondary inner outer group row col panel wrap link links text content "
+                          "title head body thread".split())
+STATING_WORDS = frozenset("has with no without is not show hide".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl "
                        "table figure details head title dialog menu noscript template select "
                        "button textarea iframe svg object blockquote".split())
@@ -64,6 +78,9 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre hr ca
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = ("script", "style")
 
+# Elements that the next of their kind closes.
+SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+
 _SCAN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)"
                    r"|[^<]+|<", re.S)
@@ -71,11 +88,13 @@ _MARK = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _WORD = re.compile(r"[a-z]+")
 
 
+
+
 def scan(page: str):
     """(kind, name, attributes or text) of each piece: kind is "open",
     "close" or "text"; comments and the contents of scripts and styles are
     left out."""
-    at, n = 0, len(page)
+    at, n, lower = 0, len(page), None
     while at < n:
         m = _SCAN.match(page, at)
         at = m.end()
@@ -89,208 +108,318 @@ def scan(page: str):
             continue
         yield "open", name, m[3]
         if name in RAW and not m[3].rstrip().endswith("/"):
-            end = page.lower().find(f"</{name}", at)
+            if lower is None:
+                lower = page.lower()
+                if len(lower) != n:            # a letter whose lower case is longer
+                    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+            end = lower.find(f"</{name}", at)
             at = n if end < 0 else end
         elif name not in VOID and m[3].rstrip().endswith("/") and name in CONTAINERS:
             yield "close", name, ""
 
 
-def label_of(name: str, attributes: str) -> str:
-    """Name of a container with the words of its class, id and role."""
-    words = [w for m in _MARK.finditer(attributes)
-             for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())]
-    return ".".join([name, *words])
-
-
-def furniture(pieces: list) -> list[bool]:
-    """Whether each container of a page, in the order of opening, is
-    furniture: by its tag, or by the words of its class, id or role where it
-    holds half of the page's text at most (a layout that names its sidebar
-    holds more)."""
-    labels: list[str] = []
-    sizes: list[int] = []
-    opened: list[int] = []
-    total = 0
-    for event, path, text in walk(pieces):
-        if event == "open":
-            opened.append(len(labels))
-            labels.append(path[-1])
-            sizes.append(0)
-        elif event == "close":
-            opened.pop()
-        elif event == "text":
-            size = len(text.strip())
-            if size and not any(labels[i].split(".")[0] in FURNITURE for i in opened):
-                total += size
-                for i in opened:
-                    sizes[i] += size
-    found = []
-    for label, size in zip(labels, sizes):
-        name, *words = label.split(".")
-        found.append(name in FURNITURE
-                     or (name not in LAYOUT and not FURNITURE_WORDS.isdisjoint(words)
-                         and 2 * size <= total))
-    return found
-
-
-def walk(pieces):
-    """(event, path, text) of the pieces of a page: "open" and "close" of
-    containers with the path that they end, "break" at other block tags,
-    "text"."""
-    path: list[str] = []
-    for kind, name, more in pieces:
-        if kind == "text":
-            yield "text", path, more
-        elif name not in BLOCKS:
-            if name in RAW:
+def marked(attributes: str) -> tuple[str, int]:
+    """The words of an element's class, id and role, and whether they make
+    it furniture: 2 if a name says nothing else, 1 if it mentions it."""
+    words, level = [], 0
+    for m in _MARK.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            own = _WORD.findall(name)
+            words += own
+            if FURNITURE_WORDS.isdisjoint(own) or not STATING_WORDS.isdisjoint(own):
                 continue
-            if name == "br":
-                yield "text", path, " "
-        elif name not in CONTAINERS:
-            yield "break", path, ""
-        elif kind == "open":
-            path.append(label_of(name, more))
-            yield "open", path, ""
-        else:
-            depth = next((i for i in range(len(path) - 1, -1, -1)
-                          if path[i].split(".")[0] == name), None)
-            if depth is not None:
-                while len(path) > depth:
-                    yield "close", path, ""
-                    path.pop()
-    while path:
-        yield "close", path, ""
-        path.pop()
-
-
-def page_tokens(page: str) -> list[dict]:
-    """The distinct tokens of a page: count, place of the first, and for
-    opening tags the length of the text inside."""
-    found: dict[str, list[int]] = {}
-    opened: list[str] = []
-    pieces = list(scan(page))
-    flags, left_out = iter(furniture(pieces)), []
-    for at, (event, path, text) in enumerate(walk(pieces)):
-        if event == "text":
-            size = len(text.strip())
-            if size and not any(left_out):
-                for key in opened:
-                    found[key][2] += size
-        elif event in ("open", "close"):
-            key = ("<" if event == "open" else ">") + "/".join(path)
-            entry = found.setdefault(key, [0, at, 0])
-            entry[0] += 1
-            if event == "open":
-                opened.append(key)
-                left_out.append(next(flags))
+            level = max(level, 2 if FURNITURE_WORDS.union(NEUTRAL_WORDS).issuperset(own) else 1)
+    return ".".join(words), level
+
+
+def number(*parts) -> int:
+    """A 64-bit hash."""
+    digest = hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"),
+                             digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+@dataclass
+class Page:
+    """A page's elements (containers and marked furniture, in the order of
+    opening, each with its parent before it) and its blocks."""
+
+    parent: list[int] = field(default_factory=list)
+    name: list[str] = field(default_factory=list)
+    path: list[int] = field(default_factory=list)      # hash of the path of labels
+    mark: list[int] = field(default_factory=list)
+    opens: list[int] = field(default_factory=list)
+    closes: list[int] = field(default_factory=list)
+    pieces: list = field(default_factory=list)         # (element, text), None where a block ends
+    out: list[bool] = field(default_factory=list)      # inside furniture
+    chars: list[int] = field(default_factory=list)     # text inside that is not furniture
+
+
+def parsed(html: str) -> Page:
+    """One pass over the tags, linear in their number whatever their depth."""
+    page = Page()
+    stack: list[int] = []
+    places: dict[str, list[int]] = {}          # name -> places in the stack
+    same: list[int] = []                       # unmarked elements of the name, open inside
+    at = 0
+
+    def push(name: str, label: str, mark: int) -> None:
+        up = stack[-1] if stack else -1
+        places.setdefault(name, []).append(len(stack))
+        stack.append(len(page.name))
+        same.append(0)
+        page.parent.append(up)
+        page.name.append(name)
+        page.path.append(number(page.path[up] if up >= 0 else "", label))
+        page.mark.append(mark)
+        page.opens.append(at)
+        page.closes.append(at)
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            i = stack.pop()
+            same.pop()
+            places[page.name[i]].pop()
+            page.closes[i] = at
+
+    for kind, name, more in scan(html):
+        at += 1
+        if kind == "text":
+            page.pieces.append((stack[-1] if stack else -1, more))
+            continue
+        if name == "br":
+            page.pieces.append((stack[-1] if stack else -1, " "))
+            continue
+        if name in BLOCKS:
+            page.pieces.append(None)
+        own = places.get(name)
+        if kind == "open" and name not in VOID:
+            label, mark = marked(more)
+            if name in LAYOUT:
+                mark = 0
+            if own and name in SELF_CLOSING and own[-1] == len(stack) - 1:
+                pop_to(own[-1])
+            elif own and name not in CONTAINERS and name not in SELF_CLOSING:
+                same[own[-1]] += 1
+            paragraph = places.get("p")
+            if name in BLOCKS and paragraph and paragraph[-1] == len(stack) - 1:
+                pop_to(paragraph[-1])
+            if name in CONTAINERS:
+                push(name, f"{name}.{label}", 2 if name in FURNITURE else mark)
+            elif mark == 2 and name not in RAW:
+                push(name, f"{name}.{label}", mark)
+        elif kind == "close" and own:
+            if same[own[-1]]:
+                same[own[-1]] -= 1
             else:
-                opened.pop()
-                left_out.pop()
-    return [{"token": k, "n": v[0], "at": v[1], "chars": v[2]} for k, v in found.items()]
-
-
-def choose_main(containers: list[tuple[str, float]]) -> str:
-    """Path of the main slot among (path, mean text inside) in template order."""
-    named = [(p, c) for p, c in containers if p.split("/")[-1].split(".")[0] in MAIN]
-    for name in MAIN:
-        best = [(c, p) for p, c in named if p.split("/")[-1].split(".")[0] == name and c > 0]
-        if best:
-            return max(best, key=lambda x: (x[0], -len(x[1])))[1]
-    return WHOLE
-
-
-def main_text(page: str, main: str | None) -> str:
-    """The blocks inside the containers with path ``main``, without furniture."""
-    pieces = list(scan(page))
-    apart = furniture(pieces)
-    for wanted in (main, choose_main([(t["token"][1:], t["chars"]) for t in page_tokens(page)
-                                      if t["token"][0] == "<"]) if main is None else None, None):
-        flags, left_out = iter(apart), []
-        blocks: list[str] = []
-        held: list[str] = []
-        seen = wanted == WHOLE
-
-        def end_block():
+                pop_to(own[-1])
+    at += 1
+    pop_to(0)
+    page.pieces.append(None)
+    _sized(page)
+    return page
+
+
+def _sized(page: Page) -> None:
+    """Sizes without furniture, and what is inside of furniture."""
+    n = len(page.name)
+    strong = [m == 2 for m in page.mark]
+    for i in range(n):
+        strong[i] = strong[i] or (page.parent[i] >= 0 and strong[page.parent[i]])
+    size, total = [0] * n, 0
+    for piece in page.pieces:
+        if piece is not None and not (piece[0] >= 0 and strong[piece[0]]):
+            chars = len(piece[1].strip())
+            total += chars
+            if piece[0] >= 0:
+                size[piece[0]] += chars
+    for i in range(n - 1, -1, -1):
+        if page.parent[i] >= 0:
+            size[page.parent[i]] += size[i]
+    out = [s or (m == 1 and 2 * z <= total) for s, m, z in zip(strong, page.mark, size)]
+    for i in range(n):
+        out[i] = out[i] or (page.parent[i] >= 0 and out[page.parent[i]])
+    chars = [0] * n
+    for piece in page.pieces:
+        if piece is not None and piece[0] >= 0 and not out[piece[0]]:
+            chars[piece[0]] += len(piece[1].strip())
+    for i in range(n - 1, -1, -1):
+        if page.parent[i] >= 0:
+            chars[page.parent[i]] += chars[i]
+    page.out, page.chars = out, chars
+
+
+def page_blocks(page: Page):
+    """(element, text) of each block outside furniture, in page order."""
+    held: list[str] = []
+    where = -1
+    for piece in page.pieces:
+        if piece is None:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                blocks.append(text)
-
-        for event, path, text in walk(pieces):
-            if event == "open":
-                left_out.append(next(flags))
-            elif event == "close":
-                left_out.pop()
-            if event == "open" and wanted is not None and "/".join(path) == wanted:
-                seen = True
-            inside = wanted in (None, WHOLE) or any("/".join(path[:i]) == wanted
-                                           for i in range(1, len(path) + 1))
-            if event != "text":
-                end_block()
-            elif inside and not any(left_out):
-                held.append(text)
-        end_block()
-        if seen or wanted is None:
-            if seen or main is None:
-                return "\n\n".join(blocks)
-            return main_text(page, None)
-    return ""
+                yield where, text
+        elif not (piece[0] >= 0 and page.out[piece[0]]):
+            if not held:
+                where = piece[0]
+            held.append(piece[1])
+
+
+def block_token(page: Page, element: int, text: str) -> int:
+    return number("text", page.path[element] if element >= 0 else "", text)
+
+
+def containers(page: Page) -> list[tuple[int, str, int, int, int]]:
+    """(path, name, place, text inside, text inside but outside of articles)
+    of the article and main elements outside furniture."""
+    inner = [0] * len(page.name)
+    covered = [False] * len(page.name)
+    found = []
+    for i in range(len(page.name)):
+        up = page.parent[i]
+        covered[i] = up >= 0 and (covered[up] or page.name[up] == "article")
+        if page.name[i] == "article" and not covered[i] and up >= 0 and not page.out[i]:
+            inner[up] += page.chars[i]
+    for i in range(len(page.name) - 1, -1, -1):
+        if page.parent[i] >= 0 and page.name[i] != "article":
+            inner[page.parent[i]] += inner[i]
+    for i, name in enumerate(page.name):
+        if name in MAIN and not page.out[i]:
+            found.append((page.path[i], name, page.opens[i], page.chars[i], page.chars[i] - inner[i]))
+    return found
 
 
+def choose_main(found: list[tuple[int, str, float, float, float]]) -> list[int]:
+    """Paths of the main slots among :func:`containers`; none: the whole page."""
+    mains = [c for c in found if c[1] == "main" and c[3] > 0]
+    articles = [c for c in found if c[1] == "article" and c[3] > 0]
+    if mains and (not articles or any(c[4] > 0 for c in mains)):
+        return sorted({c[0] for c in mains})
+    return sorted({c[0] for c in articles})
+
+
+def main_text(html: str, slots: list[int] | None = None, constant: list[int] | None = None) -> str:
+    """The blocks of a page in the elements with a path of ``slots`` (not
+    given, or not on the page: as its own elements say) but for furniture and
+    the blocks whose token is constant on the host."""
+    page = parsed(html)
+    wanted = set(slots or ())
+    if not wanted.intersection(page.path):
+        wanted = set(choose_main(containers(page)))
+    inside = [False] * len(page.name)
+    for i, path in enumerate(page.path):
+        inside[i] = path in wanted or (page.parent[i] >= 0 and inside[page.parent[i]])
+    blocks = [(i, text) for i, text in page_blocks(page)
+              if not wanted or (i >= 0 and inside[i])]
+    fixed = set(constant or ())
+    varying = [text for i, text in blocks if block_token(page, i, text) not in fixed]
+    return "\n\n".join(varying or [text for _, text in blocks])
+
+
+# ---------------------------------------------------------------- template
+
+OPEN, CLOSE, TEXT = 0, 1, 2
+
+
+def page_tokens(html: str) -> list[dict]:
+    """The distinct tokens of a page: kind, count and place of the first; for
+    opening tags the element's name, the text inside and outside of articles."""
+    page = parsed(html)
+    found: dict[tuple[int, int], dict] = {}
+
+    def add(kind: int, token: int, at: int, name: str = "", chars: int = 0, outside: int = 0):
+        entry = found.setdefault((kind, token), {"kind": kind, "token": token, "n": 0, "at": at,
+                                                 "name": name, "chars": 0, "outside": 0})
+        entry["n"] += 1
+        entry["chars"] += chars
+        entry["outside"] += outside
+
+    add(OPEN, number("page"), 0)
+    add(CLOSE, number("page"), len(page.pieces) + 1)
+    sizes = {opens: (chars, outside) for _, _, opens, chars, outside in containers(page)}
+    for i, name in enumerate(page.name):
+        if not page.out[i]:
+            chars, outside = sizes.get(page.opens[i], (0, 0))
+            add(OPEN, page.path[i], page.opens[i], name if name in MAIN else "", chars, outside)
+            add(CLOSE, page.path[i], page.closes[i])
+    for place, (i, text) in enumerate(page_blocks(page)):
+        add(TEXT, block_token(page, i, text), place)
+    return list(found.values())
+
+
+_TOKEN = [("kind", pa.int32()), ("token", pa.int64()), ("n", pa.int64()), ("at", pa.int64()),
+          ("name", pa.string()), ("chars", pa.int64()), ("outside", pa.int64())]
 _TOKENS = T.ArrayType(T.StructType([
-    T.StructField("token", T.StringType()), T.StructField("n", T.LongType()),
-    T.StructField("at", T.LongType()), T.StructField("chars", T.LongType())]))
+    T.StructField("kind", T.IntegerType()), T.StructField("token", T.LongType()),
+    T.StructField("n", T.LongType()), T.StructField("at", T.LongType()),
+    T.StructField("name", T.StringType()), T.StructField("chars", T.LongType()),
+    T.StructField("outside", T.LongType())]))
 
 
 @F.arrow_udf(_TOKENS)
 def _page_tokens(pages: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64()), ("at", pa.int64()),
-                               ("chars", pa.int64())]))
-    return pa.array([page_tokens(p.as_py()) for p in pages], kind)
+    return pa.array([page_tokens(p.as_py()) for p in pages], pa.list_(pa.struct(_TOKEN)))
 
 
 @F.arrow_udf(T.StringType())
-def _main_text(pages: pa.Array, mains: pa.Array) -> pa.Array:
-    return pa.array([main_text(p.as_py(), m.as_py()) for p, m in zip(pages, mains)], pa.string())
+def _main_text(pages: pa.Array, slots: pa.Array, constant: pa.Array) -> pa.Array:
+    return pa.array([main_text(p.as_py(), s.as_py(), c.as_py())
+                     for p, s, c in zip(pages, slots, constant)], pa.string())
 
 
-@F.arrow_udf(T.StringType())
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _choose_main(templates: pa.Array) -> pa.Array:
-    return pa.array([choose_main([(c["path"], c["chars"]) for c in t.as_py()])
-                     for t in templates], pa.string())
+    return pa.array([choose_main([(c["path"], c["name"], c["at"], c["chars"], c["outside"])
+                                  for c in t.as_py()]) for t in templates], pa.list_(pa.int64()))
+
+
+def token_classes(pages: DataFrame) -> DataFrame:
+    """(host, of, kind, token, pages, n, vector, constant, at, name, chars,
+    outside): the tokens of each host (null: of all hosts together) that span
+    enough of its ``of`` pages; equal (pages, n, vector) are one class.
+    ``pages``: host, html."""
+    tokens = (pages.select("host", F.xxhash64("html").alias("page"),
+                           F.explode(_page_tokens("html")).alias("t")).select("host", "page", "t.*"))
+    key = ["kind", "token", "name"]
+    seen = materialize(tokens.groupBy("host", *key).agg(
+        F.count("*").alias("pages"), F.sum("n").alias("n"), F.min("n").alias("least"),
+        F.max("n").alias("most"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
+        F.sum("at").alias("at"), F.sum("chars").alias("chars"), F.sum("outside").alias("outside")))
+    kinds = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.count("*").alias("rows"))
+    sizes = kinds.groupBy("host").agg(F.sum("rows").alias("of"), F.count("*").alias("kinds"))
+    total = sizes.agg(F.coalesce(F.sum("of"), F.lit(0)).alias("of"))
+    everywhere = seen.groupBy(*key).agg(
+        *[F.sum(c).alias(c) for c in ("pages", "n")], F.min("least").alias("least"),
+        F.max("most").alias("most"), F.bit_xor("vector").alias("vector"),
+        *[F.sum(c).alias(c) for c in ("at", "chars", "outside")])
+    own = seen.join(sizes.where(F.col("kinds") >= LEAST_PAGES).drop("kinds"), "host")
+    common = everywhere.crossJoin(F.broadcast(total)).withColumn("host", F.lit(None).cast("string"))
+    wide = own.unionByName(common).where(F.col("pages") >= SPAN * F.col("of"))
+    constant = (F.col("pages") == F.col("of")) & (F.col("least") == F.col("most"))
+    return wide.withColumn("constant", constant).drop("least", "most")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main): the path of the main slot of each host's template; the
-    row of null host holds for all others.  ``pages``: host, page, html."""
-    tokens = (pages.select("host", "page", F.explode(_page_tokens("html")).alias("t"))
-              .select("host", "page", "t.*"))
-    seen = materialize(tokens.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
-        F.sum("at").alias("at"), F.sum("chars").alias("chars")))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("of"))
-    everywhere = seen.groupBy("token").agg(
-        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"),
-        F.sum("at").alias("at"), F.sum("chars").alias("chars"))
-    total = sizes.agg(F.coalesce(F.sum("of"), F.lit(0)).alias("of"))
-    own = seen.join(sizes.where(F.col("of") >= LEAST_PAGES), "host")
-    both = own.union(everywhere.crossJoin(F.broadcast(total))
-                     .select(F.lit(None).cast("string").alias("host"), *own.columns[1:]))
-    wide = both.where(F.col("pages") >= SPAN * F.col("of"))
-    path = F.substring("token", 2, 1 << 30)
-    # an opening and a closing tag with equal vectors, in order: one nested pair
-    pairs = (wide.groupBy("host", path.alias("path"), "vector", "pages", "n")
-             .agg(F.count("*").alias("tags"),
-                  F.max(F.when(F.substring("token", 1, 1) == "<", F.col("at"))).alias("opens"),
-                  F.max(F.when(F.substring("token", 1, 1) == ">", F.col("at"))).alias("closes"),
-                  F.max("chars").alias("chars"))
-             .where("tags = 2 AND opens < closes"))
-    return materialize(
-        pairs.groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            (F.col("opens") / F.col("pages")).alias("at"), "path",
-            (F.col("chars") / F.col("pages")).alias("chars")))).alias("template"))
-        .select("host", _choose_main("template").alias("main")))
+    """(host, slots, constant): the main slots of each host's template and
+    its constant texts; the row of null host holds for all others."""
+    classes = materialize(token_classes(pages))
+    cls = ["host", "pages", "n", "vector"]
+    # an opening and a closing tag in one class, in order: a nested pair
+    pairs = (classes.where(F.col("kind") != TEXT).groupBy(*cls, "token")
+             .agg(F.max(F.when(F.col("kind") == OPEN, F.col("at"))).alias("opens"),
+                  F.max(F.when(F.col("kind") == CLOSE, F.col("at"))).alias("closes"),
+                  F.max("name").alias("name"), F.max("chars").alias("chars"),
+                  F.max("outside").alias("outside")).where("opens < closes"))
+    nested = pairs.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(
+        (F.col("opens") / F.col("pages")).alias("at"), F.col("token").alias("path"), "name",
+        (F.col("chars") / F.col("pages")).alias("chars"),
+        (F.col("outside") / F.col("pages")).alias("outside")))).alias("template"))
+    fixed = (classes.where((F.col("kind") == TEXT) & F.col("constant")).groupBy("host")
+             .agg(F.array_sort(F.collect_list("token")).alias("constant")))
+    both = nested.join(fixed.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left")
+    return materialize(both.select("host", _choose_main("template").alias("slots"),
+                                   F.coalesce("constant", F.array().cast("array<bigint>"))
+                                   .alias("constant")))
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -299,16 +428,17 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     ship_package(pages.sparkSession)
     name = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)),
                       F.lit(""))
-    host, body, own, common = (free_name(pages, c) for c in ("__host", "__html", "__main", "__common"))
+    host, body, own, common = (free_name(pages, c) for c in ("__host", "__html", "__own", "__common"))
     source = pages.withColumns({host: name, body: F.coalesce(F.col(html), F.lit(""))})
-    found = templates(source.select(F.col(host).alias("host"),
-                                    F.coalesce(F.col(page_id).cast("string"), F.col(url)).alias("page"),
-                                    F.col(body).alias("html")))
-    general = (found.where("host IS NULL")
-               .agg(F.max("main").alias(common)))       # one row, also of none
+    found = templates(source.select(F.col(host).alias("host"), F.col(body).alias("html")))
+    # one row, also of no pages
+    general = found.where("host IS NULL").agg(F.max(F.struct("slots", "constant")).alias(common))
     hosts = found.where("host IS NOT NULL").select(F.col("host").alias(host),
-                                                   F.col("main").alias(own))
-    # one small row a host, the pages of a large host spread over the salts
-    joined = salted_join(source, hosts, [host], how="left").crossJoin(F.broadcast(general))
-    return (joined.withColumn(out, _main_text(F.col(body), F.coalesce(own, common)))
+                                                   F.struct("slots", "constant").alias(own))
+    held = found.agg(F.sum(F.size("slots") + F.size("constant") + 4)).first()[0] or 0
+    joined = (source.join(F.broadcast(hosts), host, "left") if held <= BROADCAST_TOKENS
+              else salted_join(source, hosts, [host], how="left"))
+    template = F.coalesce(own, common)
+    joined = joined.crossJoin(F.broadcast(general))
+    return (joined.withColumn(out, _main_text(F.col(body), template["slots"], template["constant"]))
             .drop(host, body, own, common))

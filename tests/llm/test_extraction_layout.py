@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from mercato.llm.extraction import choose_main, main_text, page_tokens
+from mercato.llm.extraction import main_text
 
 
 @pytest.mark.parametrize("page", [
@@ -15,6 +15,4 @@ from mercato.llm.extraction import choose_main, main_text, page_tokens
 def test_layout_is_never_furniture(page):
     words = "the text of the article in many words"
     html = page.format(words)
-    main = choose_main([(t["token"][1:], t["chars"]) for t in page_tokens(html)
-                        if t["token"][0] == "<"])
-    assert main_text(html, main) == words
+    assert main_text(html) == words

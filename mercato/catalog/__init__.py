@@ -37,7 +37,7 @@ def _load() -> None:
     # Importing the modules registers their queries.
     from mercato.catalog import (  # noqa: F401
         q_series, q_insights, q_cleaning, q_runs, q_churn, q_models, q_demand, q_stream,
-        q_null_groups, q_uploads, q_tenants,
+        q_null_groups, q_uploads, q_tenants, q_sinks,
     )
 
 

@@ -34,20 +34,19 @@ def customer_table(spark, sf_dir):
     ref = o.agg((F.max("o_orderdate") - F.make_interval(days=F.lit(HORIZON_DAYS)))
                 .alias("feature_date"))
     o = attach_group_stats(o, ref, [])
-    hist = (o.where(F.col("o_orderdate") <= F.col("feature_date"))
-            .groupBy(F.col("o_custkey").alias("h_custkey"))
-            .agg(F.min("o_orderdate").alias("first_order"), F.max("o_orderdate").alias("last_order"),
-                 F.count(F.lit(1)).alias("total_orders"),
-                 F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
-                 .alias("total_spent")))
-    again = (o.where(F.col("o_orderdate") > F.col("feature_date"))
-             .select(F.col("o_custkey").alias("a_custkey"))
-             .distinct().withColumn("ordered_again", F.lit(True)))
+    past = F.col("o_orderdate") <= F.col("feature_date")
+    # one pass over the orders: history and return from conditional aggregates
+    hist = o.groupBy(F.col("o_custkey").alias("h_custkey")).agg(
+        F.min(F.when(past, F.col("o_orderdate"))).alias("first_order"),
+        F.max(F.when(past, F.col("o_orderdate"))).alias("last_order"),
+        F.nullif(F.count_if(past), F.lit(0)).alias("total_orders"),
+        F.sum(F.when(past, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double")
+        .alias("total_spent"),
+        F.bool_or(F.col("o_orderdate") > F.col("feature_date")).alias("ordered_again"))
     geo = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
            .select("n_nationkey", "r_name"))
     c = (t.customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-         .join(hist, F.col("c_custkey") == F.col("h_custkey"), "left")
-         .join(again, F.col("c_custkey") == F.col("a_custkey"), "left"))
+         .join(hist, F.col("c_custkey") == F.col("h_custkey"), "left"))
     c = attach_group_stats(c, ref, [])
     return c.select(
         F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey"),
@@ -150,7 +149,8 @@ FROM (SELECT c_custkey, CAST(
       + (CASE WHEN subscription_length > 365 AND total_orders < 10 THEN 1 ELSE 0 END)
       AS INTEGER) AS points FROM feat) p""")
 def q_rule_churn_risk(spark, sf_dir):
-    f = customer_features(spark, sf_dir)
+    # the rule reads no median
+    f = churn.churn_features(customer_table(spark, sf_dir), F.col("feature_date"), median_cols=())
     return churn.rule_churn_risk(f, free_segment=FREE_SEGMENT).select(
         "c_custkey", "risk_points", "risk_probability")
 
@@ -163,6 +163,20 @@ def q_churn_rate_by_segment(spark, sf_dir):
     return churn.churn_rate_by(customer_table(spark, sf_dir), "churned", ["segment"])
 
 
+@register("churn_rate_by_tenant_segment", sql=f"""{_CUSTOMER_SQL}
+SELECT tenant_id, segment, subscription_length > 2000 AS long_term, count(churned) AS customers,
+       CAST(coalesce(sum(churned), 0) AS BIGINT) AS churned,
+       coalesce(CAST(sum(churned) AS DOUBLE) / nullif(CAST(count(churned) AS DOUBLE), 0) * 100.0, 0)
+         AS churn_rate
+FROM feat GROUP BY ALL""")
+def q_churn_rate_by_tenant_segment(spark, sf_dir):
+    """Rates of small segments, some of which have no labelled customer."""
+    c = customer_table(spark, sf_dir).withColumns({
+        "segment": F.coalesce("segment", F.lit(churn.UNKNOWN)),
+        "long_term": F.coalesce("subscription_length", F.lit(0)) > 2000})
+    return churn.churn_rate_by(c, "churned", ["tenant_id", "segment", "long_term"])
+
+
 @register("churn_rate_overall", sql=f"""{_CUSTOMER_SQL}
 SELECT count(*) AS customers, CAST(sum(churned) AS BIGINT) AS churned,
        CAST(sum(churned) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 AS churn_rate
@@ -291,6 +305,23 @@ def q_roc_auc(spark, sf_dir):
     return evaluate.roc_auc(scored_documents(spark, sf_dir), "score", "label")
 
 
+@register("class_report", sql=f"""WITH {_SCORED_SQL},
+c AS (SELECT count_if(score >= 0.5 AND label = 1)::DOUBLE AS tp,
+             count_if(score >= 0.5 AND label <> 1)::DOUBLE AS fp,
+             count_if(score < 0.5 AND label = 1)::DOUBLE AS fn,
+             count_if(score < 0.5 AND label <> 1)::DOUBLE AS tn FROM scored WHERE label IS NOT NULL),
+k AS (SELECT 0 AS class, tn / (tn + fn) AS p, tn / (tn + fp) AS r, 2 * tn / (2 * tn + fn + fp) AS f,
+             tn + fp AS n FROM c
+      UNION ALL SELECT 1, tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), tp + fn FROM c)
+SELECT class::VARCHAR AS class, p AS precision, r AS recall, f AS f1, n::BIGINT AS support FROM k
+UNION ALL SELECT 'macro avg', sum(p) / 2, sum(r) / 2, sum(f) / 2, sum(n)::BIGINT FROM k
+UNION ALL SELECT 'weighted avg', sum(p * n) / sum(n), sum(r * n) / sum(n), sum(f * n) / sum(n),
+                 sum(n)::BIGINT FROM k""")
+def q_class_report(spark, sf_dir):
+    """Precision, recall, F1 and support of both classes and their means."""
+    return evaluate.class_report(scored_documents(spark, sf_dir), "score", "label", 0.5)
+
+
 @register("risk_tiers", sql=f"""WITH {_SCORED_SQL}
 SELECT doc_id, score,
        CASE WHEN score >= 0.7 THEN 'High Risk' WHEN score >= 0.5 THEN 'Medium Risk'

@@ -115,14 +115,14 @@ def rule_churn_risk(df: DataFrame, days_col: str = "days_since_last_login",
 
 def churn_rate_by(df: DataFrame, label_col: str = "churned", by: Sequence[str] = ("segment",)
                   ) -> DataFrame:
-    """Customers, churned customers and churn rate in percent per segment
-    (labelled rows only)."""
-    b = keys(by)
-    lab = df.where(F.col(label_col).isNotNull())
-    return lab.groupBy(*b).agg(
-        F.count(F.lit(1)).alias("customers"),
-        F.sum(F.col(label_col).cast("long")).alias("churned")).withColumn(
-        "churn_rate", F.col("churned") / F.col("customers") * F.lit(100.0))
+    """Customers, churned customers and churn rate in percent per segment, of
+    the labelled rows; a segment without any has zeros."""
+    known = F.col(label_col).isNotNull()
+    return df.groupBy(*keys(by)).agg(
+        F.count_if(known).alias("customers"),
+        F.coalesce(F.sum(F.col(label_col).cast("long")), F.lit(0)).alias("churned")).withColumn(
+        "churn_rate", F.coalesce(F.try_divide(F.col("churned"), F.col("customers")) * F.lit(100.0),
+                                 F.lit(0.0)))
 
 
 def labelled_counts(df: DataFrame, tenant_col: str = "tenant_id", label_col: str = "churned",

@@ -85,6 +85,33 @@ def confusion(df: DataFrame, score_col: str, label_col: str, threshold,
                     _safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def class_report(df: DataFrame, score_col: str, label_col: str, threshold,
+                 group_cols: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support of each class ("0" and "1") and of
+    their plain ("macro avg") and weighted ("weighted avg") means."""
+    g = keys(group_cols)
+    c = confusion(df, score_col, label_col, threshold, g)
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+
+    def line(name: str, hit: Column, wrong: Column, missed: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), _safe_div(hit, hit + wrong).alias("precision"),
+                        _safe_div(hit, hit + missed).alias("recall"),
+                        _safe_div(2 * hit, 2 * hit + wrong + missed).alias("f1"),
+                        (hit + missed).cast("long").alias("support"))
+
+    both = c.select(*g, line("0", tn, fn, fp).alias("n"), line("1", tp, fp, fn).alias("p"))
+    total = F.col("n.support") + F.col("p.support")
+
+    def mean(name: str, n: Column, p: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), *[
+            ((F.col(f"n.{m}") * n + F.col(f"p.{m}") * p) / (n + p)).alias(m)
+            for m in ("precision", "recall", "f1")], total.alias("support"))
+
+    return both.select(*g, F.inline(F.array(
+        F.col("n"), F.col("p"), mean("macro avg", F.lit(1), F.lit(1)),
+        mean("weighted avg", F.col("n.support"), F.col("p.support")))))
+
+
 def roc_auc(df: DataFrame, score_col: str = "score", label_col: str = "label",
             group_cols: Sequence[str] = (), buckets: int = AUC_BUCKETS) -> DataFrame:
     """Exact, tie-aware ROC-AUC (Mann-Whitney): P(score+ > score-) + 0.5 P(=).

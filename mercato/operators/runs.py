@@ -27,6 +27,26 @@ def with_ui_status(runs: DataFrame, status_col: str = "status") -> DataFrame:
     return runs.withColumn("ui_status", ui_status(status_col))
 
 
+def of_status(runs: DataFrame, status: str, status_col: str = "status") -> DataFrame:
+    """The runs of one status."""
+    return runs.where(F.col(status_col) == status)
+
+
+def padded_id(c, prefix: str = "", width: int = 6) -> Column:
+    """An id of at least ``width`` digits behind a prefix; longer ones stay whole."""
+    digits = col_of(c).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
+
+
+def percent(part, whole) -> Column:
+    """A share of two counts as text in percent with one decimal, rounded
+    half up exactly; of nothing, 0.0%."""
+    whole = F.greatest(col_of(whole).cast("long"), F.lit(1))
+    tenths = F.floor((col_of(part).cast("decimal(20,0)") * 2000 + whole) / (whole * 2)).cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"), F.lit("%"))
+
+
 def recent(runs: DataFrame, ts_col: str = "created_at", days: int = LOOKBACK_DAYS,
            as_of=None, status: str | None = None, group_cols: Sequence[str] = ()) -> DataFrame:
     """Runs at or after ``as_of - days`` (``as_of`` defaults to the latest run

@@ -137,14 +137,31 @@ def headers(rows: DataFrame) -> DataFrame:
 
 
 def with_cells(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(upload_file, upload_id, block, at, cells) of the rows below the
-    headers: ``cells`` is a MAP<column, text> in the header's order."""
-    width = named.agg(F.max(F.size("names"))).first()[0] or 1
+    """(upload_file, upload_id, block, at, cells, beyond) of the rows below
+    the headers: ``cells`` is a MAP<column, text> in the header's order, and
+    ``beyond`` says that the row has a field that its header lacks."""
+    width = (named.agg(F.max(F.size("names"))).first()[0] or 1) + 1
     joined = salted_join(rows, named, ["upload_file"])
-    fields = F.transform(_fields("value", width), without_missing)
-    return joined.where(F.struct("block", "at") != F.col("first")).select(
+    joined = (joined.where(F.struct("block", "at") != F.col("first"))
+              .withColumn("fields", F.transform(_fields("value", width), without_missing)))
+    return joined.select(
         "upload_file", F.xxhash64("upload_file").alias("upload_id"), "block", "at",
-        F.map_from_arrays("names", F.slice(fields, F.lit(1), F.size("names"))).alias("cells"))
+        F.map_from_arrays("names", F.slice("fields", F.lit(1), F.size("names"))).alias("cells"),
+        F.exists(F.slice("fields", F.size("names") + 1, F.lit(width)), F.isnotnull).alias("beyond"))
+
+
+def with_row_numbers(cell_rows: DataFrame, out: str = "row") -> DataFrame:
+    """``cell_rows`` with the place of each row in its file, from 0: counted
+    by block, numbered inside each block, so that no file is one task's."""
+    rows = materialize(cell_rows)
+    sizes = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy("upload_file").orderBy("block")
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("__ahead", F.coalesce(ahead, F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*_PLACE).orderBy("at")) - 1
+    return (rows.withColumn("__inside", inside).join(sizes, _PLACE)
+            .withColumn(out, (F.col("__ahead") + F.col("__inside")).cast("long"))
+            .drop("__ahead", "__inside"))
 
 
 def cells(lines: DataFrame) -> DataFrame:

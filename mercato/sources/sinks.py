@@ -41,6 +41,31 @@ def analyses_rows(doc: DataFrame, upload_col: str = "upload_id") -> DataFrame:
                       F.current_timestamp().alias("created_at"))
 
 
+def document_rows(doc: DataFrame, upload_col: str = "upload_id") -> DataFrame:
+    """Analysis documents as (upload, document VARIANT, created_at): the
+    document keeps its own fields and types, whatever analysis made it."""
+    fields = F.struct(*[c for c in doc.columns if c != upload_col])
+    return doc.select(upload_col, F.to_variant_object(fields).alias("document"),
+                      F.current_timestamp().alias("created_at"))
+
+
+def document_schema(documents: DataFrame) -> str:
+    """The schema of all documents, read from the data by one aggregate."""
+    return documents.agg(F.schema_of_variant_agg("document")).first()[0]
+
+
+def latest_documents(documents: DataFrame, fields: dict[str, str], upload_col: str = "upload_id",
+                     tie_col: str | None = None) -> DataFrame:
+    """The latest document of each upload (ties: by ``tie_col``) with the
+    fields picked by path, ``{"records": "$.record_count:long"}``; a field
+    that a document lacks is null."""
+    order = [F.col("created_at"), *([F.col(tie_col)] if tie_col else [])]
+    last = documents.groupBy(upload_col).agg(F.max_by("document", F.struct(*order)).alias("document"))
+    picked = {name: path.rsplit(":", 1) for name, path in fields.items()}
+    return last.select(upload_col, *[F.try_variant_get("document", path, kind).alias(name)
+                                     for name, (path, kind) in picked.items()])
+
+
 def export_csv(df: DataFrame, path: str, date_cols: Sequence[str] = (),
                fmt: str = "yyyy-MM-dd") -> None:
     """CSV with a header; dates written as ``fmt``."""

@@ -76,6 +76,22 @@ def test_odd_files(spark, tmp_path):
                   ) == [(2, "1", None), (2, "1", None), (8, "7", None)]
 
 
+@pytest.mark.parametrize("block", ["128m", "101"])
+def test_rows_are_numbered_in_their_file(spark, tmp_path, block):
+    for name, n in (("a.csv", 70), ("b.csv", 1)):
+        lines = "".join(f'{i},"x\n{i}"\n' for i in range(n))
+        (tmp_path / name).write_text("place,note\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        rows = records.with_row_numbers(records.cells(records.file_lines(spark, str(tmp_path))))
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 71 and all(int(r["cells"]["place"]) == r["row"] for r in got)
+    assert not any(r["beyond"] for r in got)
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     assert read(spark, tmp_path) == {}

@@ -201,7 +201,8 @@ def op2_html_extraction(spark, sf_dir):
                                               F.length("text").cast("long").alias("n_chars"))
 
 
-_LICENCE_ROWS = ", ".join("('{}', '{}')".format(*row) for row in licences.TEMPLATES)
+_LICENCE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''"))
+                          for i, (name, text) in enumerate(licences.TEMPLATES))
 
 
 def document_paths(docs):
@@ -214,30 +215,34 @@ def document_paths(docs):
 
 
 @register("op3_licences", f"""
-WITH t AS (SELECT * FROM (VALUES {_LICENCE_ROWS}) v(licence, body)),
-tw AS (SELECT DISTINCT licence, unnest(list_filter(regexp_split_to_array(lower(body),
+WITH t AS (SELECT * FROM (VALUES {_LICENCE_ROWS}) v(template, licence, body)),
+tw AS (SELECT DISTINCT template, licence, unnest(list_filter(regexp_split_to_array(lower(body),
               '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM t),
 idf AS (SELECT word, pow(ln((1.0 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1, 2) AS weight
         FROM tw GROUP BY word),
-post AS (SELECT licence, word, weight, sum(weight) OVER (PARTITION BY licence) AS norm
+post AS (SELECT template, licence, word, weight, sum(weight) OVER (PARTITION BY template) AS norm
          FROM tw JOIN idf USING (word)),
 f AS (SELECT doc_id, text, source || '/' || lang || '/' || CASE WHEN doc_id % 10 = 0 THEN ''
              ELSE (doc_id // 1000)::VARCHAR || '/' END || doc_id::VARCHAR AS path FROM documents),
 lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS body
           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM f)),
+paragraphs AS (SELECT doc_id, -generate_subscripts(l, 1) AS line, unnest(l) AS body
+               FROM (SELECT doc_id, list_transform(regexp_split_to_array(
+                     coalesce(text, ''), '\n[ \t\r]*\n'), lambda x: trim(x)) AS l FROM f)),
 units AS (SELECT doc_id, line, body FROM lines
+          UNION ALL SELECT doc_id, line, body FROM paragraphs WHERE contains(body, chr(10))
           UNION ALL SELECT doc_id, 0, coalesce(text, '') FROM f),
 w AS (SELECT DISTINCT doc_id, line, unnest(list_filter(regexp_split_to_array(lower(body),
              '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM units),
 size AS (SELECT doc_id, line, sum(coalesce(weight, pow(ln(1.0 + (SELECT count(*) FROM t)) + 1, 2))) AS size
          FROM w LEFT JOIN idf USING (word) GROUP BY doc_id, line),
-cos AS (SELECT doc_id, line, licence,
+cos AS (SELECT doc_id, line, template, licence,
                round(sum(weight) / sqrt(any_value(size) * any_value(norm)), 6) AS cosine
         FROM w JOIN post USING (word) JOIN size USING (doc_id, line)
-        GROUP BY doc_id, line, licence),
+        GROUP BY doc_id, line, template, licence),
 best AS (SELECT doc_id, line, licence, cosine FROM cos WHERE cosine >= 0.6
          QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, licence) = 1),
-stated AS (SELECT doc_id, licence, cosine FROM best WHERE line > 0
+stated AS (SELECT doc_id, licence, cosine FROM best WHERE line <> 0
            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
 offer AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, path AS from_path, b.licence, b.cosine
           FROM best b JOIN f USING (doc_id) JOIN stated USING (doc_id) WHERE line = 0

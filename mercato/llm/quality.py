@@ -26,6 +26,7 @@ from mercato.llm.text import free_name, labelled_sample, whole
 from mercato.session import materialize
 
 SAMPLE = 20_000
+FIT_TASKS = 8
 TREES = 12
 DEPTH = 3
 LASSO = 0.0005
@@ -110,7 +111,9 @@ class RuleEnsemble:
 def fit(sample: DataFrame) -> RuleEnsemble:
     """Rules and weights from (text, label)."""
     data, names = statistics(sample.select("text", "label"), "text")
-    data = materialize(data.drop("text"))
+    # the statistics of a bounded sample are a few numbers a row: the many
+    # short steps of the fit need no more tasks than this
+    data = materialize(materialize(data.drop("text")).coalesce(FIT_TASKS))
     n, ones = data.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if n == 0 or ones in (0, n):
         share = 1.0 if n == 0 else ones / n

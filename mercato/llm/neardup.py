@@ -45,6 +45,7 @@ ROWS = 4
 BANDS = 25
 BINS = ROWS * BANDS
 CELL = 256
+STEP = 1 << 17
 BROADCAST_IDS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,33 +84,39 @@ def one_permutation(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return table.reshape(n, BINS)
 
 
-@F.arrow_udf(_SIGNATURE)
-def _signature(sets: pa.Array) -> pa.Array:
+def signatures(sets: pa.Array) -> pa.Array:
+    """Key and bands of every set of a batch.  ``STEP`` hashes are worked on
+    at once, so a worker's memory does not grow with the batch."""
     lengths = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-    values = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
     some = np.flatnonzero(lengths)
     keys = [None] * len(lengths)
     band_lengths = np.where(lengths > 0, BANDS, 0)
     start = np.concatenate([[0], np.cumsum(lengths)])
-    for i in some:
-        keys[i] = hashlib.blake2b(np.sort(values[start[i]:start[i + 1]]).tobytes(),
-                                  digest_size=16).digest()
-    if len(some):
-        rows = np.repeat(np.arange(len(some)), lengths[some])
-        bins = one_permutation(values.view(np.uint64), rows, len(some))
-        band = np.zeros((len(some), BANDS), np.uint64)
+    flat = [np.zeros(0, np.int64)]
+    steps = np.split(some, np.flatnonzero(np.diff(start[some] // STEP)) + 1) if len(some) else []
+    for part in steps:
+        for i in part:
+            keys[i] = hashlib.blake2b(np.sort(values[start[i]:start[i + 1]]).tobytes(),
+                                      digest_size=16).digest()
+        rows = np.repeat(np.arange(len(part)), lengths[part])
+        # the sets between the part's are empty
+        own = values[start[part[0]]:start[part[-1] + 1]]
+        bins = one_permutation(own.view(np.uint64), rows, len(part))
+        band = np.zeros((len(part), BANDS), np.uint64)
         for r in range(ROWS):
             band = _mixed(band * _MIX + bins[:, r::ROWS][:, :BANDS])
-        flat = band.reshape(-1).view(np.int64)
-    else:
-        flat = np.zeros(0, np.int64)
+        flat.append(band.reshape(-1).view(np.int64))
     offsets = np.concatenate([[0], np.cumsum(band_lengths)]).astype(np.int32)
     return pa.StructArray.from_arrays(
         [pa.array(keys, pa.binary()),
-         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
+         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat), pa.int64()))],
         ["set_key", "bands"])
 
 
+_signature = F.arrow_udf(signatures, _SIGNATURE)
+
+
 def shingle_sets(docs: DataFrame, words: int, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """(doc_id, shingles): the distinct shingle hashes of every document."""

@@ -35,6 +35,7 @@ from mercato.operators._util import null_safe_join
 from mercato.session import materialize
 
 LEAST_COSINE = 0.6
+BROADCAST_FILES = 200_000
 
 # Short statements of common licences, written for this scan.
 TEMPLATES = [
@@ -128,8 +129,11 @@ def matched(units: DataFrame, words: str, keys: list[str], templates: DataFrame)
     known = F.array(*[F.lit(w) for w in sorted(
         r.word for r in templates.select("word").distinct().collect())])
     few = units.withColumns({"__in": F.array_intersect(words, known), "__n": F.size(words)})
+    # repeated rows give the same units: few are left here, so those are made
+    # distinct and not the texts
     few = few.where((F.size("__in") > 0)
-                    & (F.size("__in") >= LEAST_COSINE ** 2 * F.col("__n")))
+                    & (F.size("__in") >= LEAST_COSINE ** 2 * F.col("__n"))
+                    ).select(*keys, "__n", "__in").distinct()
     alone = weight(F.lit(0))
     posted = (few.select(*keys, "__n", F.size("__in").alias("__d"), F.explode("__in").alias("word"))
               .join(F.broadcast(templates), "word"))
@@ -159,7 +163,7 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     key, line = free_name(files, "__file"), free_name(files, "__line")
     named = files.withColumn(key, F.struct(F.col(path).alias("path"),
                                            F.md5(whole(text).cast("binary")).alias("text")))
-    texts = named.select(key, whole(text).alias("text")).distinct()
+    texts = named.select(key, whole(text).alias("text"))
     # lines, and below zero the paragraphs of more than one
     parts = F.concat(
         F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("text"))),
@@ -172,7 +176,10 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     statement = materialize(stated.groupBy(key).agg(
         F.min(F.struct(-F.col("cosine"), F.col("licence"))).alias("best"))
         .select(key, F.col("best.licence").alias("licence"), (-F.col("best.col1")).alias("cosine")))
-    whole_words = (texts.join(statement.select(key), key, "left_semi")
+    bearers = statement.select(key)
+    if statement.count() <= BROADCAST_FILES:    # or else the texts are shuffled once
+        bearers = F.broadcast(bearers)
+    whole_words = (texts.join(bearers, key, "left_semi")
                    .select(key, F.array_distinct(plain_words(F.col("text"))).alias("words")))
     at = F.col(f"{key}.path")
     notices = matched(whole_words, "words", [key], templates)

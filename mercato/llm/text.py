@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.session import scratch_path
+from mercato.session import written  # noqa: F401  (the operators take it from here)
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\f\r"
@@ -79,14 +79,3 @@ def held_out(doc_id: str) -> Column:
     """True for the fifth of the ids whose labels are never learnt from; a
     null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder and
-    read again.  Unlike a checkpoint, the copy carries no constraints of the
-    plan that made it, which over many rounds cost the driver more time and
-    memory than the rounds themselves, and readers take only the columns
-    they need."""
-    path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -119,6 +119,18 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """``df`` written as a Parquet table in the shared checkpoint folder and
+    read again.  Unlike a checkpoint, whose rows are stored whole and not
+    compressed, readers take only the columns they need, Spark knows how small
+    a small table is, and the copy carries no constraints of the plan that
+    made it, which over many rounds cost the driver more time and memory than
+    the rounds themselves.  The tables stay until the folder is cleared."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once, for Python functions that
     run there (as ``--py-files`` would)."""

@@ -8,6 +8,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mercato.sources import records, uploads
 
@@ -96,3 +97,48 @@ def test_no_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     assert read(spark, tmp_path) == {}
     assert uploads.read_uploads(spark, str(tmp_path)).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_rows_are_read_and_numbered_without_a_shuffle(spark, tmp_path):
+    """No join, sort or window moves the rows of files without line breaks
+    in fields: small tables of files and blocks go to them."""
+    for i in range(3):
+        (tmp_path / f"f{i}.csv").write_text("a,b,c\n" + "".join(f"{n},{i},x\n" for n in range(50)))
+    cells = records.cells(records.file_lines(spark, str(tmp_path)))
+    numbered = records.with_row_numbers(cells)
+    plan = _plan(numbered)
+    assert not any(step in plan for step in ("hashpartitioning", "SortMergeJoin", "Window", "Sort"))
+    assert plan.count("from_csv") == 1          # a record is parsed once, not for each field
+    assert sorted((r["cells"]["b"], int(r["cells"]["a"]), r["row"]) for r in numbered.collect()
+                  ) == [(str(i), n, n) for i in range(3) for n in range(50)]
+
+
+def test_line_breaks_take_one_shuffle_of_the_lines(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a,b\n" + "".join(f'{n},"x\n{n}"\n' for n in range(50)))
+    rows = records.records(records.file_lines(spark, str(tmp_path)))
+    assert "Window" not in _plan(rows) and "hashpartitioning" not in _plan(rows)
+    assert rows.count() == 51
+
+
+@pytest.mark.parametrize("block", ["128m", "41"])
+def test_rows_are_numbered_through_the_files_of_an_upload(spark, tmp_path, block):
+    """Three files are one upload; empty lines are no rows, and a file
+    without rows counts none."""
+    parts = {"p-0.csv": "n\n0\n\n1\n2\n", "p-1.csv": "n\n", "p-2.csv": "m,n\n,3\n,4\n\n\n,5\n",
+             "q-0.csv": "n\n0\n"}
+    for name, text in parts.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        cells = records.cells(records.file_lines(spark, str(tmp_path)))
+        cells = cells.withColumn("upload", F.regexp_extract("upload_file", "([pq])-", 1))
+        got = records.with_row_numbers(cells, upload="upload").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["upload"], r["row"], r["cells"]["n"]) for r in got) == [
+        ("p", i, str(i)) for i in range(6)] + [("q", 0, "0")]

@@ -20,6 +20,15 @@ def _as_files(df, upload: str, order: list[str], path: str) -> None:
      .write.partitionBy(upload).option("header", True).option("escape", '"').csv(path))
 
 
+def _as_parts(df, upload: str, order: list[str], path: str, **options) -> None:
+    """CSV files in a folder for each value of ``upload``, whose rows follow
+    one another in ``order`` from file to file, written by as many tasks as
+    the rows need."""
+    (df.repartitionByRange(upload, *order).sortWithinPartitions(upload, *order)
+     .drop(*options.pop("without", ())).write.partitionBy(upload)
+     .options(header=True, **options).csv(path))
+
+
 def _upload_of(name: str):
     return F.regexp_extract("upload_file", f"/{name}=([^/]+)/", 1)
 
@@ -36,15 +45,16 @@ SELECT l.upload, l.row, l.sku, l.price
 FROM l JOIN s ON l.upload = s.upload AND l.sku = s.sku
 WHERE price > m + 2 * sd OR price < m - 2 * sd""")
 def q_outlier_rows(spark, sf_dir):
-    """Line items as CSV uploads; every price outlier with the row of the
-    file that it is in."""
+    """Line items as CSV uploads, each of as many files as its rows need;
+    every price outlier with the row of the upload that it is in."""
     li = Tables(spark, sf_dir).lineitem.select(
         F.col("l_returnflag").alias("upload"), "l_orderkey", "l_linenumber",
         F.col("l_partkey").alias("sku"), F.col("l_extendedprice").alias("price"))
     path = scratch_path(spark, "outlier-files")
-    _as_files(li, "upload", ["l_orderkey", "l_linenumber", "sku", "price"], path)
-    rows = records.with_row_numbers(records.cells(records.file_lines(spark, path)))
-    rows = rows.select(_upload_of("upload").alias("upload"), "row",
+    _as_parts(li, "upload", ["l_orderkey", "l_linenumber", "sku", "price"], path, escape='"')
+    cells = records.cells(records.file_lines(spark, path)).withColumn("upload", _upload_of("upload"))
+    rows = records.with_row_numbers(cells, upload="upload")
+    rows = rows.select("upload", "row",
                        F.col("cells")["sku"].try_cast("long").alias("sku"),
                        F.col("cells")["price"].try_cast("double").alias("price"))
     out = anomaly.item_price_outliers(rows, "sku", "price", "row", ["upload"], k=2.0)
@@ -184,10 +194,9 @@ def q_pipeline_run_chain(spark, sf_dir):
     text = F.concat_ws(",", "sku", "quantity", "price", "order_date",
                        F.when(F.col("upload") == "P", F.lit("5")))
     src = scratch_path(spark, "chain-src")
-    (rows.select("upload", text.alias("sku,quantity,price,order_date"), "l_orderkey", "l_linenumber")
-     .repartition("upload").sortWithinPartitions("upload", "l_orderkey", "l_linenumber")
-     .drop("l_orderkey", "l_linenumber").write.partitionBy("upload").option("header", True)
-     .option("quote", "").option("sep", "\u0001").csv(src))
+    order = ["l_orderkey", "l_linenumber"]
+    _as_parts(rows.select("upload", text.alias("sku,quantity,price,order_date"), *order), "upload",
+              order, src, without=order, quote="", sep="\u0001")
     known = t.lineitem.select(F.col("l_partkey").alias("sku"), F.col("l_quantity").alias("quantity"),
                               F.col("l_extendedprice").alias("price"),
                               F.col("l_shipdate").alias("order_date"))

@@ -23,14 +23,19 @@ SPECIAL_NUMBER_SHAPE = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 
 
+def number_shaped(c) -> Column:
+    """TRUE when the string ``c`` has the shape of a number."""
+    c = col_of(c)
+    return c.rlike(NUMBER_SHAPE) | c.rlike(SPECIAL_NUMBER_SHAPE)
+
+
 def parses_as(c, to: str) -> Column:
     """TRUE when the string ``c`` converts to ``to`` ("double" / "long"):
     a cheap shape test first, the exact cast only for candidates."""
     c = col_of(c)
     if to == "long":
         return c.rlike(INTEGER_SHAPE) & c.try_cast("long").isNotNull()
-    shape = c.rlike(NUMBER_SHAPE) | c.rlike(SPECIAL_NUMBER_SHAPE)
-    return shape & c.try_cast(to).isNotNull()
+    return number_shaped(c) & c.try_cast(to).isNotNull()
 
 
 def lenient_number(c) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.coerce import parses_as
+from mercato.functions.coerce import number_shaped, parses_as
 from mercato.operators._util import null_safe_join
 from mercato.operators.clean import DATE_NAME_WORDS
 from mercato.operators.roles import DATE_KEYWORDS, QUANTITY_KEYWORDS
@@ -45,13 +45,14 @@ def column_decisions(cells: DataFrame, upload_col: str = "upload_id") -> DataFra
 
     kind: ``missing`` without values; ``datetime`` if the name says so;
     ``long`` or ``double`` if every value is one; else ``string``."""
-    x, some = F.col("text"), F.col("text").isNotNull()
-    number = x.try_cast("double")
+    x, some, number = F.col("text"), F.col("text").isNotNull(), F.col("number")
+    # one cast for each cell, none for what has not the shape of a number
+    cells = cells.withColumn("number", F.when(number_shaped(x), x.try_cast("double")))
     dated = _contains(F.lower("field"), DATE_NAME_WORDS)
     table = cells.groupBy(upload_col, "field").agg(
         F.min("place").alias("place"), F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"),
         F.bool_and(~some | parses_as(x, "long")).alias("longs"),
-        F.bool_and(~some | parses_as(x, "double")).alias("doubles"),
+        F.bool_and(~some | number.isNotNull()).alias("doubles"),
         F.count(F.try_to_timestamp(x)).alias("dates"),
         F.var_samp(number).alias("variance"), F.avg(number).alias("mean"))
     kind = (F.when(F.col("n") == 0, "missing").when(dated, "datetime").when(F.col("longs"), "long")

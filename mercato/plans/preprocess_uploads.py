@@ -17,7 +17,7 @@ from mercato.operators._util import null_safe_join, salted_join
 from mercato.operators.profile import QUARTILES
 from mercato.operators.quantiles import approx_quantiles, exact_quantiles, quantiles_wide
 from mercato.plans.preprocess import MIN_ROWS_ANOMALY, MIN_ROWS_FORECAST
-from mercato.session import materialize
+from mercato.session import written
 
 
 def upload_series(rows: DataFrame, roles: DataFrame, fills: DataFrame, upload_col: str = "upload_id"
@@ -82,12 +82,12 @@ def preprocess_uploads(rows: DataFrame, upload_col: str = "upload_id", strict: b
     text>): record_count, column_count, date_column, quantity_column,
     anomaly_count, forecast ARRAY<DOUBLE>, summary_stats MAP<column, STRUCT>."""
     u = [upload_col]
-    rows = materialize(rows.select(upload_col, "cells"))
+    rows = written(rows.select(upload_col, "cells"))
     cells = dec.long_cells(rows, upload_col)
-    decisions = materialize(dec.column_decisions(cells, upload_col))
-    roles = materialize(dec.upload_roles(decisions, upload_col, strict))
-    fills = materialize(dec.fill_table(cells, decisions, upload_col))
-    daily = materialize(upload_series(rows, roles, fills, upload_col))
+    decisions = written(dec.column_decisions(cells, upload_col))
+    roles = written(dec.upload_roles(decisions, upload_col, strict))
+    fills = written(dec.fill_table(cells, decisions, upload_col))
+    daily = written(upload_series(rows, roles, fills, upload_col))
     odd = (anomaly.flag_series_anomalies(daily, "total", u)
            .groupBy(*u).agg(F.count(F.lit(1)).alias("odd_days")))
     long_enough = roles.where(F.col("record_count") >= MIN_ROWS_FORECAST).select(*u)

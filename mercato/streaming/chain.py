@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from mercato.functions.coerce import lenient_timestamp
 from mercato.operators._util import null_safe_join
 from mercato.plans.preprocess_uploads import preprocess_uploads
-from mercato.session import materialize
+from mercato.session import written
 from mercato.sources import records
 from mercato.sources.sinks import document_rows, replace_partitions
 
@@ -85,19 +85,20 @@ def chain_handler(out_dir: str, predict: Callable[[DataFrame], DataFrame],
     ``INPUTS`` (text, as uploaded) into predictions that keep upload_id and
     row; ``name`` makes the upload id from upload_file (a hash by default)."""
     def handle(lines: DataFrame, batch_id: int) -> None:
-        cells = records.with_row_numbers(records.cells(lines))
+        cells = records.cells(lines)
         if name is not None:
             cells = cells.withColumn("upload_id", name)
-        cells = materialize(cells)
-        checks = materialize(upload_checks(cells))
+        cells = written(records.with_row_numbers(cells, upload="upload_id")
+                        .select("upload_id", "row", "cells", "beyond"))
+        checks = written(upload_checks(cells))
         good = checks.where("wide_rows = 0").select("upload_id")
-        documents = materialize(preprocess_uploads(
+        documents = written(preprocess_uploads(
             null_safe_join(cells, good, ["upload_id"], "left_semi"), "upload_id", strict))
         ready = checks.where("wide_rows = 0 AND predictable AND bad_dates = 0").select("upload_id")
         inputs = null_safe_join(cells, ready, ["upload_id"], "left_semi").select(
             "upload_id", "row", *[F.col("cells")[c].alias(c)
                                   for c in ("sku", "quantity", "price", "order_date")])
-        predicted = materialize(predict(inputs))
+        predicted = written(predict(inputs))
         stamp = {"batch_id": F.lit(batch_id).cast("long")}
         for table, rows in (("documents", document_rows(documents)), ("predictions", predicted),
                             ("pipeline_runs", run_rows(checks, documents, predicted)
